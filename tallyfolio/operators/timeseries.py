@@ -125,7 +125,7 @@ def value_steps(net: DataFrame, moves: DataFrame, end: dt.date, keys=(ACCOUNT,))
     on BIGINT micro-EUR: exact in any order and much cheaper than wide decimals.
     """
     held = (
-        position_intervals(net, end, (*keys, "instrument_id"))
+        position_intervals(net, end, tuple(dict.fromkeys((*keys, "instrument_id"))))
         .where(F.col("quantity") != 0.0)
         .withColumn("bucket", F.explode(F.sequence(F.year("valid_from"), F.year("valid_to"))))
     )
