@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfolio.session import materialize
+
 # --- fixed values: texts and tolerances -----------------------------------------
 DEBIT, CREDIT = "valuta debitering", "valuta creditering"
 TRADE_WORDS = r"\b(?:koop|verkoop|buy|sell)\b"
@@ -218,4 +220,6 @@ def fill_exchange_rates(rows: DataFrame) -> DataFrame:
 
 
 def repair_fx_rates(rows: DataFrame) -> DataFrame:
-    return fill_exchange_rates(fill_order_rates(rescale_rates(rows)))
+    """All three repairs; each stage reads its input several times, so it is written once."""
+    ordered = fill_order_rates(rescale_rates(materialize(rows, "ledger-raw")))
+    return fill_exchange_rates(materialize(ordered, "ledger-ordered"))

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from tallyfolio.functions import rules
 
 
+def cents(x):
+    """Half-up cents by plain double arithmetic, so every engine agrees."""
+    return F.floor(x * 100 + 0.5) / 100
+
+
 class SampleViews:
     """Lazy views over one scale-factor folder."""
 
@@ -26,16 +31,16 @@ class SampleViews:
         items = self.table("lineitem")
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         sell = F.col("l_returnflag") == "R"
-        gross = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)
+        gross = cents(F.col("l_extendedprice") * (1 - F.col("l_discount")))
         return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.concat(F.lit("P"), F.floor(F.col("o_custkey") / 10).cast("string")).alias("account_label"),
             F.concat(F.lit("I"), F.col("l_partkey").cast("string")).alias("instrument_id"),
             F.expr("cast(l_shipdate as timestamp_ntz) + make_dt_interval(0, l_linenumber, 0, 0)").alias("datetime"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_seq"),
             F.when(sell, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"),
-            F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
+            cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.when(sell, gross).otherwise(-gross).alias("total_eur"),
-            F.round(F.col("l_extendedprice") * F.col("l_tax") / 100, 2).alias("fees_eur"),
+            cents(F.col("l_extendedprice") * F.col("l_tax") / 100).alias("fees_eur"),
             F.when(F.col("l_linestatus") == "F", "XAMS").otherwise("XETR").alias("type"),
         )
 
@@ -72,7 +77,7 @@ class SampleViews:
                 F.concat(F.lit("I"), F.col("l_partkey").cast("string")).alias("instrument_id"),
                 F.to_date("l_shipdate").alias("date"),
             )
-            .agg(F.round(F.sum(unit).cast("double") / F.count(F.lit(1)), 2).alias("close"))
+            .agg(cents(F.sum(unit).cast("double") / F.count(F.lit(1))).alias("close"))
         )
 
     def fx(self) -> DataFrame:
@@ -123,8 +128,8 @@ class SampleViews:
         scale = F.when(kind == "signup", 10000.0).when(kind == "purchase", 100.0).otherwise(1.0)
         currency = F.when(F.col("k") % 10 < 7, "EUR").when(F.col("k") % 10 < 9, "USD").otherwise("GBP")
         fx_rate = F.when((F.col("k") % 10 >= 7) & (F.col("k") % 2 == 1), F.round(1.1 + F.col("k") / 1000, 3))
-        rows = self.table("events").withColumn("k", k).withColumn(
-            "secs", F.floor(micros * 83 / 1000000).cast("decimal(18,6)")
+        rows = self.table("events").withColumn("k", k).withColumn("micros", micros).withColumn(
+            "secs", F.expr("micros * 83 div 1000000").cast("decimal(18,6)")
         )
         return rows.select(
             F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("account_label"),
@@ -132,8 +137,8 @@ class SampleViews:
             F.col("event_id").alias("row_seq"),
             text.alias("description"),
             currency.alias("currency"),
-            F.round(sign * scale * F.col("value"), 2).alias("raw_change"),
-            F.round(F.col("value") * 50, 2).alias("raw_balance"),
+            (sign * cents(scale * F.col("value"))).alias("raw_change"),
+            cents(F.col("value") * 50).alias("raw_balance"),
             fx_rate.alias("fx_rate"),
         )
 
@@ -175,7 +180,7 @@ class SampleViews:
         meta = self.instruments().select("instrument_id", "product", "isin", "ticker", "currency", "is_etf")
         positions = held.join(meta, "instrument_id").select(
             "account_label", "instrument_id", "product", "isin", "ticker", "currency", "is_etf", "quantity",
-            F.round(F.abs("quantity") * F.col("px"), 2).alias("value_eur"),
+            cents(F.abs("quantity") * F.col("px")).alias("value_eur"),
             F.lit(False).alias("is_cash_like"),
         )
         return positions.unionByName(cash)
