@@ -350,3 +350,36 @@ def cash_share(metrics: DataFrame, target_cash_pct: float = 10.0) -> DataFrame:
     return metrics.select(
         ACCOUNT, "date", share.alias("cash_pct"), F.lit(float(target_cash_pct)).alias("target_cash_pct")
     )
+
+
+def daily_close_wide(
+    trades: DataFrame, moves: DataFrame, end: dt.date, group: str, ids: list[str], start: dt.date
+) -> DataFrame:
+    """Daily quantity and value of named groups, one pair of columns each (explicit pivot list).
+
+    `trades` carries `group` next to instrument_id; with group = "instrument_id" this
+    is the daily close table of a portfolio.  Values stay changes until one row per
+    group and event day is left.
+    """
+    steps = value_steps(trades, moves, end, keys=(group,)).select(
+        group, "date", F.col("value_step"), F.lit(0).cast(MONEY).alias("quantity_step")
+    )
+    counts = trades.groupBy(group, "date").agg(F.sum(money("net_quantity")).alias("quantity_step"))
+    origin = trades.select(group).distinct().withColumn("date", F.lit(start))
+    zero = F.lit(0).cast("decimal(38,6)")
+    events = (
+        steps.unionByName(counts.withColumn("value_step", zero), allowMissingColumns=True)
+        .unionByName(origin.withColumn("value_step", zero).withColumn("quantity_step", F.lit(0).cast(MONEY)))
+        .groupBy(group, "date")
+        .agg(F.sum("value_step").alias("v"), F.sum("quantity_step").alias("q"))
+        .where(F.col("date") <= F.lit(end))
+    )
+    w = Window.partitionBy(group).orderBy("date")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    dense = events.select(
+        group,
+        F.sum("v").over(run).cast("double").alias("value_eur"),
+        F.sum("q").over(run).cast("double").alias("count"),
+        F.explode(F.sequence("date", F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.lit(end)))).alias("date"),
+    )
+    return dense.groupBy("date").pivot(group, ids).agg(F.first("count").alias("count"), F.first("value_eur").alias("value_eur"))

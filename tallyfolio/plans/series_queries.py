@@ -16,7 +16,10 @@ SUM0 = money_sum0
 
 
 def span(v: SampleViews):
-    return timeseries.activity_span(v.tx(), v.ledger())
+    """Calendar of the data set, read once per query."""
+    if not hasattr(v, "_span"):
+        v._span = timeseries.activity_span(v.tx(), v.ledger())
+    return v._span
 
 
 def metrics(v: SampleViews, combined: bool = False) -> DataFrame:
