@@ -376,10 +376,12 @@ def daily_close_wide(
     )
     w = Window.partitionBy(group).orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    dense = events.select(
+    sparse = events.select(
         group,
+        "date",
         F.sum("v").over(run).cast("double").alias("value_eur"),
         F.sum("q").over(run).cast("double").alias("count"),
-        F.explode(F.sequence("date", F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.lit(end)))).alias("date"),
+        F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.lit(end)).alias("until"),
     )
+    dense = sparse.select(group, "value_eur", "count", F.explode(F.sequence("date", "until")).alias("date"))
     return dense.groupBy("date").pivot(group, ids).agg(F.first("count").alias("count"), F.first("value_eur").alias("value_eur"))
