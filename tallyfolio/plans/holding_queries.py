@@ -9,7 +9,7 @@ from tallyfolio.operators import allocation, costbasis, holdings, instruments, p
 from tallyfolio.plans.registry import query
 from tallyfolio.plans.sample_sql import money_sum, money_sum0
 from tallyfolio.plans.sample_views import SampleViews
-from tallyfolio.plans.series_queries import _FOLD, _STEP, eur_events, metrics, span
+from tallyfolio.plans.series_queries import _FOLD, _STEP, _settled_sql, eur_events, metrics, settled, span
 from tallyfolio.sources.strategy import resolve_strategy
 
 SUM0 = money_sum0
@@ -223,7 +223,7 @@ def summary_table(v):
     return holdings.summary_table(split(v, recon(v))).drop("position")
 
 
-_COST = f"(SELECT instrument_id, r.s AS cost FROM (SELECT instrument_id, {_STEP} AS r FROM {_FOLD.replace('FEE', 'abs(fees_eur)')}))"
+_COST = f"(SELECT instrument_id, {_settled_sql('r.s')} AS cost FROM (SELECT instrument_id, {_STEP} AS r FROM {_FOLD.replace('FEE', 'abs(fees_eur)')}))"
 _REPORT = f"""(SELECT h.account_label, h.instrument_id, h.ticker, h.product, h.is_etf, CAST(abs(quantity) AS BIGINT) AS qty, px AS last_px_eur, latest_price_date AS px_date,
  coalesce(abs(quantity) * px, abs(value_eur)) AS value_eur, cost AS cost_basis_eur, coalesce(abs(quantity) * px, abs(value_eur)) - cost AS pnl_eur,
  coalesce(abs(quantity) * px, abs(value_eur)) / total_value_eur * 100 AS value_pct, total_value_eur FROM (SELECT held.*, latest_price_date, coalesce(latest_price_eur, CASE WHEN abs(quantity) > 1e-12 THEN abs(value_eur) / abs(quantity) END) AS px
@@ -231,7 +231,8 @@ _REPORT = f"""(SELECT h.account_label, h.instrument_id, h.ticker, h.product, h.i
 
 
 def report(v: SampleViews) -> DataFrame:
-    return holdings.holdings_report(v.snapshot(), recon(v), prices_now(v), costbasis.open_cost_basis(v.tx()))
+    cost = costbasis.open_cost_basis(v.tx()).withColumn("cost_basis_eur", settled("cost_basis_eur"))
+    return holdings.holdings_report(v.snapshot(), recon(v), prices_now(v), cost)
 
 
 @query(

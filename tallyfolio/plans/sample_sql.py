@@ -196,7 +196,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         ["m_acct"],
         """SELECT account_label, date, CAST(micro AS DOUBLE) / 1000000 AS positions_value, CAST(cash AS DOUBLE) AS cash,
  CAST(cash AS DOUBLE) AS cash_from_changes, CAST(stmt AS DOUBLE) AS cash_from_statement,
- CAST(dep AS DOUBLE) AS total_deposits,
+ CAST(dep AS DOUBLE) AS total_deposits, CAST(micro + CAST((cash - dep) * 1000000 AS DECIMAL(38,0)) AS DOUBLE) / 1000000 AS profit,
  CAST(micro + CAST(cash * 1000000 AS DECIMAL(38,0)) AS DOUBLE) / 1000000 AS portfolio_value FROM m_acct""",
     ),
     "factors": (

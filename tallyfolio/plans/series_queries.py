@@ -36,15 +36,15 @@ def eur_events(v: SampleViews) -> DataFrame:
     return timeseries.eur_prices(v.prices(), v.instruments(), v.fx())
 
 
-_M = "SELECT account_label, date, positions_value, cash, cash_from_changes, cash_from_statement, portfolio_value - total_deposits AS profit, total_deposits, portfolio_value, CASE WHEN total_deposits <> 0 THEN portfolio_value / total_deposits - 1 END AS simple_return FROM metrics"
+_M = "SELECT account_label, date, positions_value, cash, cash_from_changes, cash_from_statement, profit, total_deposits, portfolio_value, CASE WHEN total_deposits <> 0 THEN portfolio_value / total_deposits - 1 END AS simple_return FROM metrics"
 
 
 @query(
     "daily_portfolio_value",
     "metrics",
     _M
-    + """ UNION ALL SELECT 'Combined', date, p, c, c, st, p + c - d, d, p + c, CASE WHEN d <> 0 THEN (p + c) / d - 1 END FROM (
- SELECT date, CAST(sum(micro) AS DOUBLE) / 1000000 AS p, CAST(sum(cash) AS DOUBLE) AS c, CAST(sum(stmt) AS DOUBLE) AS st,
+    + """ UNION ALL SELECT 'Combined', date, p, c, c, st, pr, d, pv, CASE WHEN d <> 0 THEN pv / d - 1 END FROM (
+ SELECT date, CAST(sum(micro) AS DOUBLE) / 1000000 AS p, CAST(sum(micro + CAST(cash * 1000000 AS DECIMAL(38,0))) AS DOUBLE) / 1000000 AS pv, CAST(sum(micro + CAST((cash - dep) * 1000000 AS DECIMAL(38,0))) AS DOUBLE) / 1000000 AS pr, CAST(sum(cash) AS DOUBLE) AS c, CAST(sum(stmt) AS DOUBLE) AS st,
  CAST(sum(dep) AS DOUBLE) AS d FROM m_acct GROUP BY 1)""",
     "account_label date:t positions_value:d cash:d cash_from_changes:d cash_from_statement:d profit:d total_deposits:d portfolio_value:d simple_return:d",
 )
@@ -495,6 +495,15 @@ def benchmark_statistics(v):
     return performance.benchmark_statistics(metrics(v), benchmark_levels_of(v)).drop("portfolio_return_aligned_pct")
 
 
+def settled(x):
+    """Ten-thousandths, so that chained and one-pass folds agree to the last digit."""
+    return F.floor(F.col(x) * 10000 + 0.5) / 10000
+
+
+def _settled_sql(x: str) -> str:
+    return f"floor({x} * 10000 + 0.5) / 10000"
+
+
 _FOLD = """(SELECT instrument_id, list({'q': quantity, 's': greatest(-total_eur + FEE, 0)} ORDER BY datetime, row_seq, quantity, greatest(-total_eur + FEE, 0)) AS t FROM tx GROUP BY 1)"""
 _STEP = """list_reduce(list_prepend({'q': CAST(0 AS DOUBLE), 's': CAST(0 AS DOUBLE)}, t), lambda a, x: CASE WHEN x.q > 0 THEN {'q': a.q + x.q, 's': a.s + x.s}
  WHEN a.q <= 1e-12 OR a.q + x.q <= 1e-9 THEN {'q': CAST(0 AS DOUBLE), 's': CAST(0 AS DOUBLE)} ELSE {'q': a.q + x.q, 's': greatest(a.s - a.s / a.q * least(-x.q, a.q), 0)} END)"""
@@ -503,25 +512,26 @@ _STEP = """list_reduce(list_prepend({'q': CAST(0 AS DOUBLE), 's': CAST(0 AS DOUB
 @query(
     "open_cost_basis",
     "tx",
-    f"SELECT instrument_id, r.q AS open_quantity, r.s AS cost_basis_eur FROM (SELECT instrument_id, {_STEP} AS r FROM {_FOLD.replace('FEE', 'abs(fees_eur)')})",
+    f"SELECT instrument_id, r.q AS open_quantity, {_settled_sql("r.s")} AS cost_basis_eur FROM (SELECT instrument_id, {_STEP} AS r FROM {_FOLD.replace('FEE', 'abs(fees_eur)')})",
     "instrument_id open_quantity:d cost_basis_eur:d",
 )
 def open_cost_basis(v):
     """Moving-average cost of open positions, buys including fees."""
-    return costbasis.open_cost_basis(v.tx(), ("instrument_id",), include_fees=True)
+    out = costbasis.open_cost_basis(v.tx(), ("instrument_id",), include_fees=True)
+    return out.withColumn("cost_basis_eur", settled("cost_basis_eur"))
 
 
 @query(
     "daily_cost_basis",
     "tx",
-    f"""SELECT instrument_id, date, r.q AS open_quantity, r.s AS cost_basis_eur FROM (SELECT instrument_id, date, {_STEP} AS r FROM (SELECT d.instrument_id, d.date,
+    f"""SELECT instrument_id, date, r.q AS open_quantity, {_settled_sql("r.s")} AS cost_basis_eur FROM (SELECT instrument_id, date, {_STEP} AS r FROM (SELECT d.instrument_id, d.date,
  list({{'q': quantity, 's': greatest(-total_eur, 0)}} ORDER BY datetime, row_seq, quantity, greatest(-total_eur, 0)) AS t FROM (SELECT DISTINCT instrument_id, date FROM tx) d JOIN tx
  ON tx.instrument_id = d.instrument_id AND tx.date <= d.date GROUP BY 1, 2))""",
     "instrument_id date:t open_quantity:d cost_basis_eur:d",
 )
 def daily_cost_basis(v):
     """Cost basis after every trading day, fees left out."""
-    return costbasis.daily_cost_basis(v.tx(), ("instrument_id",))
+    return costbasis.daily_cost_basis(v.tx(), ("instrument_id",)).withColumn("cost_basis_eur", settled("cost_basis_eur"))
 
 
 @query(
