@@ -134,8 +134,13 @@ def unique_subset(values: np.ndarray, ids: np.ndarray, target: float, tolerance:
 
 def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Exchanges of one session in time order; a matched row is used once."""
-    debits = pdf[pdf["is_debit"]].sort_values(["datetime", "row_seq"], na_position="last")
-    cand = pdf[~pdf["is_debit"]].sort_values("row_seq")
+    is_debit = pdf["is_debit"].to_numpy(dtype=bool)
+    if is_debit.all() or not is_debit.any():
+        return pd.DataFrame({"account_label": [], "row_seq": [], "matched_rate": []})
+    debits = pdf[is_debit]
+    if len(debits) > 1:
+        debits = debits.sort_values(["datetime", "row_seq"], na_position="last")
+    cand = pdf[~is_debit]
     ids, amounts = cand["row_seq"].to_numpy(), cand["raw_change"].to_numpy(dtype=float)
     when = cand["datetime"].to_numpy(dtype="datetime64[ns]")
     value_day = pd.to_datetime(cand["value_date"]).to_numpy(dtype="datetime64[ns]")
@@ -205,7 +210,10 @@ def exchange_matches(rows: DataFrame) -> DataFrame:
         .withColumn("opens", opens)
         .select(*keys, "lo", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("session"))
     )
-    grouped = both.join(sessions, [*keys, "lo"]).select(*cols, "is_debit", "session")
+    # Matching is CPU-bound on few bytes, so the partition count is fixed: size-based
+    # coalescing would run every session in one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = both.join(sessions, [*keys, "lo"]).select(*cols, "is_debit", "session").repartition(tasks, *keys, "session")
     return grouped.groupBy(*keys, "session").applyInPandas(
         _match_group, "account_label string, row_seq bigint, matched_rate double"
     )
