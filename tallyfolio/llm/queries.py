@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfolio.llm import ledger, mixture, pii, simhash
-from tallyfolio.llm.common import read
+from tallyfolio.llm import importance, ledger, lengths, mixture, pii, simhash, suffixes, tiling
+from tallyfolio.llm.common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,27 @@ def op9_rule_ledger(spark, sf_dir):
 def op10_mixture(spark, sf_dir):
     """Words that the mix takes from every document."""
     return mixture.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op1_importance")
+def op1_importance(spark, sf_dir):
+    """Importance weight of every document, and whether the sample keeps it."""
+    return importance.sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with the item and its coverage."""
+    return tiling.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op2_token_lengths")
+def op2_token_lengths(spark, sf_dir):
+    """Exact histogram of encoded lengths with its suffix sums: totals, quantiles and truncated totals at every length."""
+    return lengths.with_suffix_sums(stored(lengths.histogram(read(spark, sf_dir, "documents")), "length-histogram"))
+
+
+@query("op3_suffix_repeats")
+def op3_suffix_repeats(spark, sf_dir):
+    """Stretches of documents that are parts of passages repeated in other documents."""
+    return suffixes.repeats(read(spark, sf_dir, "documents"))
