@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfolio.llm import mixture, pii, simhash
+from tallyfolio.llm import importance, mixture, pii, simhash, tiling
 from tallyfolio.llm.common import read, stored
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality sample rejects go."""
+    return importance.keep(docs, read(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return tiling.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
     return pii.redact(docs)
@@ -23,7 +33,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixture.mix(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("PII", redact_pii), ("mixing sources to target weights", mix_sources)]
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("PII", redact_pii),
+    ("mixing sources to target weights", mix_sources),
+]
 
 #: Fingerprints, hashed models and redaction can't be written in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
