@@ -69,6 +69,11 @@ def byte_values(lower: bool) -> np.ndarray:
     return values
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, at least `size` of them."""
+    return _powers(max(BLOCK, 1 << (size - 1).bit_length()))
+
+
 @functools.cache
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
@@ -88,10 +93,7 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower:
         first = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, first + BLOCK, "right")))
         piece = data[first : ends[hi - 1]]
-        size = BLOCK
-        while size < len(piece) + 1:
-            size *= 2
-        power, inverse = _powers(size)
+        power, inverse = powers(len(piece) + 1)
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(values[piece] * power[: len(piece)], out=total[1:])
         s, e = starts[lo:hi] - first, ends[lo:hi] - first
@@ -115,7 +117,7 @@ class Texts:
     """Bytes of a batch of texts: `data`, and `offsets` with one more entry than texts.  Null is empty."""
 
     def __init__(self, column: pa.Array):
-        column = pc.fill_null(column.cast(pa.large_string()), "")
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
         _, offsets, data = column.buffers()
         self.n = len(column)
         at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + self.n + 1] if self.n else np.zeros(1, np.int64)

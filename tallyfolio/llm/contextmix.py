@@ -1,14 +1,17 @@
 """Operator 6, language-model scoring by online logistic context mixing.
 
 A text's lower-cased UTF-8 bytes and one end byte are coded bit by bit.  For each bit, predictors with the last 1, 2, 3
-and 4 bytes as context (hashed with the bits of the current byte so far) give a probability from their counts.  A gate,
-chosen by how much each context has seen, selects a set of weights that mixes the predictions in the logistic domain, and
-an adaptive map refines the mixture.  The sum of log10 probabilities is the text's score.
-
-Training covers every training document: windows of five bytes are counted over the corpus (each task adds up its own
-first), the counters of all contexts follow from them, mixing weights are learnt online over all windows in every
-partition and averaged between rounds, each window predicted without its own last occurrence, and so is the map.  The
-model has a fixed number of slots; windows, tokens and their counts stay in Spark and grow with the corpus.
+and 4 bytes and with the current word so far as context (hashed with the bits of the current byte so far) give a
+probability from their counts.  A gate, chosen by how much the contexts have seen, selects a set of weights that mixes the
+predictions in the logistic domain, and an adaptive map refines the mixture.  The sum of log10 probabilities is the
+text's score.
+
+Training covers every training document: tokens and windows of five bytes are counted over the corpus (each task adds up
+its own first), and the counters of all contexts follow from them; word contexts hold the `words` most frequent tokens.
+Mixing weights are learnt online in every partition and averaged, each bit predicted without its own last occurrence,
+and so is the map.  These few hundred numbers are fitted on one context in `thin`, drawn by its hash from all training
+documents.  The model has a fixed number of slots; tokens, windows and their counts stay in Spark and grow with the
+corpus.
 
 The base score (add-one unigrams of words) looks up counts of the most frequent tokens in a broadcast table of
 `head` rows, and all others by a join on the token's hash, which no frequent token takes part in.
@@ -28,21 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfolio.llm.common import Texts, batch_of, mixed, pieces, range_hashes, splitmix, stored
+from tallyfolio.llm.common import BLOCK, SPACE, Texts, batch_of, byte_values, mixed, pieces, powers, range_hashes, splitmix, stored
 
 FOLDS, HELD = 7, 2
-HEAD = 1 << 18
-#: Slots of each context's counters (order 1 to 4), counts per row on their way to the driver.
-SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20)
+HEAD, WORDS, THIN = 1 << 18, 1 << 17, 8
+#: Slots of each context's counters (1 to 4 bytes, then the word so far), and slots per row on their way to the driver.
+SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 22)
 PACK = 4096
-ORDERS = len(SLOTS)
+ORDERS, CONTEXTS = 4, len(SLOTS)
 #: What stands before a text and after it; neither byte occurs in UTF-8.
 BEFORE, END = 0xFE, 0xFF
 END_TOKEN = np.uint64(splitmix(7777))
-ALPHA, LEVELS = 0.4, 33
-GATES = 4 * 4 * 4
+ALPHA, LEVELS, START = 0.4, 33, 200.0
+GATES = 5 * 5 * 6 * 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_APART = SPACE.copy()
+_APART[BEFORE] = True
 
 
 def windows(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -63,39 +68,70 @@ def windows(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out[at[ORDERS:]], np.repeat(np.arange(t.n), n + 1)
 
 
+def prefixes(t: Texts) -> np.ndarray:
+    """For each place of `windows`: hash of the current word's bytes before it (after a space: of no bytes)."""
+    n = np.diff(t.offsets)
+    text = np.repeat(np.arange(t.n), n + 1)
+    at = np.arange(len(text)) - text  # the byte at this place; for a text's end, the one after it
+    begin = np.zeros(len(t.data) + 1, np.int64)
+    begin[1:] = np.maximum.accumulate(np.where(SPACE[t.data], np.arange(1, len(t.data) + 1), 0))
+    begin = np.maximum(begin[at], t.offsets[:-1][text])
+    out = np.empty(len(at), np.uint64)
+    values = byte_values(True)
+    for lo in range(0, len(at), BLOCK):
+        j, b = at[lo : lo + BLOCK], begin[lo : lo + BLOCK]
+        piece = t.data[b[0] : j[-1]]
+        power, inverse = powers(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(values[piece] * power[: len(piece)], out=total[1:])
+        j, b = j - b[0], b - b[0]
+        out[lo : lo + BLOCK] = mixed((total[j] - total[b]) * inverse[b] + (j - b).astype(np.uint64))
+    return out
+
+
 class Tally:
     """Counts of numbers seen by one task; merged as they come in, flushed by the caller when large."""
 
     def __init__(self):
-        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys, self.counts, self.tokens = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, object)
 
-    def add(self, keys: np.ndarray) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
-        merged, at = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
+    def add(self, keys: np.ndarray, token=None) -> None:
+        """`token`: gives the bytes of the key at an index."""
+        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        merged, first_at, at = np.unique(np.concatenate((self.keys, keys)), return_index=True, return_inverse=True)
         self.counts = np.bincount(at, np.concatenate((self.counts, counts)), len(merged)).astype(np.int64)
+        if token is not None:
+            old = first_at < len(self.keys)
+            tokens = np.empty(len(merged), object)
+            tokens[old] = self.tokens[first_at[old]]
+            tokens[~old] = [token(i) for i in first[first_at[~old] - len(self.keys)].tolist()]
+            self.tokens = tokens
         self.keys = merged
 
     def flush(self, kind: int) -> pa.RecordBatch:
-        out = batch_of(kind=np.full(len(self.keys), kind, np.int32), key=self.keys.view(np.int64), n=self.counts)
+        tokens = pa.array(self.tokens, pa.binary()) if len(self.tokens) else pa.nulls(len(self.keys), pa.binary())
+        out = batch_of(kind=np.full(len(self.keys), kind, np.int32), key=self.keys.view(np.int64), token=tokens, n=self.counts)
         self.__init__()
         return out
 
 
-def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and of the end of each text, and the index of its text."""
+def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word and of the end of each text, the index of its text, and the words' first and last bytes."""
     starts, ends, first = t.words()
     h = np.concatenate((range_hashes(t.data, starts, ends), np.full(t.n, END_TOKEN)))
-    return h, np.concatenate((np.repeat(np.arange(t.n), np.diff(first)), np.arange(t.n)))
+    return h, np.concatenate((np.repeat(np.arange(t.n), np.diff(first)), np.arange(t.n))), starts, ends
 
 
 def counted(docs: DataFrame, text_col: str, most: int = 1 << 20) -> DataFrame:
-    """(kind, key, n): counts of tokens (kind 0) and of five-byte windows (kind 1)."""
+    """(kind, key, token, n): counts of tokens (kind 0; the end has no bytes) and of five-byte windows (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         tally = (Tally(), Tally())
         for batch in batches:
             for _, texts in pieces(batch, text_col):
-                tally[0].add(tokens(texts)[0])
+                h, _, starts, ends = tokens(texts)
+                low = _LOWER[texts.data].tobytes()
+                tally[0].add(h, lambda i, low=low, s=starts, e=ends: low[s[i] : e[i]] if i < len(s) else b"")
                 tally[1].add(windows(texts)[0])
                 for kind in (0, 1):
                     if len(tally[kind].keys) > most:
@@ -103,44 +139,62 @@ def counted(docs: DataFrame, text_col: str, most: int = 1 << 20) -> DataFrame:
         for kind in (0, 1):
             yield tally[kind].flush(kind)
 
-    return docs.select(text_col).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    parts = docs.select(text_col).mapInArrow(run, "kind int, key long, token binary, n long")
+    return parts.groupBy("kind", "key", "token").agg(F.sum("n").alias("n"))
 
 
-def slots_of(w: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For each bit of the windows' last bytes, from the highest: the bit, the bits before it, and each order's slot."""
-    context = [w >> np.uint64(8) & np.uint64((1 << 8 * o) - 1) for o in range(1, ORDERS + 1)]
-    node = np.ones(len(w), np.uint64)
+def bits_of(symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each bit of the symbols, from the highest: the bit, and the bits before it."""
+    node = np.ones(len(symbol), np.uint64)
     for bit in range(7, -1, -1):
-        value = w >> np.uint64(bit) & np.uint64(1)
-        slots = [context[0] << np.uint64(8) | node]
-        for o in range(1, ORDERS):
-            slots.append(mixed(context[o] << np.uint64(8) | node) & np.uint64(SLOTS[o] - 1))
-        yield value, node, slots
+        value = symbol >> np.uint64(bit) & np.uint64(1)
+        yield value, node
         node = node << np.uint64(1) | value
 
 
+def slots_of(context: int, w: np.ndarray, p: np.ndarray | None, node: np.ndarray) -> np.ndarray:
+    """Slot of each bit's counter: w are windows, p prefix hashes (for the last context)."""
+    if context == ORDERS:
+        key = p + node * np.uint64(0x9E3779B97F4A7C15)
+    else:
+        key = (w >> np.uint64(8) & np.uint64((1 << 8 * (context + 1)) - 1)) << np.uint64(8) | node
+        if context == 0:
+            return key
+    return mixed(key) & np.uint64(SLOTS[context] - 1)
+
+
 class Model:
-    """Counters by order (2 x slots), mixing weights by gate, and the refining map by bits so far and level."""
+    """Counters by context (2 x slots), mixing weights by gate, and the refining map by bits so far and level."""
 
     def __init__(self, counters: list[np.ndarray]):
         self.counters = counters
-        self.weights = np.full((GATES, ORDERS + 1), 0.3)
+        self.weights = np.full((GATES, CONTEXTS + 1), 0.3)
         self.map = None
 
-    def inputs(self, slots: list[np.ndarray], own: np.ndarray | None = None):
-        """Stretched predictions of all orders, and the gate.  `own`: bits whose last occurrence is left out."""
-        x = np.ones((ORDERS + 1, len(slots[0])))
-        gate = np.zeros(len(slots[0]), np.int64)
-        for o in range(ORDERS):
-            zero, one = self.counters[o][0][slots[o]].astype(float), self.counters[o][1][slots[o]].astype(float)
+    def inputs(self, w: np.ndarray, p: np.ndarray, node: np.ndarray, own: np.ndarray | None = None):
+        """Stretched predictions of all contexts, and the gate: place in the word, and how much the longer contexts have seen.  `own`: bits whose last occurrence is left out."""
+        x = np.full((CONTEXTS + 1, len(w)), 0.3)
+        # bytes of the current word, up to four
+        byte = [w >> np.uint64(8 * i) & np.uint64(255) for i in range(1, ORDERS + 1)]
+        inside = np.ones(len(w), bool)
+        gate = np.zeros(len(w), np.int64)
+        for b in byte:
+            inside &= ~(_APART[b])
+            gate += inside
+        for o in range(CONTEXTS):
+            slot = slots_of(o, w, p, node)
+            zero, one = self.counters[o][0][slot].astype(float), self.counters[o][1][slot].astype(float)
             if own is not None:
-                one -= own
-                zero -= 1 - own
+                one = np.maximum(one - own, 0)
+                zero = np.maximum(zero - (1 - own), 0)
             np.subtract(np.log(one + ALPHA), np.log(zero + ALPHA), out=x[o])
-            if o:
-                seen = one + zero
-                gate = gate * 4 + (seen >= 1) + (seen >= 4) + (seen >= 32)
-        x[ORDERS] = 0.3
+            seen = one + zero
+            if o == ORDERS:
+                gate = gate * 6 + (seen >= 1) + (seen >= 3) + (seen >= 12) + (seen >= 60) + (seen >= 500)
+            elif o == ORDERS - 1:
+                gate = gate * 5 + (seen >= 1) + (seen >= 4) + (seen >= 32) + (seen >= 256)
+            elif o == ORDERS - 2:
+                gate = gate * 4 + (seen >= 1) + (seen >= 8) + (seen >= 64)
         return x, gate
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -157,37 +211,35 @@ class Model:
             p = (p + self.map[row] * (1 - part) + self.map[row + 1] * part) / 2
         return p
 
-    def log10(self, w: np.ndarray) -> np.ndarray:
+    def log10(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
         """log10 probability of each window's last byte."""
         out = np.zeros(len(w))
-        for value, node, slots in slots_of(w):
-            x, gate = self.inputs(slots)
-            p = self.refine(self.mix(x, gate), node)
-            out += np.log10(np.where(value == 1, p, 1 - p))
+        for lo in range(0, len(w), 1 << 16):
+            some, word = w[lo : lo + (1 << 16)], p[lo : lo + (1 << 16)]
+            for value, node in bits_of(some):
+                q = self.refine(self.mix(*self.inputs(some, word, node)), node)
+                out[lo : lo + (1 << 16)] += np.log10(np.where(value == 1, q, 1 - q))
         return out
 
-    def learn(self, w: np.ndarray, n: np.ndarray, rate: float, batch: int = 2048) -> np.ndarray:
-        """Online steps over windows w seen n times; returns the mass that each gate has seen."""
-        mass = np.zeros(GATES)
+    def learn(self, w: np.ndarray, p: np.ndarray, n: np.ndarray, bend: np.ndarray, rate: float, batch: int = 2048) -> None:
+        """Online steps over places (w, p) met n times.  `bend` gathers each weight's curvature, which shortens its steps."""
         for lo in range(0, len(w), batch):
-            times = n[lo : lo + batch].astype(float)
-            for value, _, slots in slots_of(w[lo : lo + batch]):
+            some, word, times = w[lo : lo + batch], p[lo : lo + batch], n[lo : lo + batch].astype(float)
+            for value, node in bits_of(some):
                 own = value.astype(float)
-                x, gate = self.inputs(slots, own)
-                error = (own - 1 / (1 + np.exp(-self.mix(x, gate)))) * times
-                seen = np.bincount(gate, times, GATES)
-                mass += seen
-                step = np.stack([np.bincount(gate, error * x[k], GATES) for k in range(ORDERS + 1)], 1)
-                self.weights += rate * step / np.maximum(seen, 1)[:, None]
-        return mass
-
-    def levels(self, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                x, gate = self.inputs(some, word, node, own)
+                q = 1 / (1 + np.exp(-self.mix(x, gate)))
+                error, curve = (own - q) * times, q * (1 - q) * times
+                step = np.stack([np.bincount(gate, error * x[k], GATES) for k in range(CONTEXTS + 1)], 1)
+                bend += np.stack([np.bincount(gate, curve * x[k] * x[k], GATES) for k in range(CONTEXTS + 1)], 1)
+                self.weights += rate * step / bend
+
+    def levels(self, w: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ones and all bits at each level of the map, shared between the two nearest levels."""
         one, both = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
-        for value, node, slots in slots_of(w):
+        for value, node in bits_of(w):
             own = value.astype(float)
-            x, gate = self.inputs(slots, own)
-            at = (np.clip(self.mix(x, gate), -8, 8) + 8) * ((LEVELS - 1) / 16)
+            at = (np.clip(self.mix(*self.inputs(w, p, node, own)), -8, 8) + 8) * ((LEVELS - 1) / 16)
             low = np.minimum(at.astype(np.int64), LEVELS - 2)
             for step, share in ((0, 1 - (at - low)), (1, at - low)):
                 row = node.astype(np.int64) * LEVELS + low + step
@@ -201,46 +253,64 @@ class Model:
         self.map = np.clip((one + weight * level) / (both + weight), 1e-6, 1 - 1e-6)
 
 
+def _key(w: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return mixed(w * np.uint64(0xD6E8FEB86659FD93) + p)
+
+
 class Cache:
-    """log10 probabilities of the windows that a task has met, in a table of fixed size: each slot holds the last one."""
+    """log10 probabilities of the places that a task has met, in a table of fixed size: each slot holds the last one."""
 
     def __init__(self, model: Model, size: int = 1 << 20):
         self.model, self.mask = model, np.uint64(size - 1)
-        self.keys, self.values = np.full(size, np.uint64(1 << 63)), np.zeros(size)
-
-    def log10(self, w: np.ndarray) -> np.ndarray:
-        slot = (mixed(w) & self.mask).astype(np.int64)
-        miss = self.keys[slot] != w
-        if miss.any():
-            new = np.unique(w[miss])
-            value = self.model.log10(new)
-            at = (mixed(new) & self.mask).astype(np.int64)
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size)
+        self.keys[0] = 1
+
+    def log10(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        key = _key(w, p)
+        slot = (key & self.mask).astype(np.int64)
+        out = self.values[slot]
+        miss = np.flatnonzero(self.keys[slot] != key)
+        if len(miss):
+            new, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            value = self.model.log10(w[miss[first]], p[miss[first]])
+            out[miss] = value[back]
+            at = (new & self.mask).astype(np.int64)
             self.keys[at], self.values[at] = new, value
-            out = self.values[slot]
-            left = np.flatnonzero(self.keys[slot] != w)  # two windows of one slot
-            if len(left):
-                out[left] = value[np.searchsorted(new, w[left])] if np.isin(w[left], new).all() else self.model.log10(w[left])
-            return out
-        return self.values[slot]
+        return out
+
 
+def places(t: Texts, thin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct places (w, p) of a batch and how often they are met; one in `thin` of them, by their hash."""
+    w, p = windows(t)[0], prefixes(t)
+    key = _key(w, p)
+    at = np.flatnonzero(key % np.uint64(thin) == 0)
+    _, first, n = np.unique(key[at], return_index=True, return_counts=True)
+    return w[at[first]], p[at[first]], n  # in the order of the hash, not of the alphabet
 
-def _counters(found: DataFrame) -> list[np.ndarray]:
-    """Counters of all contexts from the window counts: packed by 4096 slots, so the driver gets a fixed number of rows."""
-    total = sum(SLOTS)
-    base = np.concatenate(([0], np.cumsum(SLOTS)[:-1])).astype(np.int64)
+
+def _add(counts: np.ndarray, context: int, w: np.ndarray, p: np.ndarray | None, n: np.ndarray) -> None:
+    for value, node in bits_of(w):
+        slot = slots_of(context, w, p, node).astype(np.int64)
+        for bit in (0, 1):
+            counts[bit] += np.bincount(slot, np.where(value == bit, n, 0), SLOTS[context])
+
+
+def byte_counters(found: DataFrame) -> list[np.ndarray]:
+    """Counters of the byte contexts from window counts: packed by 4096 slots, so the driver gets a fixed number of rows."""
+    sizes = SLOTS[:ORDERS]
+    base = np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist()
 
     def run(batches):
-        zero, one = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        counts = [np.zeros((2, s)) for s in sizes]
         for batch in batches:
             w, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for value, _, slots in slots_of(w):
-                for o in range(ORDERS):
-                    np.add.at(one, base[o] + slots[o].astype(np.int64), np.where(value == 1, n, 0))
-                    np.add.at(zero, base[o] + slots[o].astype(np.int64), np.where(value == 1, 0, n))
-        at = np.flatnonzero(zero + one)
-        for lo in range(0, len(at), 1 << 17):
-            i = at[lo : lo + (1 << 17)]
-            yield batch_of(slot=i, zero=zero[i], one=one[i])
+            for o in range(ORDERS):
+                _add(counts[o], o, w, None, n)
+        for b, c in zip(base, counts, strict=True):
+            at = np.flatnonzero(c[0] + c[1])
+            for lo in range(0, len(at), 1 << 17):
+                i = at[lo : lo + (1 << 17)]
+                yield batch_of(slot=i + b, zero=c[0][i], one=c[1][i])
 
     def pack(frame):
         import pandas as pd
@@ -250,11 +320,22 @@ def _counters(found: DataFrame) -> list[np.ndarray]:
         both[0, i], both[1, i] = frame["zero"].to_numpy(), frame["one"].to_numpy()
         return pd.DataFrame({"pack": [int(frame["slot"].iloc[0] // PACK)], "data": [both.tobytes()]})
 
-    slots = found.mapInArrow(run, "slot long, zero long, one long").groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
-    table = np.zeros((2, total), np.float32)
+    slots = found.mapInArrow(run, "slot long, zero double, one double").groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    table = np.zeros((2, sum(sizes)), np.float32)
     for r in slots.groupBy(F.floor(F.col("slot") / PACK)).applyInPandas(pack, "pack long, data binary").collect():
         table[:, r["pack"] * PACK : (r["pack"] + 1) * PACK] = np.frombuffer(r["data"], np.float32).reshape(2, PACK)
-    return [table[:, b : b + s] for b, s in zip(base.tolist(), SLOTS, strict=True)]
+    return [table[:, b : b + s] for b, s in zip(base, sizes, strict=True)]
+
+
+def word_counters(words: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Counters of the word context from the most frequent words (a fixed number); a space stands for what ends a word."""
+    counts = np.zeros((2, SLOTS[ORDERS]))
+    for lo in range(0, len(words), 1 << 15):
+        t = Texts(pa.array(words[lo : lo + (1 << 15)], pa.binary()))
+        w, text = windows(t)
+        symbol = np.where(w & np.uint64(255) == END, np.uint64(32), w & np.uint64(255))
+        _add(counts, ORDERS, symbol, prefixes(t), n[lo : lo + (1 << 15)][text])
+    return counts.astype(np.float32)
 
 
 def _summed(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -265,36 +346,36 @@ def _summed(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def train(found: DataFrame, rounds: tuple[float, ...] = (0.02, 0.01)) -> Model:
-    """The model from (window, n) counts."""
-    model = Model(_counters(found))
-    context = found.sparkSession.sparkContext
-    for rate in rounds:
-        shared = context.broadcast(model)
-
-        def learn(batches, shared=shared, rate=rate):
-            own = Model(shared.value.counters)
-            own.weights, mass = shared.value.weights.copy(), np.zeros(GATES)
-            for batch in batches:
-                w, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-                order = np.argsort(mixed(w))  # not in the order of the alphabet
-                mass += own.learn(w[order], n[order], rate)
-            mass = np.repeat(mass, ORDERS + 1)
-            yield batch_of(at=np.arange(len(mass)), a=own.weights.reshape(-1) * mass, b=mass)
-
-        a, b = _summed(found.mapInArrow(learn, "at long, a double, b double"), (GATES, ORDERS + 1))
-        new = np.where(b > 0, a / np.maximum(b, 1), model.weights.reshape(-1))
-        model.weights = new.reshape(GATES, ORDERS + 1)
+def train(docs: DataFrame, text_col: str, counters: list[np.ndarray], thin: int = THIN, rate: float = 0.3) -> Model:
+    """The model from its counters: weights, then map, both over all documents of `docs`."""
+    model = Model(counters)
+    context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)
 
+    def learn(batches):
+        own, bend = Model(shared.value.counters), np.full((GATES, CONTEXTS + 1), START)
+        for batch in batches:
+            for _, texts in pieces(batch, text_col):
+                own.learn(*places(texts, thin), bend, rate)
+        mass = bend.reshape(-1) - START
+        yield batch_of(at=np.arange(len(mass)), a=own.weights.reshape(-1) * mass, b=mass)
+
+    a, b = _summed(docs.select(text_col).mapInArrow(learn, "at long, a double, b double"), (GATES, CONTEXTS + 1))
+    model.weights = np.where(b > 0, a / np.maximum(b, 1e-9), model.weights.reshape(-1)).reshape(GATES, CONTEXTS + 1)
+    weighted = context.broadcast(model.weights)
+
     def levels(batches):
+        own = Model(shared.value.counters)
+        own.weights = weighted.value
         one, both = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
         for batch in batches:
-            o, b = shared.value.levels(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(float))
-            one, both = one + o, both + b
+            for _, texts in pieces(batch, text_col):
+                o, b = own.levels(*places(texts, thin))
+                one, both = one + o, both + b
         yield batch_of(at=np.arange(len(one)), a=one, b=both)
 
-    model.set_map(*_summed(found.mapInArrow(levels, "at long, a double, b double"), (256, LEVELS)))
+    model.set_map(*_summed(docs.select(text_col).mapInArrow(levels, "at long, a double, b double"), (256, LEVELS)))
+    shared.unpersist()
     return model
 
 
@@ -306,13 +387,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
-    found = stored(counted(rows.where(~F.col("held_out")), text_col), "lm-counts")
+    training = rows.where(~F.col("held_out"))
+    found = stored(counted(training, text_col), "lm-counts")
     vocabulary = found.where("kind = 0").select("key", "n")
-    model = train(found.where("kind = 1").select("key", "n"))
     total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     floor = total + distinct + 1
-    frequent = vocabulary.orderBy(F.desc("n"), "key").limit(head).toPandas().sort_values("key")
+    frequent = found.where("kind = 0").orderBy(F.desc("n"), "key").limit(head).select("key", "token", "n").toPandas()
+    words = frequent[frequent["token"].map(len) > 0].head(WORDS)
+    counters = [*byte_counters(found.where("kind = 1").select("key", "n")), word_counters(words["token"].map(bytes).tolist(), words["n"].to_numpy())]
+    model = train(training, text_col, counters)
+    frequent = frequent.sort_values("key")
     spark = docs.sparkSession.sparkContext
     shared = spark.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 
@@ -323,9 +408,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
         for batch in batches:
             for part, texts in pieces(batch, text_col):
                 w, text = windows(texts)
-                bits = np.bincount(text, cache.log10(w), texts.n)
+                bits = np.bincount(text, cache.log10(w, prefixes(texts)), texts.n)
                 n_bytes = np.bincount(text, minlength=texts.n)
-                h, of = tokens(texts)
+                h, of, _, _ = tokens(texts)
                 h = h.view(np.int64)
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
