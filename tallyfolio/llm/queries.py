@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfolio.llm import importance, ledger, lengths, mixture, pii, simhash, suffixes, tiling
+from tallyfolio.llm import contextmix, importance, langid, ledger, lengths, mixture, pii, simhash, suffixes, tiling
 from tallyfolio.llm.common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,15 @@ def op2_token_lengths(spark, sf_dir):
 def op3_suffix_repeats(spark, sf_dir):
     """Stretches of documents that are parts of passages repeated in other documents."""
     return suffixes.repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op5_language")
+def op5_language(spark, sf_dir):
+    """Language of every page."""
+    return langid.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+@query("op6_context_mixing")
+def op6_context_mixing(spark, sf_dir):
+    """Log probability of every document."""
+    return contextmix.score(read(spark, sf_dir, "documents"))
