@@ -414,7 +414,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                 h = h.view(np.int64)
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                base = np.bincount(of[known], value[at[known]], texts.n)
+                base = np.bincount(of[known], value[at[known]], texts.n).astype(float)
                 # the others, by text
                 rest, owner = h[~known], of[~known]
                 order = np.argsort(owner, kind="stable")

@@ -107,7 +107,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_co
         for batch in batches:
             for part, texts in pieces(batch, text_col):
                 of, text = features(texts, len(table))
-                weight = np.bincount(text, table[of], minlength=texts.n)
+                weight = np.bincount(text, table[of], minlength=texts.n).astype(float)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight)], names=[*part.schema.names, "log_weight"])
 
     rest = docs.drop("log_weight", "key")

@@ -49,7 +49,7 @@ def test_added_spans():
 
 
 def test_linear_on_long_texts():
-    for text in ("1." * 100_000, "+1" + " (" * 100_000, "@a" * 100_000, "9 " * 100_000):
+    for text in ("1." * 5_000, "+1" + " (" * 5_000, "@a" * 5_000, "9 " * 5_000):
         assert {k: v for k, v in pii.spans(text).items() if k in BASE} == slow(text)
     assert pii.spans("a" * 300_000 + "@b.c")["email"] == [(0, 300_004)]
 
