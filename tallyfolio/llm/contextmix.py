@@ -7,7 +7,8 @@ predictions in the logistic domain, and an adaptive map refines the mixture.  Th
 text's score.
 
 Training covers every training document: tokens and windows of five bytes are counted over the corpus (each task adds up
-its own first), and the counters of all contexts follow from them; word contexts hold the `words` most frequent tokens.
+its own first), and the counters of all contexts follow from them; word contexts hold the
+most frequent tokens, `head` at most.
 Mixing weights are learnt online in every partition and averaged, each bit predicted without its own last occurrence,
 and so is the map.  These few hundred numbers are fitted on one context in `thin`, drawn by its hash from all training
 documents.  The model has a fixed number of slots; tokens, windows and their counts stay in Spark and grow with the
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from tallyfolio.llm.common import BLOCK, SPACE, Texts, batch_of, byte_values, mixed, pieces, powers, range_hashes, splitmix, stored
 
 FOLDS, HELD = 7, 2
-HEAD, WORDS, THIN = 1 << 18, 1 << 17, 8
+HEAD, THIN = 1 << 17, 8
 #: Slots of each context's counters (1 to 4 bytes, then the word so far), and slots per row on their way to the driver.
-SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 22)
+SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 21)
 PACK = 4096
 ORDERS, CONTEXTS = 4, len(SLOTS)
 #: What stands before a text and after it; neither byte occurs in UTF-8.
@@ -290,9 +291,9 @@ def places(t: Texts, thin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _add(counts: np.ndarray, context: int, w: np.ndarray, p: np.ndarray | None, n: np.ndarray) -> None:
     for value, node in bits_of(w):
-        slot = slots_of(context, w, p, node).astype(np.int64)
+        slot, at = np.unique(slots_of(context, w, p, node).astype(np.int64), return_inverse=True)
         for bit in (0, 1):
-            counts[bit] += np.bincount(slot, np.where(value == bit, n, 0), SLOTS[context])
+            counts[bit][slot] += np.bincount(at, np.where(value == bit, n, 0), len(slot))
 
 
 def byte_counters(found: DataFrame) -> list[np.ndarray]:
@@ -329,13 +330,26 @@ def byte_counters(found: DataFrame) -> list[np.ndarray]:
 
 def word_counters(words: list[bytes], n: np.ndarray) -> np.ndarray:
     """Counters of the word context from the most frequent words (a fixed number); a space stands for what ends a word."""
-    counts = np.zeros((2, SLOTS[ORDERS]))
+    counts = np.zeros((2, SLOTS[ORDERS]), np.float32)
     for lo in range(0, len(words), 1 << 15):
         t = Texts(pa.array(words[lo : lo + (1 << 15)], pa.binary()))
         w, text = windows(t)
         symbol = np.where(w & np.uint64(255) == END, np.uint64(32), w & np.uint64(255))
         _add(counts, ORDERS, symbol, prefixes(t), n[lo : lo + (1 << 15)][text])
-    return counts.astype(np.float32)
+    return counts
+
+
+def most_frequent(vocabulary: DataFrame, head: int) -> DataFrame:
+    """The most frequent tokens, at most `head` of them: those above a count that sixteenths of octaves set."""
+    level = F.floor(F.log2("n") * 16)
+    sizes = sorted((r["level"], r["n"]) for r in vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect())
+    total, least = 0, math.inf
+    for at, n in reversed(sizes):
+        total += n
+        if total > head:
+            break
+        least = at
+    return vocabulary.where(level >= F.lit(least)) if least < math.inf else vocabulary.limit(0)
 
 
 def _summed(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -375,7 +389,7 @@ def train(docs: DataFrame, text_col: str, counters: list[np.ndarray], thin: int
         yield batch_of(at=np.arange(len(one)), a=one, b=both)
 
     model.set_map(*_summed(docs.select(text_col).mapInArrow(levels, "at long, a double, b double"), (256, LEVELS)))
-    shared.unpersist()
+    shared.destroy()
     return model
 
 
@@ -393,11 +407,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     floor = total + distinct + 1
-    frequent = found.where("kind = 0").orderBy(F.desc("n"), "key").limit(head).select("key", "token", "n").toPandas()
-    words = frequent[frequent["token"].map(len) > 0].head(WORDS)
+    frequent = most_frequent(found.where("kind = 0").select("key", "token", "n"), head).toPandas().sort_values("key")
+    words = frequent[frequent["token"].map(len) > 0]
     counters = [*byte_counters(found.where("kind = 1").select("key", "n")), word_counters(words["token"].map(bytes).tolist(), words["n"].to_numpy())]
     model = train(training, text_col, counters)
-    frequent = frequent.sort_values("key")
     spark = docs.sparkSession.sparkContext
     shared = spark.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 

@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tallyfolio.llm.common import SPACE, Texts, batch_of, mixed, pieces, range_hashes, stored
 
 BUCKETS = 1 << 10
-#: Labelled documents of each half that the classifier is fitted on, at most.
+#: Labelled documents of each half that the classifier is fitted on (the bound of that sample).
 LABELS = 1 << 17
 SEED = 17
 
@@ -158,16 +158,17 @@ def cut(scored: DataFrame, bins: int = 8192, reach: float = 512.0, clean: int =
 def good_labels(labels: DataFrame, half: int, id_col: str = "doc_id", most: int = LABELS) -> DataFrame:
     """(id_col, good): whether any label calls the document good.  One half fits the target, the other sets k.
 
-    The classifier is fitted on a bounded sample: at most `most` labelled documents of each half, by a hash of their ids.
+    The classifier is fitted on a bounded sample: about `most` labelled documents of each half, by a hash of their ids.
     """
-    own = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half
-    rows = labels.where(own & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg((F.max("quality") == 1).alias("good"))
-    return rows.orderBy(F.xxhash64(id_col, F.lit(half)), id_col).limit(most)
+    own = labels.where((F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half) & F.col("quality").isNotNull())
+    share = min(1.0, most / max(1, own.count()))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))
+    return own.where(chosen).groupBy(F.col("doc_id").alias(id_col)).agg((F.max("quality") == 1).alias("good"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """Log ratios of the two models: the raw one from all documents, the target from the good ones of half of the labels."""
-    marked = docs.select(id_col, text_col).join(F.broadcast(good_labels(labels, 0, id_col)), id_col, "left")  # at most LABELS rows
+    marked = docs.select(id_col, text_col).join(F.broadcast(good_labels(labels, 0, id_col)), id_col, "left")  # about LABELS rows
     return log_ratios(counts(marked, text_col, "good", buckets), buckets)
 
 
