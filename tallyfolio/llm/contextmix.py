@@ -10,9 +10,9 @@ Training covers every training document: tokens and windows of five bytes are co
 its own first), and the counters of all contexts follow from them; word contexts hold the
 most frequent tokens, `head` at most.
 Mixing weights are learnt online in every partition and averaged, each bit predicted without its own last occurrence,
-and so is the map.  These few hundred numbers are fitted on one context in `thin`, drawn by its hash from all training
-documents.  The model has a fixed number of slots; tokens, windows and their counts stay in Spark and grow with the
-corpus.
+and so is the map.  These few thousand numbers are the one thing that is fitted on a sample: one training document in
+`THIN`, by a hash of its id.  The model has a fixed number of slots; tokens, windows and their counts stay in Spark and
+grow with the corpus.
 
 The base score (add-one unigrams of words) looks up counts of the most frequent tokens in a broadcast table of
 `head` rows, and all others by a join on the token's hash, which no frequent token takes part in.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tallyfolio.llm.common import BLOCK, SPACE, Texts, batch_of, byte_values, mixed, pieces, powers, range_hashes, splitmix, stored
 
 FOLDS, HELD = 7, 2
-HEAD, THIN = 1 << 17, 8
+HEAD, THIN = 1 << 17, 16
 #: Slots of each context's counters (1 to 4 bytes, then the word so far), and slots per row on their way to the driver.
 SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 21)
 PACK = 4096
@@ -44,7 +44,9 @@ ORDERS, CONTEXTS = 4, len(SLOTS)
 BEFORE, END = 0xFE, 0xFF
 END_TOKEN = np.uint64(splitmix(7777))
 ALPHA, LEVELS, START = 0.4, 33, 200.0
-GATES = 5 * 5 * 6 * 4
+#: What the longer contexts must have seen for each level of the gate.
+STEPS = {2: (1, 8, 64), 3: (1, 4, 32, 256), 4: (1, 3, 12, 60, 500)}
+GATES = 5 * 4 * 5 * 6
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _APART = SPACE.copy()
@@ -116,6 +118,30 @@ class Tally:
         return out
 
 
+class Seats:
+    """A tally with a table of fixed size in front: the first number of each slot is counted there, others in `rest`."""
+
+    def __init__(self, size: int = 1 << 20):
+        self.mask, self.rest = np.uint64(size - 1), Tally()
+        self.keys, self.counts = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        slot = (mixed(keys) & self.mask).astype(np.int64)
+        new = self.keys[slot] == 0
+        self.keys[slot[new]] = keys[new]
+        seated = self.keys[slot] == keys
+        self.counts += np.bincount(slot[seated], minlength=len(self.counts))
+        if not seated.all():
+            self.rest.add(keys[~seated])
+
+    def flush(self, kind: int) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(self.counts)
+        seated = Tally()
+        seated.keys, seated.counts = self.keys[at], self.counts[at]
+        yield seated.flush(kind)
+        yield self.rest.flush(kind)
+
+
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every word and of the end of each text, the index of its text, and the words' first and last bytes."""
     starts, ends, first = t.words()
@@ -127,18 +153,19 @@ def counted(docs: DataFrame, text_col: str, most: int = 1 << 20) -> DataFrame:
     """(kind, key, token, n): counts of tokens (kind 0; the end has no bytes) and of five-byte windows (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tally = (Tally(), Tally())
+        words, seats = Tally(), Seats()
         for batch in batches:
             for _, texts in pieces(batch, text_col):
                 h, _, starts, ends = tokens(texts)
                 low = _LOWER[texts.data].tobytes()
-                tally[0].add(h, lambda i, low=low, s=starts, e=ends: low[s[i] : e[i]] if i < len(s) else b"")
-                tally[1].add(windows(texts)[0])
-                for kind in (0, 1):
-                    if len(tally[kind].keys) > most:
-                        yield tally[kind].flush(kind)
-        for kind in (0, 1):
-            yield tally[kind].flush(kind)
+                words.add(h, lambda i, low=low, s=starts, e=ends: low[s[i] : e[i]] if i < len(s) else b"")
+                seats.add(windows(texts)[0])
+                if len(words.keys) > most:
+                    yield words.flush(0)
+                if len(seats.rest.keys) > most:
+                    yield seats.rest.flush(1)
+        yield words.flush(0)
+        yield from seats.flush(1)
 
     parts = docs.select(text_col).mapInArrow(run, "kind int, key long, token binary, n long")
     return parts.groupBy("kind", "key", "token").agg(F.sum("n").alias("n"))
@@ -164,6 +191,10 @@ def slots_of(context: int, w: np.ndarray, p: np.ndarray | None, node: np.ndarray
     return mixed(key) & np.uint64(SLOTS[context] - 1)
 
 
+def _level(context: int, seen: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.array(STEPS.get(context, ()), float), seen, "right")
+
+
 class Model:
     """Counters by context (2 x slots), mixing weights by gate, and the refining map by bits so far and level."""
 
@@ -171,6 +202,15 @@ class Model:
         self.counters = counters
         self.weights = np.full((GATES, CONTEXTS + 1), 0.3)
         self.map = None
+        self.ready: list[tuple[np.ndarray, np.ndarray]] = []  # of each slot: stretched prediction, level of what it has seen
+
+    def frozen(self) -> Model:
+        """For scoring: predictions in place of counts."""
+        out = Model([])
+        out.weights, out.map = self.weights, self.map
+        for o, (zero, one) in enumerate(self.counters):
+            out.ready.append((np.log((one + ALPHA) / (zero + ALPHA)).astype(np.float32), _level(o, zero + one).astype(np.uint8)))
+        return out
 
     def inputs(self, w: np.ndarray, p: np.ndarray, node: np.ndarray, own: np.ndarray | None = None):
         """Stretched predictions of all contexts, and the gate: place in the word, and how much the longer contexts have seen.  `own`: bits whose last occurrence is left out."""
@@ -184,22 +224,21 @@ class Model:
             gate += inside
         for o in range(CONTEXTS):
             slot = slots_of(o, w, p, node)
-            zero, one = self.counters[o][0][slot].astype(float), self.counters[o][1][slot].astype(float)
-            if own is not None:
-                one = np.maximum(one - own, 0)
-                zero = np.maximum(zero - (1 - own), 0)
-            np.subtract(np.log(one + ALPHA), np.log(zero + ALPHA), out=x[o])
-            seen = one + zero
-            if o == ORDERS:
-                gate = gate * 6 + (seen >= 1) + (seen >= 3) + (seen >= 12) + (seen >= 60) + (seen >= 500)
-            elif o == ORDERS - 1:
-                gate = gate * 5 + (seen >= 1) + (seen >= 4) + (seen >= 32) + (seen >= 256)
-            elif o == ORDERS - 2:
-                gate = gate * 4 + (seen >= 1) + (seen >= 8) + (seen >= 64)
+            if self.ready:
+                x[o], level = self.ready[o][0][slot], self.ready[o][1][slot]
+            else:
+                zero, one = self.counters[o][0][slot].astype(float), self.counters[o][1][slot].astype(float)
+                if own is not None:
+                    one = np.maximum(one - own, 0)
+                    zero = np.maximum(zero - (1 - own), 0)
+                x[o] = np.log((one + ALPHA) / (zero + ALPHA))
+                level = _level(o, one + zero)
+            if o in STEPS:
+                gate = gate * (len(STEPS[o]) + 1) + level
         return x, gate
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((self.weights[gate].T * x).sum(0), -16, 16)
+        return np.clip(sum(self.weights[:, k][gate] * x[k] for k in range(CONTEXTS + 1)), -16, 16)
 
     def refine(self, s: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Probability of a one: the mean of the mixture and of the map between its two nearest levels."""
@@ -215,38 +254,35 @@ class Model:
     def log10(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
         """log10 probability of each window's last byte."""
         out = np.zeros(len(w))
-        for lo in range(0, len(w), 1 << 16):
-            some, word = w[lo : lo + (1 << 16)], p[lo : lo + (1 << 16)]
+        for lo in range(0, len(w), 1 << 13):
+            some, word = w[lo : lo + (1 << 13)], p[lo : lo + (1 << 13)]
             for value, node in bits_of(some):
                 q = self.refine(self.mix(*self.inputs(some, word, node)), node)
-                out[lo : lo + (1 << 16)] += np.log10(np.where(value == 1, q, 1 - q))
+                out[lo : lo + (1 << 13)] += np.log10(np.where(value == 1, q, 1 - q))
         return out
 
-    def learn(self, w: np.ndarray, p: np.ndarray, n: np.ndarray, bend: np.ndarray, rate: float, batch: int = 2048) -> None:
-        """Online steps over places (w, p) met n times.  `bend` gathers each weight's curvature, which shortens its steps."""
+    def learn(self, w: np.ndarray, p: np.ndarray, n: np.ndarray, bend: np.ndarray, one: np.ndarray, both: np.ndarray, rate: float, batch: int = 4096) -> None:
+        """Online steps over places (w, p) met n times.
+
+        `bend` gathers each weight's curvature, which shortens its steps; `one` and `both` gather ones and all bits at each
+        level of the map, shared between the two nearest levels of what was predicted before the step.
+        """
         for lo in range(0, len(w), batch):
             some, word, times = w[lo : lo + batch], p[lo : lo + batch], n[lo : lo + batch].astype(float)
             for value, node in bits_of(some):
                 own = value.astype(float)
                 x, gate = self.inputs(some, word, node, own)
-                q = 1 / (1 + np.exp(-self.mix(x, gate)))
+                s = self.mix(x, gate)
+                at = (np.clip(s, -8, 8) + 8) * ((LEVELS - 1) / 16)
+                low = np.minimum(at.astype(np.int64), LEVELS - 2)
+                for step, share in ((0, 1 - (at - low)), (1, at - low)):
+                    row = node.astype(np.int64) * LEVELS + low + step
+                    one += np.bincount(row, own * share * times, 256 * LEVELS)
+                    both += np.bincount(row, share * times, 256 * LEVELS)
+                q = 1 / (1 + np.exp(-s))
                 error, curve = (own - q) * times, q * (1 - q) * times
-                step = np.stack([np.bincount(gate, error * x[k], GATES) for k in range(CONTEXTS + 1)], 1)
                 bend += np.stack([np.bincount(gate, curve * x[k] * x[k], GATES) for k in range(CONTEXTS + 1)], 1)
-                self.weights += rate * step / bend
-
-    def levels(self, w: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ones and all bits at each level of the map, shared between the two nearest levels."""
-        one, both = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
-        for value, node in bits_of(w):
-            own = value.astype(float)
-            at = (np.clip(self.mix(*self.inputs(w, p, node, own)), -8, 8) + 8) * ((LEVELS - 1) / 16)
-            low = np.minimum(at.astype(np.int64), LEVELS - 2)
-            for step, share in ((0, 1 - (at - low)), (1, at - low)):
-                row = node.astype(np.int64) * LEVELS + low + step
-                one += np.bincount(row, own * share * n, 256 * LEVELS)
-                both += np.bincount(row, share * n, 256 * LEVELS)
-        return one, both
+                self.weights += rate * np.stack([np.bincount(gate, error * x[k], GATES) for k in range(CONTEXTS + 1)], 1) / bend
 
     def set_map(self, one: np.ndarray, both: np.ndarray, weight: float = 8.0) -> None:
         level = 1 / (1 + np.exp(-(np.arange(LEVELS) * (16 / (LEVELS - 1)) - 8)))
@@ -261,15 +297,15 @@ def _key(w: np.ndarray, p: np.ndarray) -> np.ndarray:
 class Cache:
     """log10 probabilities of the places that a task has met, in a table of fixed size: each slot holds the last one."""
 
-    def __init__(self, model: Model, size: int = 1 << 20):
+    def __init__(self, model: Model, size: int = 1 << 22):
         self.model, self.mask = model, np.uint64(size - 1)
-        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size)
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
         self.keys[0] = 1
 
     def log10(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
         key = _key(w, p)
         slot = (key & self.mask).astype(np.int64)
-        out = self.values[slot]
+        out = self.values[slot].astype(float)
         miss = np.flatnonzero(self.keys[slot] != key)
         if len(miss):
             new, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
@@ -280,13 +316,11 @@ class Cache:
         return out
 
 
-def places(t: Texts, thin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct places (w, p) of a batch and how often they are met; one in `thin` of them, by their hash."""
+def places(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct places (w, p) of a batch and how often they are met."""
     w, p = windows(t)[0], prefixes(t)
-    key = _key(w, p)
-    at = np.flatnonzero(key % np.uint64(thin) == 0)
-    _, first, n = np.unique(key[at], return_index=True, return_counts=True)
-    return w[at[first]], p[at[first]], n  # in the order of the hash, not of the alphabet
+    _, first, n = np.unique(_key(w, p), return_index=True, return_counts=True)
+    return w[first], p[first], n  # in the order of the hash, not of the alphabet
 
 
 def _add(counts: np.ndarray, context: int, w: np.ndarray, p: np.ndarray | None, n: np.ndarray) -> None:
@@ -352,43 +386,28 @@ def most_frequent(vocabulary: DataFrame, head: int) -> DataFrame:
     return vocabulary.where(level >= F.lit(least)) if least < math.inf else vocabulary.limit(0)
 
 
-def _summed(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Sum of (at, a, b) over partitions; as many rows as the model has, for any corpus."""
-    out = np.zeros((2, shape[0] * shape[1]))
-    for r in rows.groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
-        out[:, r["at"]] = r["a"], r["b"]
-    return out
-
-
-def train(docs: DataFrame, text_col: str, counters: list[np.ndarray], thin: int = THIN, rate: float = 0.3) -> Model:
-    """The model from its counters: weights, then map, both over all documents of `docs`."""
+def train(docs: DataFrame, text_col: str, counters: list[np.ndarray], rate: float = 0.3) -> Model:
+    """The model from its counters: weights and map, learnt in one pass over `docs`."""
     model = Model(counters)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = GATES * (CONTEXTS + 1)
 
     def learn(batches):
         own, bend = Model(shared.value.counters), np.full((GATES, CONTEXTS + 1), START)
-        for batch in batches:
-            for _, texts in pieces(batch, text_col):
-                own.learn(*places(texts, thin), bend, rate)
-        mass = bend.reshape(-1) - START
-        yield batch_of(at=np.arange(len(mass)), a=own.weights.reshape(-1) * mass, b=mass)
-
-    a, b = _summed(docs.select(text_col).mapInArrow(learn, "at long, a double, b double"), (GATES, CONTEXTS + 1))
-    model.weights = np.where(b > 0, a / np.maximum(b, 1e-9), model.weights.reshape(-1)).reshape(GATES, CONTEXTS + 1)
-    weighted = context.broadcast(model.weights)
-
-    def levels(batches):
-        own = Model(shared.value.counters)
-        own.weights = weighted.value
         one, both = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
         for batch in batches:
             for _, texts in pieces(batch, text_col):
-                o, b = own.levels(*places(texts, thin))
-                one, both = one + o, both + b
-        yield batch_of(at=np.arange(len(one)), a=one, b=both)
-
-    model.set_map(*_summed(docs.select(text_col).mapInArrow(levels, "at long, a double, b double"), (256, LEVELS)))
+                own.learn(*places(texts), bend, one, both, rate)
+        mass = bend.reshape(-1) - START
+        yield batch_of(at=np.arange(size + len(one)), a=np.concatenate((own.weights.reshape(-1) * mass, one)), b=np.concatenate((mass, both)))
+
+    # as many rows as the model has weights and levels, for any corpus
+    a, b = np.zeros(size + 256 * LEVELS), np.zeros(size + 256 * LEVELS)
+    for r in docs.select(text_col).mapInArrow(learn, "at long, a double, b double").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
+        a[r["at"]], b[r["at"]] = r["a"], r["b"]
+    weights = np.where(b[:size] > 0, a[:size] / np.maximum(b[:size], 1e-9), model.weights.reshape(-1))
+    model.weights = weights.reshape(GATES, CONTEXTS + 1)
+    model.set_map(a[size:], b[size:])
     shared.destroy()
     return model
 
@@ -410,7 +429,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     frequent = most_frequent(found.where("kind = 0").select("key", "token", "n"), head).toPandas().sort_values("key")
     words = frequent[frequent["token"].map(len) > 0]
     counters = [*byte_counters(found.where("kind = 1").select("key", "n")), word_counters(words["token"].map(bytes).tolist(), words["n"].to_numpy())]
-    model = train(training, text_col, counters)
+    fitted = training.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(THIN)) == 0)
+    model = train(fitted, text_col, counters).frozen()
     spark = docs.sparkSession.sparkContext
     shared = spark.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 
