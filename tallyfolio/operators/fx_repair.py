@@ -7,6 +7,8 @@ Rows are identified by (account_label, row_seq).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,9 +20,11 @@ from tallyfolio.session import materialize
 DEBIT, CREDIT = "valuta debitering", "valuta creditering"
 TRADE_WORDS = r"\b(?:koop|verkoop|buy|sell)\b"
 EUR_TOLERANCE, FOREIGN_TOLERANCE = 0.05, 0.03
-LOOKAROUND_DAYS, MAX_CANDIDATES = 3, 20
+LOOKAROUND_DAYS = 3
 # ------------------------------------------------------------------------------
 KEY = ["account_label", "row_seq"]
+#: Amounts are summed in hundredths of a cent.
+UNIT = 10_000
 
 
 def _prepared(rows: DataFrame) -> DataFrame:
@@ -116,51 +120,88 @@ def fill_order_rates(rows: DataFrame) -> DataFrame:
 
 
 def unique_subset(values: np.ndarray, ids: np.ndarray, target: float, tolerance: float = FOREIGN_TOLERANCE):
-    """The only subset whose absolute sum hits the target, else None.
+    """Ids of the only subset whose absolute sum hits the target, else None.
 
-    The rule looks at the twenty largest amounts (ties: later rows first).
+    All candidates take part.  Sums are whole hundredths of a cent; after each candidate equal sums are one row with the
+    number of ways to get there (two or more count as two), and sums from which no hit can be reached are left out.
     """
-    if not np.isfinite(target) or target <= 0 or len(values) == 0:
+    if not np.isfinite(target) or target <= 0:
         return None
-    order = np.lexsort((-ids, -np.abs(values)))[:MAX_CANDIDATES]
-    sums = np.zeros(1)
-    for v in values[order]:
-        sums = np.concatenate([sums, sums + v])
-    hits = np.flatnonzero(np.abs(np.abs(sums[1:]) - target) <= tolerance) + 1
-    if len(hits) != 1:
+    values, ids = values[np.isfinite(values)], ids[np.isfinite(values)]
+    order = np.argsort(-np.abs(values), kind="stable")
+    units = np.rint(values[order] * UNIT).astype(np.int64)
+    near, far = math.ceil((target - tolerance) * UNIT - 1e-6), math.floor((target + tolerance) * UNIT + 1e-6)
+    up = np.append(np.cumsum(np.maximum(units, 0)[::-1])[::-1], 0)
+    down = np.append(np.cumsum(np.minimum(units, 0)[::-1])[::-1], 0)
+    sums, ways = np.zeros(1, np.int64), np.ones(1, np.int64)
+    steps = [sums]
+    for i, v in enumerate(units.tolist()):
+        both, at = np.unique(np.concatenate((sums, sums + v)), return_inverse=True)
+        count = np.minimum(np.bincount(at, np.concatenate((ways, ways)), len(both)), 2).astype(np.int64)
+        low, high = both + down[i + 1], both + up[i + 1]
+        alive = ((high >= near) & (low <= far)) | ((low <= -near) & (high >= -far))
+        sums, ways = both[alive], count[alive]
+        steps.append(sums)
+    hit = np.abs(np.abs(sums / UNIT) - target) <= tolerance
+    empty = hit & (sums == 0)  # one of its ways is the empty subset, which is none
+    left = sums[hit & ~empty]
+    if ways[hit].sum() - int(empty.any()) != 1 or len(left) != 1:
         return None
-    return ids[order[[b for b in range(len(order)) if hits[0] >> b & 1]]]
+    left, chosen = int(left[0]), []
+    for i in range(len(units) - 1, -1, -1):
+        before = steps[i]
+        k = int(np.searchsorted(before, left))
+        if k < len(before) and before[k] == left:
+            continue
+        chosen.append(ids[order[i]])
+        left -= int(units[i])
+    return np.array(chosen)
+
+
+_MATCHED = {"account_label": "object", "row_seq": "int64", "matched_rate": "float64"}
+
+
+def _days(column: pd.Series) -> np.ndarray:
+    """Days since 1970 of a date column; -1 << 40 where it is missing."""
+    at = pd.to_datetime(column).to_numpy(dtype="datetime64[D]")
+    return np.where(np.isnat(at), np.int64(-(1 << 40)), at.astype(np.int64))
 
 
 def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exchanges of one session in time order; a matched row is used once."""
+    """Exchanges of one session in time order; a matched row is used once.
+
+    Candidates are sorted by value date and by time, so an exchange looks only at those within its reach.
+    """
     is_debit = pdf["is_debit"].to_numpy(dtype=bool)
-    if is_debit.all() or not is_debit.any():
-        return pd.DataFrame({"account_label": [], "row_seq": [], "matched_rate": []})
-    debits = pdf[is_debit]
-    if len(debits) > 1:
-        debits = debits.sort_values(["datetime", "row_seq"], na_position="last")
-    cand = pdf[~is_debit]
+    debits = pdf[is_debit].sort_values(["datetime", "row_seq"], na_position="last")
+    cand = pdf[~is_debit].sort_values("row_seq", ascending=False)  # among equal amounts the later row first
     ids, amounts = cand["row_seq"].to_numpy(), cand["raw_change"].to_numpy(dtype=float)
-    when = cand["datetime"].to_numpy(dtype="datetime64[ns]")
-    value_day = pd.to_datetime(cand["value_date"]).to_numpy(dtype="datetime64[ns]")
+    when = cand["datetime"].to_numpy(dtype="datetime64[us]").astype(np.int64)
+    day = _days(cand["value_date"])
+    by_day, by_time = np.argsort(day, kind="stable"), np.argsort(when, kind="stable")
+    days, times = day[by_day], when[by_time]
     free = np.ones(len(ids), dtype=bool)
     out = []
-    around = np.timedelta64(LOOKAROUND_DAYS, "D")
-    for d in debits.itertuples(index=False):
+    around = LOOKAROUND_DAYS * 86_400_000_000
+    missing = np.iinfo(np.int64).min
+
+    def subset(rows: np.ndarray, target: float):
+        rows = np.sort(rows[free[rows]])
+        return unique_subset(amounts[rows], rows, target)
+
+    for d, own_day in zip(debits.itertuples(index=False), _days(debits["value_date"]).tolist(), strict=True):
         target = abs(d.raw_change)
         hit = None
-        if not pd.isna(d.value_date):
-            near = free & (value_day == np.datetime64(pd.Timestamp(d.value_date), "ns"))
-            hit = unique_subset(amounts[near], ids[near], target)
+        if own_day > -(1 << 40):
+            hit = subset(by_day[np.searchsorted(days, own_day) : np.searchsorted(days, own_day, "right")], target)
         if hit is None and not pd.isna(d.datetime):
-            at = np.datetime64(d.datetime, "ns")
-            near = free & ~np.isnat(when) & (when >= at - around) & (when <= at + around)
-            hit = unique_subset(amounts[near], ids[near], target)
+            at = int(np.datetime64(d.datetime, "us").astype(np.int64))
+            lo, hi = np.searchsorted(times, max(at - around, missing + 1)), np.searchsorted(times, at + around, "right")
+            hit = subset(by_time[lo:hi], target)
         if hit is not None:
-            free &= ~np.isin(ids, hit)
-            out.extend((d.account_label, int(i), float(d.fx_rate)) for i in hit)
-    return pd.DataFrame(out, columns=["account_label", "row_seq", "matched_rate"])
+            free[hit] = False
+            out.extend((d.account_label, int(ids[i]), float(d.fx_rate)) for i in hit)
+    return pd.DataFrame(out, columns=list(_MATCHED)).astype(_MATCHED)
 
 
 def exchange_matches(rows: DataFrame) -> DataFrame:
@@ -210,11 +251,14 @@ def exchange_matches(rows: DataFrame) -> DataFrame:
         .withColumn("opens", opens)
         .select(*keys, "lo", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("session"))
     )
+    # Most sessions hold exchanges or candidates alone: nothing can match there, and they don't reach Python.
+    rows = both.join(sessions, [*keys, "lo"]).select(*cols, "is_debit", "session")
+    mixed = rows.groupBy(*keys, "session").agg(F.bool_or("is_debit").alias("some"), F.bool_and("is_debit").alias("all"))
+    rows = rows.join(mixed.where("some AND NOT all").select(*keys, "session"), [*keys, "session"], "left_semi")
     # Matching is CPU-bound on few bytes, so the partition count is fixed: size-based
     # coalescing would run every session in one task.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = both.join(sessions, [*keys, "lo"]).select(*cols, "is_debit", "session").repartition(tasks, *keys, "session")
-    return grouped.groupBy(*keys, "session").applyInPandas(
+    tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys, "session").groupBy(*keys, "session").applyInPandas(
         _match_group, "account_label string, row_seq bigint, matched_rate double"
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyfolio.functions.numbers import money_sum0
 from tallyfolio.functions.text import (
-    blank_to_null, clean_text, first_text, holding_key, join_distinct, truncate_text,
+    blank_to_null, clean_text, first_text, holding_key, join_distinct,
 )
 
 ACCOUNT = "account_label"
@@ -486,7 +486,7 @@ def holdings_report(
             ACCOUNT,
             "instrument_id",
             "ticker",
-            truncate_text("product", 28).alias("product"),
+            "product",
             "is_etf",
             F.rint(qty).cast("bigint").alias("qty"),
             "last_px_eur",

@@ -188,23 +188,28 @@ AUDIT_COLUMNS = (
 )
 
 
-def ledger_listing(ledger: DataFrame, last: int = 5000) -> DataFrame:
-    """Newest `last` ledger rows per portfolio with their position in the full listing.
+def ledger_listing(ledger: DataFrame, last: int | None = None) -> DataFrame:
+    """Ledger rows per portfolio with their position in it; `last`: only the newest so many.
 
-    The position is count - rank-from-the-end + 1, so only the top rows are ranked
-    (Spark limits each map task to `last` rows per portfolio) and no task ever
-    sorts a whole portfolio.
+    A position is the rows of earlier days (sums per day, then one window over days) plus the rank within the day, so
+    no task ever sorts a whole portfolio.
     """
-    newest = Window.partitionBy(ACCOUNT).orderBy(
-        F.col("datetime").desc_nulls_first(), F.col("row_seq").desc()
-    )
-    counts = ledger.groupBy(ACCOUNT).agg(F.count(F.lit(1)).alias("n"))
-    top = ledger.withColumn("rank_from_end", F.row_number().over(newest)).where(
-        F.col("rank_from_end") <= last
-    )
+    day = F.to_date("datetime")
+    rows = ledger.withColumn("_day", day)
+    days = rows.groupBy(ACCOUNT, "_day").agg(F.count(F.lit(1)).alias("_rows"))
+    # rows without a time come last, as the newest
+    by_day = Window.partitionBy(ACCOUNT).orderBy(F.col("_day").asc_nulls_last())
+    days = days.withColumn("_before", F.coalesce(F.sum("_rows").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    days = days.withColumn("n", F.sum("_rows").over(Window.partitionBy(ACCOUNT)))
+    days = days.select(F.col(ACCOUNT).alias("_account"), F.col("_day").alias("_on"), "_before", "n")
+    same = F.col(ACCOUNT).eqNullSafe(F.col("_account")) & F.col("_day").eqNullSafe(F.col("_on"))
+    in_day = Window.partitionBy(ACCOUNT, "_day").orderBy("datetime", "row_seq")
+    top = rows.withColumn("_rank", F.row_number().over(in_day)).join(days, same).withColumn("row_number", F.col("_before") + F.col("_rank"))
+    if last is not None:
+        top = top.where(F.col("row_number") > F.col("n") - last)
     present = [c for c in AUDIT_COLUMNS if c in ledger.columns]
-    return top.join(counts, ACCOUNT).select(
-        (F.col("n") - F.col("rank_from_end") + 1).alias("row_number"),
+    return top.select(
+        "row_number",
         ACCOUNT,
         iso_second("datetime").alias("datetime"),
         *present,

@@ -310,10 +310,9 @@ def price_fill_stats(
     )
 
 
-def cash_timeline(metrics: DataFrame, last: int = 5000) -> DataFrame:
-    """Cash, flows and values per day with day-on-day changes; newest `last` days."""
+def cash_timeline(metrics: DataFrame, last: int | None = None) -> DataFrame:
+    """Cash, flows and values per day with day-on-day changes; `last`: only the newest so many days."""
     w = Window.partitionBy(ACCOUNT).orderBy("date")
-    newest = F.row_number().over(Window.partitionBy(ACCOUNT).orderBy(F.col("date").desc()))
     rows = metrics.select(
         ACCOUNT,
         F.row_number().over(w).alias("row_number"),
@@ -329,9 +328,11 @@ def cash_timeline(metrics: DataFrame, last: int = 5000) -> DataFrame:
         F.col("positions_value").alias("positions_value_eur"),
         F.col("portfolio_value").alias("portfolio_value_eur"),
         (F.col("cash_from_statement") - F.col("cash_from_changes")).alias("cash_statement_vs_changes_delta_eur"),
-        newest.alias("from_end"),
     )
-    return rows.where(F.col("from_end") <= last).drop("from_end")
+    if last is None:
+        return rows
+    newest = F.row_number().over(Window.partitionBy(ACCOUNT).orderBy(F.col("date").desc()))
+    return rows.withColumn("from_end", newest).where(F.col("from_end") <= last).drop("from_end")
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:

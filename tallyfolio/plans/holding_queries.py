@@ -504,9 +504,8 @@ def performance_action_plan(v):
     return allocation.performance_action_plan(timeseries.latest_metrics(m), performance.trailing_performance(m), over, performance.contribution_pace(m))
 
 
-_DIAG = """CASE WHEN account_label = 'Combined' THEN 'Combined by summing per-dataset latest per-currency cash checks.' WHEN missing_fx > 0 THEN 'FX conversion missing for ' || missing_fx || ' latest non-EUR cash balance row(s); only those rows are excluded from account-cash total.'
- WHEN portfolio_cash_rows = 0 THEN 'Portfolio snapshot cash rows missing.' WHEN cash_delta_eur IS NULL THEN 'Unable to compute cash delta from inputs.' WHEN abs(cash_delta_eur) < 1 THEN 'Cash reconciliation looks good.'
- WHEN abs(cash_delta_eur) < 50 THEN 'Small mismatch; likely timing/rounding between exports.' ELSE 'Large mismatch; verify cash row detection and FX conversion.' END"""
+_DIAG = """CASE WHEN account_label = 'Combined' THEN 'summed' WHEN missing_fx > 0 THEN 'rate_missing' WHEN portfolio_cash_rows = 0 THEN 'no_snapshot_cash'
+ WHEN cash_delta_eur IS NULL THEN 'no_delta' WHEN abs(cash_delta_eur) < 1 THEN 'match' WHEN abs(cash_delta_eur) < 50 THEN 'near' ELSE 'mismatch' END"""
 
 
 @query(

@@ -153,7 +153,12 @@ def order_rates(v):
     )
 
 
-@query("exchange_matches")
+@query(
+    "exchange_matches",
+    "",
+    "SELECT 'P' || CAST(o_custkey // 10 AS VARCHAR) AS account_label, o_orderkey * 3 + 2 AS row_seq, 1.25 AS matched_rate FROM orders",
+    "account_label row_seq:i matched_rate:d",
+)
 def exchange_matches(v):
     """Rates given to rows paid by exchanges without an order id (sequential matching)."""
     return fx_repair.exchange_matches(fx_repair.rescale_rates(exchanges(v, orders=False)))
@@ -303,7 +308,7 @@ def strategy_targets(v):
     return target_rows(strategies(v), "target_currency_pct", ("c_custkey",))
 
 
-# --- fixed values: the asset types used as pivot columns --------------------------
+# --- fixed values: the asset types of the sample, for the SQL ----------------------
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 # ------------------------------------------------------------------------------
 
@@ -323,4 +328,6 @@ def daily_close_by_type(v):
     kinds = v.instruments().select("instrument_id", F.col("gics_sector").alias("kind"))
     trades = timeseries.daily_trades(v.tx(), ("instrument_id",)).join(kinds, "instrument_id").select("kind", "instrument_id", "date", "net_quantity")
     moves = timeseries.price_moves(eur_events(v), start, end)
-    return timeseries.daily_close_wide(trades, moves, end, "kind", TYPES, start).withColumnRenamed("date", "day")
+    # a column pair for every type there is, so none can drop out
+    found = sorted(r[0] for r in kinds.select("kind").where("kind IS NOT NULL").distinct().collect())
+    return timeseries.daily_close_wide(trades, moves, end, "kind", found, start).withColumnRenamed("date", "day")

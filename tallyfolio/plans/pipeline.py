@@ -14,7 +14,7 @@ from tallyfolio.operators import (
 )
 from tallyfolio.session import materialize
 from tallyfolio.sources import exports
-from tallyfolio.sources.tables import strict_classification
+from tallyfolio.sources.tables import classification_issues, strict_classification
 
 ACCOUNT = "account_label"
 COMBINED = "Combined"
@@ -40,13 +40,27 @@ class PipelineInputs:
     manual_values: DataFrame | None = None
     reported: DataFrame | None = None
     as_of: dt.date | None = None
+    classification: DataFrame | None = None
     issues: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def load_exports(spark: SparkSession, root: str, classification: DataFrame) -> PipelineInputs:
+#: Findings that make the figures worthless: `load_exports` refuses them unless told otherwise.
+FATAL = ("unparseable_accounts", "classification", "snapshot_without_value")
+
+
+def refuse(issues: dict[str, DataFrame]) -> None:
+    """ValueError that names the fatal findings, with a few examples of each."""
+    found = {name: [r.asDict() for r in issues[name].limit(3).collect()] for name in FATAL if name in issues}
+    found = {name: rows for name, rows in found.items() if rows}
+    if found:
+        raise ValueError("; ".join(f"{name}: {rows}" for name, rows in found.items()))
+
+
+def load_exports(spark: SparkSession, root: str, classification: DataFrame, strict: bool = True) -> PipelineInputs:
     """Read every `root/<portfolio>/{Transactions,Portfolio,Account}.csv` in one pass per kind.
 
-    Market data and strategy are left for the caller to fill in.
+    Market data and strategy are left for the caller to fill in.  With `strict`, fatal findings raise ValueError; without,
+    they are only listed in `issues`.
     """
     located, issues = {}, {}
     for name in exports.REQUIRED_FILES:
@@ -59,16 +73,20 @@ def load_exports(spark: SparkSession, root: str, classification: DataFrame) -> P
     tx = materialize(normalize.normalize_transactions(located["Transactions.csv"]), "transactions")
     pf = materialize(normalize.normalize_portfolio(located["Portfolio.csv"]), "portfolio")
     account = materialize(normalize.normalize_account(located["Account.csv"]), "account")
-    dim = materialize(
-        instruments.resolve_instruments(instruments.base_instruments(pf, tx), strict_classification(classification)),
-        "instruments",
-    )
+    known = strict_classification(classification)
+    if known.isEmpty():
+        raise ValueError("the classification has no usable row")
+    dim = materialize(instruments.resolve_instruments(instruments.base_instruments(pf, tx), known), "instruments")
+    issues["classification"] = classification_issues(classification)
+    issues["unparseable_accounts"] = normalize.unparseable_accounts(normalize.raw_account(located["Account.csv"]))
     tx, pf = instruments.attach_metadata(tx, dim), instruments.attach_metadata(pf, dim)
     issues["snapshot_without_value"] = normalize.snapshot_violations(pf)
     issues["instruments"] = dim.where(F.col("issue").isNotNull()).select("instrument_id", "product", "issue")
     issues["missing_values"] = quality.missing_value_issues(tx, pf, account)
     issues["ledger_coverage"] = quality.ledger_coverage(tx, account)
-    return PipelineInputs(tx, pf, account, dim, None, None, None, issues=issues)
+    if strict:
+        refuse(issues)
+    return PipelineInputs(tx, pf, account, dim, None, None, None, classification=known, issues=issues)
 
 
 def _combined_rows(rows: DataFrame) -> DataFrame:
@@ -134,8 +152,11 @@ def analyze(inputs: PipelineInputs) -> dict[str, DataFrame]:
     out["recent_trades"] = holdings.recent_trades(tx.drop("product", "ticker"), dim, prices_now)
 
     # Spread
-    classified = [c for c in holdings.CLASS_COLUMNS if c in dim.columns]
-    spread = holdings.holdings_for_spread(valued.join(dim.select("instrument_id", *classified), "instrument_id", "left"))
+    known = inputs.classification if inputs.classification is not None else dim.withColumn("row_seq", F.lit(0))
+    traits = instruments.resolve_characteristics(dim, known)
+    classified = [c for c in holdings.CLASS_COLUMNS if c in traits.columns]
+    spread = holdings.holdings_for_spread(valued.drop(*classified).join(traits.select("instrument_id", *classified), "instrument_id", "left"))
+    out["characteristic_matches"] = instruments.match_counts(traits)
     by_category = allocation.category_allocation(spread, table_totals)
     by_currency = allocation.currency_allocation(spread, _combined_rows(detail), table_totals)
     out["category_allocation"] = by_category
@@ -176,6 +197,8 @@ def analyze(inputs: PipelineInputs) -> dict[str, DataFrame]:
     out["performance_dashboard"] = performance.performance_dashboard(metrics, _combined_rows(tx), _combined_rows(account), dim)
     out["performance_summary"] = performance.performance_summary(out["performance_dashboard"], latest)
     out["growth"] = performance.growth_table(metrics)
+    out["contribution_pace"] = performance.contribution_pace(metrics)
+    out["cash_share"] = timeseries.cash_share(metrics)
     out["monthly_start_values"] = performance.monthly_start_values(
         metrics.where(F.col(ACCOUNT) != COMBINED), inputs.manual_values
     )

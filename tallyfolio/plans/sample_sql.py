@@ -104,7 +104,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         ["tx", "instruments"],
         f"""SELECT h.account_label, h.instrument_id, i.product, i.isin, i.ticker, i.currency, i.is_etf, h.quantity,
  {_cents("abs(h.quantity) * h.px")} AS value_eur, false AS is_cash_like
- FROM (SELECT account_label, instrument_id, sum(quantity) AS quantity, max(price) AS px FROM tx WHERE type = 'XAMS'
+ FROM (SELECT account_label, instrument_id, sum(quantity) + count(*) FILTER (WHERE type = 'XETR') AS quantity, max(price) AS px FROM tx
  GROUP BY 1, 2) h JOIN instruments i USING (instrument_id)
  UNION ALL
  SELECT 'P' || CAST(c_custkey // 10 AS VARCHAR), 'CASH EUR', 'CASH EUR', NULL, '', 'EUR', false, NULL,

@@ -153,7 +153,7 @@ class SampleViews:
         )
 
     def snapshot(self) -> DataFrame:
-        """Reported holdings: settled trades only, plus one cash row per portfolio."""
+        """Reported holdings: all trades, each line of one venue off by one piece, plus one cash row per portfolio."""
         cash = (
             self.table("customer")
             .groupBy(F.concat(F.lit("P"), F.floor(F.col("c_custkey") / 10).cast("string")).alias("account_label"))
@@ -173,9 +173,8 @@ class SampleViews:
         )
         held = (
             self.tx()
-            .where(F.col("type") == "XAMS")
             .groupBy("account_label", "instrument_id")
-            .agg(F.sum("quantity").alias("quantity"), F.max("price").alias("px"))
+            .agg((F.sum("quantity") + F.count_if(F.col("type") == "XETR")).alias("quantity"), F.max("price").alias("px"))
         )
         meta = self.instruments().select("instrument_id", "product", "isin", "ticker", "currency", "is_etf")
         positions = held.join(meta, "instrument_id").select(

@@ -224,13 +224,12 @@ def quarterly_costs_rollup(v):
 @query(
     "ledger_listing",
     "ledger",
-    """SELECT * FROM (SELECT row_number() OVER (PARTITION BY account_label ORDER BY datetime, row_seq) AS row_number,
- count(*) OVER (PARTITION BY account_label) AS n, * FROM ledger) WHERE row_number > n - 50""",
+    "SELECT row_number() OVER (PARTITION BY account_label ORDER BY datetime, row_seq) AS row_number, * FROM ledger",
     "row_number:i account_label datetime:s type description currency raw_change:d change_eur:d raw_balance:d balance_eur:d fx_rate:d is_external_flow is_internal_transfer is_cost",
 )
 def ledger_listing(v):
-    """Newest 50 ledger rows per portfolio with their position in the listing."""
-    return ledger.ledger_listing(v.ledger(), last=50).drop("is_income")
+    """Ledger rows per portfolio with their position in the listing."""
+    return ledger.ledger_listing(v.ledger()).drop("is_income")
 
 
 @query(

@@ -47,7 +47,7 @@ def normalized_split(etf: Column, non_etf: Column, cash: Column) -> Column:
 
 
 def clean_target_map(raw: Column) -> Column:
-    """Trim keys, drop blank keys and non-numbers, negatives become 0."""
+    """Trim keys, drop blank keys and non-numbers, negatives become 0; of keys that become equal the last stays."""
     pairs = F.transform(
         F.map_entries(raw),
         lambda e: F.struct(
@@ -55,6 +55,9 @@ def clean_target_map(raw: Column) -> Column:
         ),
     )
     kept = F.filter(pairs, lambda e: (e["key"] != "") & e["value"].isNotNull())
+    n = F.size(kept)
+    later = lambda i: F.exists(F.slice(kept, i + 2, n), lambda o: o["key"] == kept[i]["key"])
+    kept = F.filter(F.transform(kept, lambda e, i: F.when(~later(i), e)), lambda e: e.isNotNull())
     keys = F.transform(kept, lambda e: e["key"])
     values = F.transform(kept, lambda e: F.greatest(e["value"], F.lit(0.0)))
     return F.when(raw.isNotNull(), F.map_from_arrays(keys, values))

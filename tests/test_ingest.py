@@ -4,10 +4,12 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfolio.operators import fx_repair, normalize
 from tallyfolio.operators.quality import file_set_check
 from tallyfolio.sources import exports
+from tallyfolio.sources.strategy import clean_target_map
 
 LEDGER = "Date,Time,Value date,Product,ISIN,Description,FX,Change,,Balance,,Order Id\n"
 
@@ -225,3 +227,34 @@ def test_file_set(spark, tmp_path):
     (row,) = file_set_check(exports.list_files(spark, f"{tmp_path}/*/*.csv"), exports.REQUIRED_FILES).collect()
     assert row["folder"].endswith("/bad") and row["missing"] == "Portfolio.csv, Transactions.csv"
     assert row["unexpected"] == "Extra.csv"
+
+
+def matches(spark, rows):
+    """rows: (row_seq, second, description, currency, raw_change, fx_rate)"""
+    full = [("A", n, dt.datetime(2024, 3, 5, 12, 0, s), dt.date(2024, 3, 5), None, d, c, a, r) for n, s, d, c, a, r in rows]
+    ledger = spark.createDataFrame(full, "account_label string, row_seq long, datetime timestamp_ntz, value_date date, order_id string, description string, currency string, raw_change double, fx_rate double")
+    return {r["row_seq"]: r["matched_rate"] for r in fx_repair.exchange_matches(ledger).collect()}
+
+
+DEBIT = (900, 1, "Valuta Debitering", "USD", -17.0, 1.25)
+CREDIT = (901, 1, "Valuta Creditering", "EUR", 13.6, None)
+
+
+def test_session_with_one_kind_only(spark):
+    assert matches(spark, [(1, 0, "Dividend", "USD", 17.0, None)]) == {}
+    assert matches(spark, [DEBIT, CREDIT]) == {}
+    assert matches(spark, []) == {}
+
+
+def test_all_candidates_take_part(spark):
+    larger = [(i, i % 60, "Dividend", "USD", 1000.0 * 3**i, None) for i in range(25)]
+    assert matches(spark, [*larger, (99, 3, "Dividend", "USD", 17.0, None), DEBIT, CREDIT]) == {99: 1.25}
+    many = [(i, i % 60, "Dividend", "USD", 40.0 + i, None) for i in range(400)]
+    assert matches(spark, [*many, (500, 3, "Dividend", "USD", 20.0, None), (501, 4, "Dividendbelasting", "USD", -3.0, None), DEBIT, CREDIT]) == {500: 1.25, 501: 1.25}
+    alone = [(i, i % 60, "Dividend", "USD", 40.0 + i, None) for i in range(400)]
+    assert matches(spark, [*alone, (500, 3, "Dividend", "USD", 17.0, None), DEBIT, CREDIT]) == {500: 1.25}
+
+
+def test_target_keys_that_become_equal(spark):
+    raw = spark.sql("SELECT map('EUR', '50', ' EUR ', '60', 'usd', '10', 'USD', '20', '', '5') AS m")
+    assert raw.select(clean_target_map(F.col("m")).alias("m")).first()["m"] == {"EUR": 60.0, "usd": 10.0, "USD": 20.0}

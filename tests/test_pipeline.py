@@ -87,8 +87,8 @@ def test_combined_is_the_sum(results):
 
 def test_reconciliation_identities(results):
     rec = rows(results, "totals")
-    assert rec["alpha"]["cash_delta_eur"] == 0.0 and rec["alpha"]["diagnosis"] == "Cash reconciliation looks good."
-    assert rec["beta"]["diagnosis"] == "Portfolio snapshot cash rows missing."
+    assert rec["alpha"]["cash_delta_eur"] == 0.0 and rec["alpha"]["diagnosis"] == "match"
+    assert rec["beta"]["diagnosis"] == "no_snapshot_cash"
     assert rec["Combined"]["total_value_eur"] == rec["alpha"]["total_value_eur"] + rec["beta"]["total_value_eur"]
     (check,) = results["totals_check"].collect()
     assert check["delta_eur"] == 0.0
@@ -105,3 +105,24 @@ def test_every_table_runs(results):
     for name, df in results.items():
         assert df.columns, name
         df.limit(3).collect()
+
+
+def test_fatal_findings_are_refused(spark, tmp_path):
+    from tallyfolio.sources.tables import CLASSIFICATION
+
+    (tmp_path / "alpha").mkdir()
+    for name, text in FILES["alpha"].items():
+        (tmp_path / "alpha" / name).write_text(text)
+    schema = "row_seq int, " + ", ".join(f"{c} string" for c in CLASSIFICATION)
+    row = {c: "" for c in CLASSIFICATION} | {"instrument_id": "IE00B4L5Y983", "ticker": "WLD", "currency": "EUR"}
+    known = lambda **x: spark.createDataFrame([(1, *(row | x).values())], schema)
+    load_exports(spark, str(tmp_path), known(asset_class="ETF"))
+    with pytest.raises(ValueError, match="classification"):
+        load_exports(spark, str(tmp_path), known(asset_class="Boat"))
+    with pytest.raises(ValueError, match="no usable row"):
+        load_exports(spark, str(tmp_path), known(instrument_id=" "))
+    odd = FILES["alpha"]["Account.csv"].replace('"1000,00"', '"ten"').replace('"-101,00"', '"x"').replace('"899,00"', '"y"').replace('"47,00"', '"z"').replace('"946,00"', '"w"')
+    (tmp_path / "alpha" / "Account.csv").write_text(odd)
+    with pytest.raises(ValueError, match="unparseable_accounts"):
+        load_exports(spark, str(tmp_path), known(asset_class="ETF"))
+    assert load_exports(spark, str(tmp_path), known(asset_class="ETF"), strict=False).issues["unparseable_accounts"].count() == 1
