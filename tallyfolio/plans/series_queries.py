@@ -388,10 +388,35 @@ def money_weighted_returns(v):
     return performance.period_rates(metrics(v), v.ledger()).where(F.col("mode") == "all_time").select("account_label", "xirr_pct")
 
 
-@query("period_rates")
+_F = "list_sum(list_transform(range(1, len(vs) + 1), lambda i: vs[i] * pow(1 + ({r}), -ds[i])))"
+_RATE_SQL = f"""WITH RECURSIVE p AS (SELECT * FROM {_PERIODS}),
+ dayf AS (SELECT account_label, mode, period, list(CAST(date - ss AS DOUBLE) ORDER BY date) AS ds, list(-day_flow ORDER BY date) AS vs FROM {_TAGGED} WHERE date > ss AND abs(day_flow) > 1e-9 GROUP BY 1, 2, 3),
+ ext AS (SELECT account_label, mode, period, list(d ORDER BY d) AS ds, list(v ORDER BY d) AS vs FROM (SELECT p.account_label, p.mode, p.period, CAST(CAST(l.datetime AS DATE) - p.a AS DOUBLE) AS d, -sum({_EFF}) AS v
+  FROM p JOIN ledger l ON l.account_label = p.account_label AND l.datetime >= p.a AND l.datetime <= p.b WHERE is_external_flow AND abs({_EFF}) > 1e-9 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ raw AS (SELECT p.*, CAST(b - a AS DOUBLE) AS n, coalesce(dayf.ds, []) AS dd, coalesce(dayf.vs, []) AS dv, coalesce(ext.ds, dayf.ds, []) AS xd, coalesce(ext.vs, dayf.vs, []) AS xv
+  FROM p LEFT JOIN dayf USING (account_label, mode, period) LEFT JOIN ext USING (account_label, mode, period)),
+ g AS (SELECT * FROM (SELECT account_label, mode, period, kind, list_concat([-start_value_eur], CASE WHEN kind = 'irr' THEN dv ELSE xv END, [end_value_eur]) AS vs,
+   list_transform(list_concat([0.0], CASE WHEN kind = 'irr' THEN dd ELSE xd END, [n]), lambda d: d / CASE WHEN kind = 'irr' THEN 1.0 ELSE 365.0 END) AS ds FROM raw, (VALUES ('irr'), ('xirr')) k(kind)) WHERE list_max(vs) > 0 AND list_min(vs) < 0),
+ h AS (SELECT g.*, h.hi, {_F.format(r="h.hi")} AS fhi, {_F.format(r="-0.999")} AS flo FROM g, (SELECT pow(2.0, unnest(range(0, 26))) AS hi) h),
+ s AS (SELECT account_label, mode, period, kind, min(hi) AS hi FROM h WHERE isfinite(flo) AND isfinite(fhi) AND flo * fhi <= 0 GROUP BY 1, 2, 3, 4),
+ r AS (SELECT account_label, mode, period, kind, vs, ds, CAST(-0.999 AS DOUBLE) AS lo, hi, flo, 0 AS it FROM h JOIN s USING (account_label, mode, period, kind, hi)
+  UNION ALL SELECT account_label, mode, period, kind, vs, ds, CASE WHEN flo * fm <= 0 THEN lo ELSE mid END, CASE WHEN flo * fm <= 0 THEN mid ELSE hi END, CASE WHEN flo * fm <= 0 THEN flo ELSE fm END, it + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, {_F.format(r="(lo + hi) / 2")} AS fm FROM r WHERE it < 80)),
+ e AS (SELECT account_label, mode, period, kind, (lo + hi) / 2 AS rate FROM r WHERE it = 80)
+ SELECT account_label, mode, period, CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END AS irr_scaled, xirr_pct FROM (
+ SELECT p.account_label, p.mode, p.period, 365 * ln(1 + max(rate) FILTER (WHERE kind = 'irr' AND rate > -0.999)) AS x, max(rate) FILTER (WHERE kind = 'xirr') * 100 AS xirr_pct
+ FROM p LEFT JOIN e USING (account_label, mode, period) GROUP BY 1, 2, 3)"""
+
+
+@query("period_rates", "factors ledger", _RATE_SQL, "account_label mode period irr_scaled:d xirr_pct:d")
 def period_rates(v):
-    """XIRR and annualized IRR of every portfolio and period."""
-    return performance.period_rates(metrics(v), v.ledger())
+    """XIRR and annualized IRR of every portfolio and period.
+
+    A gain over 90 days, made annual, can have thirty digits: gains are the logarithm of the growth factor here.
+    """
+    irr = F.col("irr_annualized_pct") / 100
+    out = performance.period_rates(metrics(v), v.ledger())
+    return out.select("account_label", "mode", "period", F.when(irr > 0, F.log(1 + irr)).otherwise(irr).alias("irr_scaled"), "xirr_pct")
 
 
 @query(
