@@ -13,7 +13,7 @@ HEADLINE = [
     "daily_portfolio_value", "ledger_eur_changes", "account_categories", "quarterly_costs", "trailing_performance",
     "performance_dashboard", "period_rates", "drawdown_summary", "holdings_catalog", "holdings_report",
     "category_allocation", "reconciliation", "position_attribution", "open_cost_basis", "daily_cost_basis",
-    "correlated_pairs", "normalized_median", "smoothed_median", "continuation_repair", "normalized_ledger",
+    "correlated_pairs", "normalized_median", "smoothed_median", "continuation_repair", "normalized_ledger", "exchange_matches",
 ]
 
 
