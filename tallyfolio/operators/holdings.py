@@ -560,7 +560,7 @@ def recent_trades(tx: DataFrame, instruments: DataFrame, latest_price: DataFrame
             "product",
             "ticker",
             F.rint(qty).cast("bigint").alias("quantity"),
-            F.round(F.when(qty > 1e-12, paid / qty), 2).alias("trade_price_eur_incl_costs"),
+            F.round(F.when(qty > 1e-12, paid / qty).cast("decimal(28,10)"), 2).cast("double").alias("trade_price_eur_incl_costs"),
             F.col("latest_price_eur").alias("latest_known_price_eur"),
             F.coalesce(F.date_format("latest_price_date", "yyyy-MM-dd"), F.lit("")).alias("latest_known_price_date"),
             "total_eur",

@@ -179,11 +179,18 @@ def first_instruments(instruments: DataFrame) -> DataFrame:
     )
 
 
-def unique_labels(labels: DataFrame, key: str = "instrument_id", label: str = "label") -> DataFrame:
-    """Suffix repeated labels with #2, #3, ... in key order."""
-    w = Window.partitionBy(label).orderBy(key)
-    return (
-        labels.withColumn("n", F.row_number().over(w))
-        .withColumn(label, F.when(F.col("n") == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" #"), F.col("n"))))
-        .drop("n")
-    )
+def unique_labels(labels: DataFrame, key: str = "instrument_id", label: str = "label", start: int = 4) -> DataFrame:
+    """Suffix repeated labels with #2, #3, ... in key order.
+
+    Keys are numbered within those that share their first `start` characters, and counts of the smaller beginnings are
+    added, so that a label of very many instruments is spread over tasks.
+    """
+    rows = labels.withColumn("_start", F.substring(F.col(key), 1, start))
+    counts = rows.groupBy(label, "_start").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(label).alias("_label"), F.col("_start").alias("_with"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(label, "_start").orderBy(key))
+    same = F.col(label).eqNullSafe(F.col("_label")) & F.col("_start").eqNullSafe(F.col("_with"))
+    numbered = rows.withColumn("_own", own).join(counts, same).withColumn("n", F.col("_before") + F.col("_own"))
+    suffixed = F.when(F.col("n") == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" #"), F.col("n")))
+    return numbered.withColumn(label, suffixed).select(*labels.columns)

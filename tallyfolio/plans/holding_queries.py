@@ -276,14 +276,14 @@ def action_required(v):
 @query(
     "recent_trades",
     "tx instruments latest_price",
-    """SELECT account_label, side, rn, datetime, i.product, i.ticker, CAST(abs(quantity) AS BIGINT) AS quantity, CASE WHEN side = 'Buy' THEN (abs(total_eur) + fees_eur) / abs(quantity) ELSE greatest(abs(total_eur) - fees_eur, 0) / abs(quantity) END AS px,
+    """SELECT account_label, side, rn, datetime, i.product, i.ticker, CAST(abs(quantity) AS BIGINT) AS quantity, CASE WHEN side = 'Buy' THEN (abs(total_eur) + fees_eur) / abs(quantity) ELSE greatest(abs(total_eur) - fees_eur, 0) / abs(quantity) END AS px, CAST(round(CAST(px AS DECIMAL(28,10)), 2) AS DOUBLE) AS trade_price_eur_incl_costs,
  latest_price_eur AS latest_known_price_eur, latest_price_date AS latest_known_price_date, total_eur FROM (SELECT *, row_number() OVER (PARTITION BY account_label, side ORDER BY datetime DESC, row_seq DESC, quantity DESC, total_eur DESC) AS rn FROM (
  SELECT *, CASE WHEN quantity > 0 THEN 'Buy' ELSE 'Sell' END AS side FROM tx WHERE quantity <> 0)) LEFT JOIN instruments i USING (instrument_id) LEFT JOIN latest_price USING (instrument_id) WHERE rn <= 5""",
-    "account_label side rn:i datetime:s product ticker quantity:i latest_known_price_eur:d latest_known_price_date:t total_eur:d",
+    "account_label side rn:i datetime:s product ticker quantity:i trade_price_eur_incl_costs:d latest_known_price_eur:d latest_known_price_date:t total_eur:d",
 )
 def recent_trades(v):
     """Five latest buys and sells per portfolio."""
-    return holdings.recent_trades(v.tx(), v.instruments(), prices_now(v)).drop("trade_price_eur_incl_costs")
+    return holdings.recent_trades(v.tx(), v.instruments(), prices_now(v))
 
 
 @query(
