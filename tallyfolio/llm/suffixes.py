@@ -4,7 +4,7 @@ Of all suffixes of all texts only those are kept that start at a minimiser: of e
 words, the run with the smallest hash.  The choice depends on content alone, so equal passages of gram + window - 1
 words (50) keep at least one suffix in common.  Kept suffixes are sorted by what follows them, neighbours of different
 documents are compared, and their match is extended right and left, a word at a time, until `least` words agree or not.
-Suffixes of one gram are also sorted by what stands before them, so the longest match to the left is found as well.
+Suffixes of one gram are also sorted by so many words before them, for every number of words that a match may have there.
 
 Scale: grams that occur once in the corpus can't match.  A first pass counts grams, and a bit table of fixed size (false
 hits cost time, never results) keeps the others in the second pass.  Suffixes carry `window - 1` words to either side as
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyfolio.llm.common import Texts, batch_of, gram_hashes, pieces, range_hashes, stored
+from tallyfolio.llm.common import Texts, batch_of, gram_hashes, mixed, pieces, range_hashes, stored
 
 GRAM, WINDOW, LEAST = 20, 31, 50
 #: Bits of the table of repeated grams, and bits that travel in one row of it.
@@ -40,18 +40,22 @@ def minimisers(h: np.ndarray, first: np.ndarray, gram: int, window: int) -> tupl
         return np.empty(0, np.int64), grams[:0]
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     whole = text[: len(grams)] == text[gram - 1 :]
-    # in a run of equal grams (one word over and over) only every window-th place stands for itself
+    # A run of equal grams (one word over and over) has no smallest one: every window-th place stands for its inside, and
+    # all places for its first and last windows, so that runs of different lengths meet.
     fresh = np.ones(len(grams), bool)
-    fresh[1:] = grams[1:] != grams[:-1]
+    fresh[1:] = (grams[1:] != grams[:-1]) | (text[1 : len(grams)] != text[: len(grams) - 1])
     at = np.arange(len(grams))
     run = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    final = np.append(fresh[1:], True)
+    left = np.minimum.accumulate(np.where(final, at, len(grams))[::-1])[::-1] - at
     rank = np.where(run % window == 0, grams >> np.uint64(1), (grams >> np.uint64(1)) | np.uint64(1 << 63))
     views = np.lib.stride_tricks.sliding_window_view(rank, window)
     inside = text[: len(views)] == text[gram + window - 2 :][: len(views)]
     picked = np.empty(len(views), np.int64)
     for lo in range(0, len(views), 1 << 16):
         picked[lo : lo + (1 << 16)] = views[lo : lo + (1 << 16)].argmin(1)
-    places = np.unique((picked + np.arange(len(views)))[inside])
+    edge = np.flatnonzero((run + left > 0) & ((run < window) | (left < window)))
+    places = np.unique(np.concatenate(((picked + np.arange(len(views)))[inside], edge)))
     places = places[whole[places]]
     return places, grams[places]
 
@@ -153,23 +157,38 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def matched(rows: _Rows, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words before and after each suffix's start that it shares with the nearest suffix of another document, on either
-    side and in either order; 0 words after: no match of `least` words."""
+    """Words before and after each suffix's start that it shares with suffixes of other documents; 0 after: no match.
+
+    Rows come in suffix order.  For each number of words to the left, suffixes that agree on so many are compared with
+    their neighbours in that order: of all that share these words, a neighbour shares most to the right.  So if any other
+    document shares `least` words around a suffix, with any part of them to its left, a neighbour does too.
+    """
     n = len(rows)
     back, ahead = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    by_left = np.lexsort([*rows.before.T[::-1], rows.gram]) if n else np.empty(0, np.int64)
-    for order in (np.arange(n), by_left):
-        doc, g = rows.doc[order], rows.gram[order]
-        i = np.arange(n)
-        new = np.ones(n, bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])
-        start = np.maximum.accumulate(np.where(new, i, 0)) if n else i
-        last = np.ones(n, bool)
+    left_key = rows.gram.view(np.uint64).copy()
+    alive = np.arange(n)
+    for depth in range(rows.before.shape[1] + 1):
+        if depth:
+            left_key[alive] = mixed(left_key[alive] * np.uint64(0x9E3779B97F4A7C15) + rows.before[alive, depth - 1])
+        order = alive[np.argsort(left_key[alive], kind="stable")]
+        key = left_key[order]
+        twin = np.zeros(len(order), bool)
+        twin[1:] = key[1:] == key[:-1]
+        twin[:-1] |= twin[1:]
+        order, key = order[twin], key[twin]
+        alive = np.sort(order)  # what agrees with no other agrees with none on more words either
+        if not len(order):
+            break
+        doc, i = rows.doc[order], np.arange(len(order))
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+        start = np.maximum.accumulate(np.where(new, i, 0))
+        last = np.ones(len(order), bool)
         last[:-1] = new[1:]
-        end = np.minimum.accumulate(np.where(last, i, n)[::-1])[::-1] if n else i
+        end = np.minimum.accumulate(np.where(last, i, len(order))[::-1])[::-1]
         for other in (start - 1, end + 1):
-            ok = np.flatnonzero((other >= 0) & (other < n))
-            ok = ok[g[other[ok]] == g[ok]]
+            ok = np.flatnonzero((other >= 0) & (other < len(order)))
+            ok = ok[key[other[ok]] == key[ok]]
             a, b = order[ok], order[other[ok]]
             left, right = _agree(rows.before[a], rows.before[b]), gram + _agree(rows.after[a], rows.after[b])
             hit = left + right >= least
@@ -209,9 +228,11 @@ def _compare(sorted_rows: DataFrame, kind: str, gram: int, window: int, least: i
                 yield edge(rows, 0)
                 seen = True
             if len(rows) >= hold:
-                same = (rows.gram == rows.gram[-1]) & (rows.doc == rows.doc[-1])
-                other = np.flatnonzero(~same)
-                cut = int(other[-1]) + 1 if len(other) else 0  # the last document's run waits for its other neighbour
+                # the last gram waits for the rest of its suffixes; one too large for that, for its last document's
+                other = np.flatnonzero(rows.gram != rows.gram[-1])
+                if not len(other) or other[-1] < done:
+                    other = np.flatnonzero((rows.gram != rows.gram[-1]) | (rows.doc != rows.doc[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
                 if cut > done:
                     yield spans(rows, done, cut)
                     rows, done = rows[np.arange(cut - 1, len(rows))], 1
