@@ -153,7 +153,8 @@ def analyze(inputs: PipelineInputs) -> dict[str, DataFrame]:
 
     # Spread
     known = inputs.classification if inputs.classification is not None else dim.withColumn("row_seq", F.lit(0))
-    traits = instruments.resolve_characteristics(dim, known)
+    # written once: many tables below read these few columns, and the keyword rules make long plans
+    traits = materialize(instruments.resolve_characteristics(dim, known), "characteristics")
     classified = [c for c in holdings.CLASS_COLUMNS if c in traits.columns]
     spread = holdings.holdings_for_spread(valued.drop(*classified).join(traits.select("instrument_id", *classified), "instrument_id", "left"))
     out["characteristic_matches"] = instruments.match_counts(traits)
