@@ -9,10 +9,10 @@ text's score.
 Training covers every training document: tokens and windows of five bytes are counted over the corpus (each task adds up
 its own first), and the counters of all contexts follow from them; word contexts hold the
 most frequent tokens, `head` at most.
-Mixing weights are learnt online in every partition and averaged, each bit predicted without its own last occurrence,
-and so is the map.  These few thousand numbers are the one thing that is fitted on a sample: one training document in
-`THIN`, by a hash of its id.  The model has a fixed number of slots; tokens, windows and their counts stay in Spark and
-grow with the corpus.
+Mixing weights are learnt online in every partition, over all training documents, and averaged, each bit predicted
+without its own last occurrence, and so is the map.  A partition learns a place (its window and word so far) with the
+number of times it was met, once or a few times, whatever that number is.  The model has a fixed number of slots; tokens,
+windows and their counts stay in Spark and grow with the corpus.
 
 The base score (add-one unigrams of words) looks up counts of the most frequent tokens in a broadcast table of
 `head` rows, and all others by a join on the token's hash, which no frequent token takes part in.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tallyfolio.llm.common import BLOCK, SPACE, Texts, batch_of, byte_values, mixed, pieces, powers, range_hashes, splitmix, stored
 
 FOLDS, HELD = 7, 2
-HEAD, THIN = 1 << 17, 16
+HEAD = 1 << 17
 #: Slots of each context's counters (1 to 4 bytes, then the word so far), and slots per row on their way to the driver.
 SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 21)
 PACK = 4096
@@ -203,6 +203,7 @@ class Model:
         self.weights = np.full((GATES, CONTEXTS + 1), 0.3)
         self.map = None
         self.ready: list[tuple[np.ndarray, np.ndarray]] = []  # of each slot: stretched prediction, level of what it has seen
+        self.spared: list[tuple[np.ndarray, np.ndarray]] = []  # the same without the last zero of each slot, then without its last one
 
     def frozen(self) -> Model:
         """For scoring: predictions in place of counts."""
@@ -212,6 +213,16 @@ class Model:
             out.ready.append((np.log((one + ALPHA) / (zero + ALPHA)).astype(np.float32), _level(o, zero + one).astype(np.uint8)))
         return out
 
+    def learning(self) -> Model:
+        """For learning: predictions without a bit's last occurrence in place of counts."""
+        out = Model([])
+        for o, (zero, one) in enumerate(self.counters):
+            less = [(np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]
+            x = np.concatenate([np.log((b + ALPHA) / (a + ALPHA)).astype(np.float32) for a, b in less])
+            level = np.concatenate([_level(o, a + b).astype(np.uint8) for a, b in less]) if o in STEPS else x
+            out.spared.append((x, level))
+        return out
+
     def inputs(self, w: np.ndarray, p: np.ndarray, node: np.ndarray, own: np.ndarray | None = None):
         """Stretched predictions of all contexts, and the gate: place in the word, and how much the longer contexts have seen.  `own`: bits whose last occurrence is left out."""
         x = np.full((CONTEXTS + 1, len(w)), 0.3)
@@ -224,13 +235,13 @@ class Model:
             gate += inside
         for o in range(CONTEXTS):
             slot = slots_of(o, w, p, node)
-            if self.ready:
+            if own is not None:
+                slot = slot.astype(np.int64) + own.astype(np.int64) * (len(self.spared[o][0]) // 2)
+                x[o], level = self.spared[o][0][slot], self.spared[o][1][slot] if o in STEPS else None
+            elif self.ready:
                 x[o], level = self.ready[o][0][slot], self.ready[o][1][slot]
             else:
                 zero, one = self.counters[o][0][slot].astype(float), self.counters[o][1][slot].astype(float)
-                if own is not None:
-                    one = np.maximum(one - own, 0)
-                    zero = np.maximum(zero - (1 - own), 0)
                 x[o] = np.log((one + ALPHA) / (zero + ALPHA))
                 level = _level(o, one + zero)
             if o in STEPS:
@@ -316,11 +327,47 @@ class Cache:
         return out
 
 
-def places(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct places (w, p) of a batch and how often they are met."""
-    w, p = windows(t)[0], prefixes(t)
-    _, first, n = np.unique(_key(w, p), return_index=True, return_counts=True)
-    return w[first], p[first], n  # in the order of the hash, not of the alphabet
+class Places:
+    """Distinct places (w, p) and how often a task has met them.
+
+    The first place of each slot of a table is counted there, the others wait in `rest`; both have a bounded size.
+    """
+
+    def __init__(self, size: int = 1 << 21, most: int = 1 << 20):
+        self.mask, self.most = np.uint64(size - 1), most
+        self.keys, self.counts = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        self.w, self.p = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.rest: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, w: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Yields the places (w, p, n) that there is no more room for."""
+        key = _key(w, p) | np.uint64(1 << 63)
+        slot = (key & self.mask).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] == 0)
+        self.keys[slot[new]] = key[new]
+        new = new[self.keys[slot[new]] == key[new]]
+        self.w[slot[new]], self.p[slot[new]] = w[new], p[new]
+        seated = self.keys[slot] == key
+        self.counts += np.bincount(slot[seated], minlength=len(self.counts))
+        other = np.flatnonzero(~seated)
+        if len(other):
+            distinct, first, n = np.unique(key[other], return_index=True, return_counts=True)
+            self.rest.append((distinct, w[other[first]], p[other[first]], n))
+        if sum(len(x[0]) for x in self.rest) > self.most:
+            yield self._rest()
+
+    def _rest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, w, p, n = (np.concatenate(x) for x in zip(*self.rest, strict=True))
+        self.rest = []
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        return w[first], p[first], np.bincount(at, n, len(first)).astype(np.int64)
+
+    def last(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All that are still held; in the order of a hash, not of the alphabet."""
+        if self.rest:
+            yield self._rest()
+        at = np.flatnonzero(self.counts)
+        yield self.w[at], self.p[at], self.counts[at]
 
 
 def _add(counts: np.ndarray, context: int, w: np.ndarray, p: np.ndarray | None, n: np.ndarray) -> None:
@@ -393,11 +440,15 @@ def train(docs: DataFrame, text_col: str, counters: list[np.ndarray], rate: floa
     size = GATES * (CONTEXTS + 1)
 
     def learn(batches):
-        own, bend = Model(shared.value.counters), np.full((GATES, CONTEXTS + 1), START)
+        own, bend = shared.value.learning(), np.full((GATES, CONTEXTS + 1), START)
         one, both = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
+        met = Places()
         for batch in batches:
             for _, texts in pieces(batch, text_col):
-                own.learn(*places(texts), bend, one, both, rate)
+                for some in met.add(windows(texts)[0], prefixes(texts)):
+                    own.learn(*some, bend, one, both, rate)
+        for some in met.last():
+            own.learn(*some, bend, one, both, rate)
         mass = bend.reshape(-1) - START
         yield batch_of(at=np.arange(size + len(one)), a=np.concatenate((own.weights.reshape(-1) * mass, one)), b=np.concatenate((mass, both)))
 
@@ -429,8 +480,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     frequent = most_frequent(found.where("kind = 0").select("key", "token", "n"), head).toPandas().sort_values("key")
     words = frequent[frequent["token"].map(len) > 0]
     counters = [*byte_counters(found.where("kind = 1").select("key", "n")), word_counters(words["token"].map(bytes).tolist(), words["n"].to_numpy())]
-    fitted = training.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(THIN)) == 0)
-    model = train(fitted, text_col, counters).frozen()
+    model = train(training, text_col, counters).frozen()
     spark = docs.sparkSession.sparkContext
     shared = spark.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 

@@ -195,6 +195,26 @@ def test_model_is_a_distribution_and_learns(spark):
 # op7
 
 
+def test_weights_are_learnt_from_all_training_documents(spark, odd, odd_rows, monkeypatch):
+    seen, train = [], contextmix.train
+    monkeypatch.setattr(contextmix, "train", lambda docs, *more: seen.append(docs.count()) or train(docs, *more))
+    contextmix.score(odd)
+    assert seen == [sum(i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in odd_rows)]
+    # places are learnt with their full counts, also where a table has no room for them
+    rng = np.random.default_rng(2)
+    met, got, want = contextmix.Places(size=64, most=100), Counter(), Counter()
+    for _ in range(20):
+        w, p = rng.integers(1, 30, 300).astype(np.uint64), rng.integers(1, 9, 300).astype(np.uint64)
+        want.update(zip(w.tolist(), p.tolist(), strict=True))
+        for some in met.add(w, p):
+            for a, b, n in zip(*some, strict=True):
+                got[int(a), int(b)] += int(n)
+    for some in met.last():
+        for a, b, n in zip(*some, strict=True):
+            got[int(a), int(b)] += int(n)
+    assert got == want
+
+
 def test_reordered_passages_are_found(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
