@@ -7,12 +7,12 @@ predictions in the logistic domain, and an adaptive map refines the mixture.  Th
 text's score.
 
 Training covers every training document: tokens and windows of five bytes are counted over the corpus (each task adds up
-its own first), and the counters of all contexts follow from them; word contexts hold the
-most frequent tokens, `head` at most.
+its own first), and the counters of all contexts follow from them, summed by slot in Spark.
 Mixing weights are learnt online in every partition, over all training documents, and averaged, each bit predicted
 without its own last occurrence, and so is the map.  A partition learns a place (its window and word so far) with the
-number of times it was met, once or a few times, whatever that number is.  The model has a fixed number of slots; tokens,
-windows and their counts stay in Spark and grow with the corpus.
+number of times it was met, once or a few times, whatever that number is.  The model's slots follow the number of contexts
+up to `MOST_SLOTS` for each kind, which the driver's memory sets; beyond it contexts share slots and none is left out.
+Tokens, windows and their counts stay in Spark and grow with the corpus.
 
 The base score (add-one unigrams of words) looks up counts of the most frequent tokens in a broadcast table of
 `head` rows, and all others by a join on the token's hash, which no frequent token takes part in.
@@ -36,8 +36,9 @@ from tallyfolio.llm.common import BLOCK, SPACE, Texts, batch_of, byte_values, mi
 
 FOLDS, HELD = 7, 2
 HEAD = 1 << 17
-#: Slots of each context's counters (1 to 4 bytes, then the word so far), and slots per row on their way to the driver.
+#: Slots of each context's counters (1 to 4 bytes, then the word so far): at least, at most, and per row on their way to the driver.
 SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 21)
+MOST_SLOTS = 1 << 22
 PACK = 4096
 ORDERS, CONTEXTS = 4, len(SLOTS)
 #: What stands before a text and after it; neither byte occurs in UTF-8.
@@ -180,15 +181,15 @@ def bits_of(symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node = node << np.uint64(1) | value
 
 
-def slots_of(context: int, w: np.ndarray, p: np.ndarray | None, node: np.ndarray) -> np.ndarray:
-    """Slot of each bit's counter: w are windows, p prefix hashes (for the last context)."""
+def slots_of(context: int, w: np.ndarray, p: np.ndarray | None, node: np.ndarray, size: int) -> np.ndarray:
+    """Slot of each bit's counter, of `size` slots: w are windows, p prefix hashes (for the last context)."""
     if context == ORDERS:
         key = p + node * np.uint64(0x9E3779B97F4A7C15)
     else:
         key = (w >> np.uint64(8) & np.uint64((1 << 8 * (context + 1)) - 1)) << np.uint64(8) | node
         if context == 0:
             return key
-    return mixed(key) & np.uint64(SLOTS[context] - 1)
+    return mixed(key) & np.uint64(size - 1)
 
 
 def _level(context: int, seen: np.ndarray) -> np.ndarray:
@@ -200,6 +201,7 @@ class Model:
 
     def __init__(self, counters: list[np.ndarray]):
         self.counters = counters
+        self.sizes = [c.shape[1] for c in counters]
         self.weights = np.full((GATES, CONTEXTS + 1), 0.3)
         self.map = None
         self.ready: list[tuple[np.ndarray, np.ndarray]] = []  # of each slot: stretched prediction, level of what it has seen
@@ -208,7 +210,7 @@ class Model:
     def frozen(self) -> Model:
         """For scoring: predictions in place of counts."""
         out = Model([])
-        out.weights, out.map = self.weights, self.map
+        out.weights, out.map, out.sizes = self.weights, self.map, self.sizes
         for o, (zero, one) in enumerate(self.counters):
             out.ready.append((np.log((one + ALPHA) / (zero + ALPHA)).astype(np.float32), _level(o, zero + one).astype(np.uint8)))
         return out
@@ -216,6 +218,7 @@ class Model:
     def learning(self) -> Model:
         """For learning: predictions without a bit's last occurrence in place of counts."""
         out = Model([])
+        out.sizes = self.sizes
         for o, (zero, one) in enumerate(self.counters):
             less = [(np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]
             x = np.concatenate([np.log((b + ALPHA) / (a + ALPHA)).astype(np.float32) for a, b in less])
@@ -234,9 +237,9 @@ class Model:
             inside &= ~(_APART[b])
             gate += inside
         for o in range(CONTEXTS):
-            slot = slots_of(o, w, p, node)
+            slot = slots_of(o, w, p, node, self.sizes[o])
             if own is not None:
-                slot = slot.astype(np.int64) + own.astype(np.int64) * (len(self.spared[o][0]) // 2)
+                slot = slot.astype(np.int64) + own.astype(np.int64) * self.sizes[o]
                 x[o], level = self.spared[o][0][slot], self.spared[o][1][slot] if o in STEPS else None
             elif self.ready:
                 x[o], level = self.ready[o][0][slot], self.ready[o][1][slot]
@@ -372,54 +375,71 @@ class Places:
 
 def _add(counts: np.ndarray, context: int, w: np.ndarray, p: np.ndarray | None, n: np.ndarray) -> None:
     for value, node in bits_of(w):
-        slot, at = np.unique(slots_of(context, w, p, node).astype(np.int64), return_inverse=True)
+        slot, at = np.unique(slots_of(context, w, p, node, counts.shape[1]).astype(np.int64), return_inverse=True)
         for bit in (0, 1):
             counts[bit][slot] += np.bincount(at, np.where(value == bit, n, 0), len(slot))
 
 
-def byte_counters(found: DataFrame) -> list[np.ndarray]:
-    """Counters of the byte contexts from window counts: packed by 4096 slots, so the driver gets a fixed number of rows."""
-    sizes = SLOTS[:ORDERS]
+def slot_sizes(found: DataFrame) -> list[int]:
+    """Slots of each context: four for each (context, next byte) of the training documents, in bounds, as a power of two."""
+    window = F.when(F.col("kind") == 1, F.col("key"))
+    pairs = [F.approx_count_distinct(window.bitwiseAND((1 << 8 * (o + 2)) - 1)) for o in range(ORDERS)]
+    letters = F.coalesce(F.sum(F.when(F.col("kind") == 0, F.length("token") + 1)), F.lit(0))  # at least as many as word contexts have
+    row = found.agg(*pairs, letters).first()
+    return [SLOTS[0], *(min(max(SLOTS[o], 1 << (4 * row[o]).bit_length()), max(SLOTS[o], MOST_SLOTS)) for o in range(1, CONTEXTS))]
+
+
+def counters_of(found: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """Counters of all contexts from the counts of windows and tokens (a space stands for what ends a word).
+
+    They are summed in Spark, packed by 4096 slots, so the driver gets as many rows as the model has packs.
+    """
     base = np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist()
+    pair = np.dtype([("slot", np.uint16), ("zero", np.float64), ("one", np.float64)])
 
     def run(batches):
         counts = [np.zeros((2, s)) for s in sizes]
         for batch in batches:
-            w, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for o in range(ORDERS):
-                _add(counts[o], o, w, None, n)
+            kind, n = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            w = batch.column(1).to_numpy().view(np.uint64)[kind == 1]
+            if len(w):
+                for o in range(ORDERS):
+                    _add(counts[o], o, w, None, n[kind == 1])
+            words = batch.filter(pa.array(kind == 0))
+            n, lo = n[kind == 0], 0
+            for part, t in pieces(words, "token"):
+                w, text = windows(t)
+                p = prefixes(t)
+                some = np.diff(t.offsets)[text] > 0  # the end of a text is no word
+                symbol = np.where(w & np.uint64(255) == END, np.uint64(32), w & np.uint64(255))
+                _add(counts[ORDERS], ORDERS, symbol[some], p[some], n[lo : lo + part.num_rows][text][some])
+                lo += part.num_rows
         for b, c in zip(base, counts, strict=True):
-            at = np.flatnonzero(c[0] + c[1])
-            for lo in range(0, len(at), 1 << 17):
-                i = at[lo : lo + (1 << 17)]
-                yield batch_of(slot=i + b, zero=c[0][i], one=c[1][i])
-
-    def pack(frame):
+            for at in range(0, c.shape[1], PACK):
+                zero, one = c[:, at : at + PACK]
+                i = np.flatnonzero(zero + one)
+                if len(i):
+                    data = np.empty(len(i), pair)
+                    data["slot"], data["zero"], data["one"] = i, zero[i], one[i]
+                    yield batch_of(pack=np.array([(b + at) // PACK]), data=pa.array([data.tobytes()], pa.binary()))
+
+    def add(frame):
         import pandas as pd
 
-        both = np.zeros((2, PACK), np.float32)
-        i = frame["slot"].to_numpy() % PACK
-        both[0, i], both[1, i] = frame["zero"].to_numpy(), frame["one"].to_numpy()
-        return pd.DataFrame({"pack": [int(frame["slot"].iloc[0] // PACK)], "data": [both.tobytes()]})
+        both = np.zeros((2, PACK))
+        for x in frame["data"]:
+            x = np.frombuffer(x, pair)
+            both[0, x["slot"]] += x["zero"]
+            both[1, x["slot"]] += x["one"]
+        return pd.DataFrame({"pack": frame["pack"].iloc[:1], "data": [both.astype(np.float32).tobytes()]})
 
-    slots = found.mapInArrow(run, "slot long, zero double, one double").groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    packs = found.select("kind", "key", "token", "n").mapInArrow(run, "pack long, data binary").groupBy("pack").applyInPandas(add, "pack long, data binary")
     table = np.zeros((2, sum(sizes)), np.float32)
-    for r in slots.groupBy(F.floor(F.col("slot") / PACK)).applyInPandas(pack, "pack long, data binary").collect():
+    for r in packs.toLocalIterator():
         table[:, r["pack"] * PACK : (r["pack"] + 1) * PACK] = np.frombuffer(r["data"], np.float32).reshape(2, PACK)
     return [table[:, b : b + s] for b, s in zip(base, sizes, strict=True)]
 
 
-def word_counters(words: list[bytes], n: np.ndarray) -> np.ndarray:
-    """Counters of the word context from the most frequent words (a fixed number); a space stands for what ends a word."""
-    counts = np.zeros((2, SLOTS[ORDERS]), np.float32)
-    for lo in range(0, len(words), 1 << 15):
-        t = Texts(pa.array(words[lo : lo + (1 << 15)], pa.binary()))
-        w, text = windows(t)
-        symbol = np.where(w & np.uint64(255) == END, np.uint64(32), w & np.uint64(255))
-        _add(counts, ORDERS, symbol, prefixes(t), n[lo : lo + (1 << 15)][text])
-    return counts
-
-
 def most_frequent(vocabulary: DataFrame, head: int) -> DataFrame:
     """The most frequent tokens, at most `head` of them: those above a count that sixteenths of octaves set."""
     level = F.floor(F.log2("n") * 16)
@@ -477,10 +497,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     floor = total + distinct + 1
-    frequent = most_frequent(found.where("kind = 0").select("key", "token", "n"), head).toPandas().sort_values("key")
-    words = frequent[frequent["token"].map(len) > 0]
-    counters = [*byte_counters(found.where("kind = 1").select("key", "n")), word_counters(words["token"].map(bytes).tolist(), words["n"].to_numpy())]
-    model = train(training, text_col, counters).frozen()
+    frequent = most_frequent(vocabulary, head).toPandas().sort_values("key")
+    model = train(training, text_col, counters_of(found, slot_sizes(found))).frozen()
     spark = docs.sparkSession.sparkContext
     shared = spark.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 

@@ -215,6 +215,23 @@ def test_weights_are_learnt_from_all_training_documents(spark, odd, odd_rows, mo
     assert got == want
 
 
+def test_model_holds_every_word(spark, odd, monkeypatch):
+    scores = lambda: sorted((r.doc_id or -1, r.n_bytes, round(r.score, 6)) for r in contextmix.score(odd, head=4).collect())
+    few = scores()
+    assert few == sorted((r.doc_id or -1, r.n_bytes, round(r.score, 6)) for r in contextmix.score(odd).collect())
+    # every letter of every training token is counted in the word contexts, whatever the number of slots
+    found = contextmix.counted(odd, "text").cache()
+    letters = sum((len(r.token) + 1) * r.n for r in found.where("kind = 0").collect() if len(r.token))
+    for slots in (1 << 14, 1 << 21):
+        counters = contextmix.counters_of(found, [*contextmix.SLOTS[:4], slots])
+        assert counters[4].sum() == 8 * letters and counters[3].sum() == 8 * found.where("kind = 1").groupBy().sum("n").first()[0]
+    # slots grow with the number of contexts
+    monkeypatch.setattr(contextmix, "SLOTS", (1 << 16, 1 << 8, 1 << 8, 1 << 8, 1 << 8))
+    monkeypatch.setattr(contextmix, "MOST_SLOTS", 1 << 12)
+    assert contextmix.slot_sizes(found.limit(0)) == [1 << 16] + [1 << 8] * 4
+    assert contextmix.slot_sizes(found)[3:] == [1 << 12] * 2
+
+
 def test_reordered_passages_are_found(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
