@@ -45,7 +45,8 @@ def visible(html: bytes | None) -> bytes:
 
 
 def declared(html: bytes | None) -> str:
-    found = _LANG.search(html or b"", 0, 4096)
+    """The language that the page's html tag names, wherever the tag stands outside of comments and scripts."""
+    found = _LANG.search(_HIDDEN.sub(b" ", html or b""))
     return found[1].decode().lower() if found else ""
 
 

@@ -142,6 +142,13 @@ def test_repeats(spark):
 # op5
 
 
+def test_declaration_after_a_long_comment():
+    banner = b"<!-- <html lang='fr'> " + b"licence " * 1250 + b"-->"
+    assert langid.declared(banner + b"<html class=a lang='de'><p>x") == "de"
+    assert langid.declared(b"\n" * 9000 + b"<HTML lang=en>") == "en"
+    assert langid.declared(banner + b"<html><p>x") == langid.declared(None) == ""
+
+
 def test_languages(spark):
     en, de = "the cat and the dog are in the house with them", "der hund und die katze sind nicht in dem haus mit"
     docs = table(spark, [(1, en * 20, "en", "s"), (2, de * 20, "de", "s"), (3, None, "de", "s"), (4, "x", None, "s")])
