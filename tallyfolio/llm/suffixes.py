@@ -8,9 +8,10 @@ Suffixes of one gram are also sorted by so many words before them, for every num
 
 Scale: grams that occur once in the corpus can't match.  A first pass counts grams, and a bit table of fixed size (false
 hits cost time, never results) keeps the others in the second pass.  Suffixes carry `window - 1` words to either side as
-16-bit word hashes; longer passages are covered by the spans of several suffixes, which are merged.  The sort is one range
-partitioning that includes document and place, so even a passage in a third of all documents is spread over tasks; the
-edges of partitions are compared at the end.
+16-bit word hashes; longer passages are covered by the spans of several suffixes, which are merged.  The suffixes of a gram
+meet in one task; those of a gram with more than `HOLD` get a row for each number of words to the left, and Spark sorts these
+rows by range, with document and place, so even a passage in a third of all documents is spread over tasks.  Runs that touch
+an edge of these partitions are compared across it at the end.
 
 Words are runs of non-space bytes, lower-cased A-Z; grams are compared by 64-bit hashes.  Defined cases: null, empty and
 texts under gram + window - 1 words have no suffix; repeats within one document alone are not reported; rows that repeat
@@ -29,6 +30,8 @@ from pyspark.sql import Window
 from tallyfolio.llm.common import Texts, batch_of, gram_hashes, mixed, pieces, range_hashes, stored
 
 GRAM, WINDOW, LEAST = 20, 31, 50
+#: Suffixes of one gram that are compared in one task; grams with more are sorted in Spark.
+HOLD = 50_000
 #: Bits of the table of repeated grams, and bits that travel in one row of it.
 TABLE_BITS, ROW_BITS = 1 << 26, 1 << 15
 
@@ -197,54 +200,168 @@ def matched(rows: _Rows, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]
     return back, ahead
 
 
-def _compare(sorted_rows: DataFrame, kind: str, gram: int, window: int, least: int, hold: int = 50_000) -> DataFrame:
-    """Spans (part null), and the first and last suffix of each partition (part set)."""
-    reach = window - 1
+def _doc_type(kind: str) -> pa.DataType:
+    return pa.string() if kind == "string" else pa.int64()
 
-    def spans(rows: _Rows, lo: int, hi: int):
+
+def _whole(rows: DataFrame, kind: str, gram: int, window: int, least: int, hold: int) -> DataFrame:
+    """Spans (doc, start, end) of suffixes whose grams have `hold` suffixes at most, each gram in one partition, in suffix order."""
+
+    def spans(rows: _Rows):
         back, ahead = matched(rows, gram, least)
-        at = np.arange(lo, hi)[ahead[lo:hi] > 0]
-        nothing = [b""] * len(at)
+        at = np.flatnonzero(ahead)
+        return batch_of(doc=pa.array(rows.doc[at]).cast(_doc_type(kind)), start=(rows.at[at] - back[at]).astype(np.int32), end=(rows.at[at] + ahead[at]).astype(np.int32))
+
+    def run(batches):
+        rows = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _Rows.of(batch, window - 1)
+            rows = new if rows is None else rows + new
+            other = np.flatnonzero(rows.gram != rows.gram[-1])
+            if len(rows) >= hold and len(other):  # the last gram waits for the rest of its suffixes
+                cut = int(other[-1]) + 1
+                yield spans(rows[np.arange(cut)])
+                rows = rows[np.arange(cut, len(rows))]
+        if rows is not None:
+            yield spans(rows)
+
+    return rows.mapInArrow(run, f"doc {kind}, start int, end int")
+
+
+def _by_left(rows: DataFrame, kind: str, window: int) -> DataFrame:
+    """A row for each suffix and number of words to its left; `gram` becomes a hash of the gram and these words."""
+
+    def run(batches):
+        for batch in batches:
+            some = _Rows.of(batch, window - 1)
+            key, alive = some.gram.view(np.uint64).copy(), np.arange(len(some))
+            for depth in range(window):
+                if depth:
+                    alive = alive[some.before[alive, depth - 1] != 0]
+                    key[alive] = mixed(key[alive] * np.uint64(0x9E3779B97F4A7C15) + some.before[alive, depth - 1])
+                which = pa.array(alive)
+                if len(alive):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[alive].view(np.int64)), *(batch.column(i).take(which) for i in range(1, 5))], names=["gram", "after", "before", "doc", "at"])
+
+    return rows.mapInArrow(run, f"gram long, after binary, before binary, doc {kind}, at int")
+
+
+#: Rows of `_neighbours`: a span; what the driver reads of a partition; members of its first and last run, whose neighbours may be elsewhere.
+SPAN, FIRST, SECOND, LAST_BUT_ONE, LAST, IN_FIRST, IN_LAST = range(7)
+
+
+def _neighbours(rows: DataFrame, kind: str, gram: int, window: int, least: int, hold: int) -> DataFrame:
+    """Spans of sorted suffixes compared with the nearest of other documents with the same key, and the edges of partitions.
+
+    A run is a stretch of one key and document.  Its suffixes are compared with the row before it and the row after it.
+    """
+
+    def out(side: int, rows: _Rows, at: np.ndarray, start=None, end=None):
+        one, n = rows[at], len(at)
+        none = pa.nulls(n, pa.int32())
         return batch_of(
-            part=pa.nulls(len(at), pa.int32()), gram=rows.gram[at], after=pa.array(nothing, pa.binary()), before=pa.array(nothing, pa.binary()), doc=pa.array(rows.doc[at]).cast(doc_type),
-            at=rows.at[at].astype(np.int32), start=(rows.at[at] - back[at]).astype(np.int32), end=(rows.at[at] + ahead[at]).astype(np.int32),
+            part=np.full(n, TaskContext.get().partitionId(), np.int32), side=np.full(n, side, np.int32), gram=one.gram, after=_binary(one.after), before=_binary(one.before),
+            doc=pa.array(one.doc).cast(_doc_type(kind)), at=one.at.astype(np.int32), start=none if start is None else start.astype(np.int32), end=none if end is None else end.astype(np.int32),
         )
 
-    def edge(rows: _Rows, i: int):
-        part, none = TaskContext.get().partitionId(), pa.nulls(1, pa.int32())
-        one = rows[np.array([i])]
-        return batch_of(part=np.array([part], np.int32), gram=one.gram, after=_binary(one.after), before=_binary(one.before), doc=pa.array(one.doc).cast(doc_type), at=one.at.astype(np.int32), start=none, end=none)
-
-    doc_type = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
+    def compared(rows: _Rows, start: np.ndarray, end: np.ndarray, lo: int, hi: int):
+        for other in (start - 1, end + 1):
+            i = np.arange(lo, hi)
+            i = i[(other[lo:hi] >= 0) & (other[lo:hi] < len(rows))]
+            i = i[rows.gram[i] == rows.gram[other[i]]]
+            left, right = _agree(rows.before[i], rows.before[other[i]]), gram + _agree(rows.after[i], rows.after[other[i]])
+            hit = left + right >= least
+            i, left, right = i[hit], left[hit], right[hit]
+            yield out(SPAN, rows, i, rows.at[i] - left, rows.at[i] + right)
 
     def run(batches):
-        rows, done, seen = None, 0, False  # the first `done` of the rows are there for comparison only
+        rows, done, first = None, 0, True  # the first `done` rows (0 or 1) are there for comparison only
+
+        def step(last: bool):
+            n = len(rows)
+            new = np.ones(n, bool)
+            new[1:] = (rows.gram[1:] != rows.gram[:-1]) | (rows.doc[1:] != rows.doc[:-1])
+            starts = np.flatnonzero(new)
+            run_of = np.cumsum(new) - 1
+            start, end = starts[run_of], np.append(starts[1:], n)[run_of] - 1
+            hi = n if last else int(starts[-1])
+            if first:
+                yield out(FIRST, rows, np.array([0]))
+                yield out(SECOND, rows, starts[1:2])
+                yield out(IN_FIRST, rows, np.arange(end[0] + 1))
+            if last:
+                yield out(LAST_BUT_ONE, rows, starts[-1:] - 1 if starts[-1] else starts[:0])
+                yield out(LAST, rows, np.array([n - 1]))
+                yield out(IN_LAST, rows, np.arange(starts[-1], n))
+            yield from compared(rows, start, end, done, hi)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = _Rows.of(batch, reach)
-            rows = new if rows is None else rows + new
-            if not seen:
-                yield edge(rows, 0)
-                seen = True
+            more = _Rows.of(batch, window - 1)
+            rows = more if rows is None else rows + more
             if len(rows) >= hold:
-                # the last gram waits for the rest of its suffixes; one too large for that, for its last document's
-                other = np.flatnonzero(rows.gram != rows.gram[-1])
-                if not len(other) or other[-1] < done:
-                    other = np.flatnonzero((rows.gram != rows.gram[-1]) | (rows.doc != rows.doc[-1]))
-                cut = int(other[-1]) + 1 if len(other) else 0
-                if cut > done:
-                    yield spans(rows, done, cut)
-                    rows, done = rows[np.arange(cut - 1, len(rows))], 1
+                cut = np.flatnonzero((rows.gram != rows.gram[-1]) | (rows.doc != rows.doc[-1]))
+                if len(cut) and cut[-1] + 1 > done:
+                    yield from step(False)
+                    rows, done, first = rows[np.arange(cut[-1], len(rows))], 1, False
         if rows is not None:
-            if len(rows) > done:
-                yield spans(rows, done, len(rows))
-            yield edge(rows, len(rows) - 1)
+            yield from step(True)
+
+    return rows.mapInArrow(run, f"part int, side int, gram long, after binary, before binary, doc {kind}, at int, start int, end int")
+
+
+def _over_borders(edges: list) -> dict:
+    """For the first (IN_FIRST) and last (IN_LAST) run of each partition, the row before or after it that lies in another partition."""
+    parts = sorted({r["part"] for r in edges})
+    of = {(r["part"], r["side"]): r for r in edges}
+    found = {}
+    for side, own, near, far, order in ((IN_LAST, LAST, FIRST, SECOND, parts), (IN_FIRST, FIRST, LAST, LAST_BUT_ONE, parts[::-1])):
+        for i, part in enumerate(order):
+            mine = of[part, own]
+            for other in order[i + 1 :]:
+                row = of[other, near]
+                if row["gram"] == mine["gram"] and row["doc"] == mine["doc"]:  # the run goes on; what follows it there, if anything does
+                    row = of.get((other, far))
+                    if row is None:
+                        continue
+                if row["gram"] == mine["gram"]:
+                    found[part, side] = row
+                break
+    return found
+
+
+def _spread(rows: DataFrame, kind: str, gram: int, window: int, least: int, hold: int) -> DataFrame:
+    """Spans (doc, start, end) of suffixes of grams of any size: every number of words to the left is sorted for itself in Spark."""
+    order = ["gram", "after", "doc", "at"]
+    keyed = _by_left(rows, kind, window).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stored(_neighbours(keyed, kind, gram, window, least, hold), "suffix-spans")
+    over = _over_borders(found.where(F.col("side").between(FIRST, LAST)).collect())  # four rows a partition
+    partners = {k: (np.frombuffer(r["before"], ">u2")[None], np.frombuffer(r["after"], ">u2")[None]) for k, r in over.items()}
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            some = _Rows.of(batch.select(["gram", "after", "before", "doc", "at"]), window - 1)
+            for p, s in set(zip(part.tolist(), side.tolist(), strict=True)):
+                if (p, s) not in partners:
+                    continue
+                before, after = partners[p, s]
+                i = np.flatnonzero((part == p) & (side == s))
+                left, right = _agree(some.before[i], before), gram + _agree(some.after[i], after)
+                hit = left + right >= least
+                i, left, right = i[hit], left[hit], right[hit]
+                yield batch_of(doc=pa.array(some.doc[i]).cast(_doc_type(kind)), start=(some.at[i] - left).astype(np.int32), end=(some.at[i] + right).astype(np.int32))
 
-    return sorted_rows.mapInArrow(run, f"part int, gram long, after binary, before binary, doc {kind}, at int, start int, end int")
+    met = found.where(F.col("side") >= IN_FIRST).mapInArrow(run, f"doc {kind}, start int, end int")
+    return found.where(F.col("side") == SPAN).select("doc", "start", "end").union(met)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, least: int = LEAST, hold: int = HOLD) -> DataFrame:
     """(id_col, start_word, end_word): merged stretches of each document that are parts of repeats of `least` words."""
     kind = docs.schema[id_col].dataType.simpleString()
     key = id_col
@@ -252,19 +369,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
         raise TypeError(f"{id_col} must be a whole number or a string")
     table = repeated_grams(docs, text_col, gram, window)
     kept = stored(suffixes(docs, table, id_col, text_col, gram, window), "suffixes")
+    large = stored(kept.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hold).select("gram"), "suffix-common")
+    common = large.limit(1).count() > 0
     order = ["gram", "after", "before", "doc", "at"]
-    found = stored(_compare(kept.repartitionByRange(*order).sortWithinPartitions(*order), kind, gram, window, least), "suffix-spans")
-    spans = found.where("part IS NULL").select("doc", "start", "end")
-    edges = found.where("part IS NOT NULL").toPandas().sort_values(["part", *order])
-    more = []
-    for (_, a), (_, b) in zip(edges.iloc[:-1].iterrows(), edges.iloc[1:].iterrows(), strict=True):
-        if a["part"] != b["part"] and a["gram"] == b["gram"] and a["doc"] != b["doc"]:
-            (la, lb), (ra, rb) = ([np.frombuffer(x[c], ">u2")[None] for x in (a, b)] for c in ("before", "after"))
-            left, right = int(_agree(la, lb)[0]), gram + int(_agree(ra, rb)[0])
-            if left + right >= least:
-                more += [(x["doc"] if kind == "string" else int(x["doc"]), int(x["at"]) - left, int(x["at"]) + right) for x in (a, b)]
-    if more:
-        spans = spans.union(docs.sparkSession.createDataFrame(more, f"doc {kind}, start int, end int"))
+    rest = kept.join(large, "gram", "left_anti").select(*order) if common else kept
+    spans = _whole(rest.repartition("gram").sortWithinPartitions(*order), kind, gram, window, least, hold)
+    if common:
+        spans = spans.union(_spread(kept.join(large, "gram", "left_semi").select(*order), kind, gram, window, least, hold))
+    spans = stored(spans, "suffix-spans")
     by = Window.partitionBy("doc").orderBy("start", "end")
     reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.distinct().withColumn("new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))

@@ -239,6 +239,31 @@ def test_model_holds_every_word(spark, odd, monkeypatch):
     assert contextmix.slot_sizes(found)[3:] == [1 << 12] * 2
 
 
+def test_grams_over_the_bound_are_compared_whole(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    line = fresh(30)
+    lefts, rights = [fresh(25) for _ in range(20)], [fresh(25) for _ in range(20)]
+    rows = []
+    for i in range(160):  # all share the line; some share words to its left or right too, or both in part
+        left = fresh(15) + lefts[i % 20][5:] if i % 3 else fresh(40)
+        right = rights[i * 7 % 20][: rng.randrange(5, 25)] if i % 2 else []
+        rows.append((i, " ".join([*left, *line, *right, *fresh(20)]), "en", "s"))
+    rows += [(300, " ".join(line * 12), "en", "s"), (301, " ".join(line * 9), "en", "s")]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for hold in (3, 20, 50_000):
+            got = defaultdict(set)
+            for r in suffixes.repeats(table(spark, rows), hold=hold).collect():
+                got[r.doc_id].update(range(r.start_word, r.end_word))
+            assert got == slow_repeats(rows, 50), hold
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_reordered_passages_are_found(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
