@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfolio.llm import contextmix, importance, langid, ledger, lengths, mixture, pii, simhash, suffixes, tiling
+from tallyfolio.llm import bpe, contextmix, divergence, importance, langid, ledger, lengths, mixture, periods, pii, simhash, suffixes, tiling
 from tallyfolio.llm.common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,23 @@ def op5_language(spark, sf_dir):
 def op6_context_mixing(spark, sf_dir):
     """Log probability of every document."""
     return contextmix.score(read(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document, a tenth of them with a planted repeat."""
+    return periods.digests(periods.find(read(spark, sf_dir, "documents"), order=periods.planted))
+
+
+@query("op12_bpe_chunks")
+def op12_bpe_chunks(spark, sf_dir):
+    """Token ids of every document and the text they decode to, as digests."""
+    whole = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_source_divergence", divergence.ORACLE)
+def op13_source_divergence(spark, sf_dir):
+    """Divergence of every two sources of a language, and the terms each source uses most above its language."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
