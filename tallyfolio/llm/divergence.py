@@ -52,7 +52,10 @@ def counted(docs: DataFrame) -> DataFrame:
             for (lang, source), terms in n.items():
                 got = d[lang, source]
                 keys = list(terms)
-                yield batch_of(lang=pa.array([lang] * len(keys)), source=pa.array([source] * len(keys)), term=pa.array(keys, pa.binary()).cast(pa.string()), n=pa.array(terms.values(), pa.int64()), docs=pa.array([got[t] for t in keys], pa.int64()))
+                yield batch_of(
+                    lang=pa.array([lang] * len(keys), pa.string()), source=pa.array([source] * len(keys), pa.string()),
+                    term=pa.array(keys, pa.binary()).cast(pa.string()), n=pa.array(terms.values(), pa.int64()), docs=pa.array([got[t] for t in keys], pa.int64()),
+                )
 
         for batch in batches:
             columns = (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()))
