@@ -34,7 +34,7 @@ VOCABULARY = os.environ.get("WORD_TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k
 #: Bytes that the rolling hash covers, and one cut in so many bytes.
 SPAN, EVERY = 16, 256
 #: Bytes (with what Python adds) of one generation of encoded words and of encoded chunks.
-KEPT_WORDS, KEPT_CHUNKS = 96 << 20, 32 << 20
+KEPT_WORDS, KEPT_CHUNKS = 48 << 20, 8 << 20
 _STEP = 0x9E3779B97F4A7C15
 
 
