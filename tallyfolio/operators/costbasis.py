@@ -1,16 +1,17 @@
 """Moving-average cost basis of open positions.
 
 The rule is sequential: a buy adds its spend, a sell removes average cost, quantity
-and cost never go below zero and reset once the quantity is gone.  Folding a
-whole instrument in one task would put a third of all trades on one executor, so the
-fold is split by day:
-
-1. per (key, day), in parallel: the day as a function of the quantity before it,
-   q -> max(q + total, floor);
-2. a running maximum over one row per day gives the quantity before each day;
-3. per (key, day), in parallel: the fold from that quantity, with the unknown cost
-   c carried as  a * c + b;
-4. one row per day is left to chain.
+and cost never go below zero and reset once the quantity is gone.  Two facts make it
+a pair of scans:
+
+* the quantity is a walk reflected at zero, q_i = S_i + max(0, max(-S_j, j <= i)), with
+  S the running sum of (decimal) quantities;
+* once quantities are known, each trade maps the cost to a * cost + b: (1, spend) for a
+  buy, (share left, 0) for a sell, (0, 0) when the quantity is gone.
+
+Trades are dealt into buckets of bounded size by ranges of (key, time), whatever the number of trades
+of an instrument or a day.  Each scan runs within the buckets first, then over one row per bucket, and
+joins what lies before a bucket back to its trades: no task holds an instrument's life and no arrays are built.
 """
 
 from __future__ import annotations
@@ -19,100 +20,111 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.text import day
+from tallyfolio.session import materialize
 
 _GONE = 1e-9
 _NONE = 1e-12
+#: Quantities and their sums are exact to twelve places; the wider type leaves room for one more addition.
+_EXACT, _SUM = "decimal(28,12)", "decimal(36,12)"
+_ORDER = ["datetime", "row_seq", "quantity", "spend"]
+#: Natural logarithm of how far products of shares may fall within one section of a scan.  What is more
+#: than a section back weighs less than exp(-400) and counts as nothing.
+_FALL = 400.0
+
 
+def _running(*by):
+    return Window.partitionBy(*by[0]).orderBy(*by[1]).rowsBetween(Window.unboundedPreceding, 0)
 
-def _day_trades(tx: DataFrame, keys, include_fees: bool) -> DataFrame:
+
+def _trades(tx: DataFrame, keys, include_fees: bool) -> DataFrame:
+    """Trades with the bucket they are dealt to, written once."""
     fees = F.abs(F.coalesce("fees_eur", F.lit(0.0))) if include_fees else F.lit(0.0)
     spend = F.greatest(F.coalesce(-F.col("total_eur"), F.lit(0.0)) + fees, F.lit(0.0))
     rows = tx.where(F.col("datetime").isNotNull() & (F.abs("quantity") >= _NONE))
     if "is_cash_like" in tx.columns:
         rows = rows.where(~F.coalesce("is_cash_like", F.lit(False)))
-    trade = F.struct("datetime", "row_seq", F.col("quantity").alias("q"), spend.alias("spend"))
-    return rows.groupBy(*keys, day("datetime").alias("date")).agg(
-        F.array_sort(F.collect_list(trade)).alias("trades")
-    )
-
-
-def _quantity_floor(trades):
-    """Quantity after the day if there was none before it (NULL when the day has no sell)."""
-
-    def step(acc, t):
-        sold = F.greatest(F.coalesce(acc + t["q"], F.lit(0.0)), F.lit(0.0))
-        return F.when(t["q"] > 0, acc + t["q"]).otherwise(sold)
-
-    return F.aggregate(trades, F.lit(None).cast("double"), step)
-
-
-def _day_effect(trades, quantity_before):
-    """Fold one day from a known quantity: cost afterwards is a * cost_before + b."""
-
-    def step(acc, t):
-        q, a, b, change = acc["q"], acc["a"], acc["b"], t["q"]
-        left = F.greatest(q + change, F.lit(0.0))
-        keep = F.when((q <= _NONE) | (left <= _GONE), F.lit(0.0)).otherwise(left / q)
-        bought = F.struct((q + change).alias("q"), a.alias("a"), (b + t["spend"]).alias("b"))
-        sold = F.struct(
-            F.when(left <= _GONE, F.lit(0.0)).otherwise(left).alias("q"),
-            (a * keep).alias("a"),
-            (b * keep).alias("b"),
-        )
-        return F.when(change > 0, bought).otherwise(sold)
-
-    start = F.struct(quantity_before.alias("q"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    return F.aggregate(trades, start, step)
-
-
-def _chain(effects):
-    """Cost after every day, in date order."""
-    start = F.struct(
-        F.lit(0.0).alias("cost"), F.array().cast("array<struct<date:date,quantity:double,cost:double>>").alias("out")
-    )
-
-    def step(acc, e):
-        cost = F.greatest(e["a"] * acc["cost"] + e["b"], F.lit(0.0))
-        row = F.struct(e["date"].alias("date"), e["q"].alias("quantity"), cost.alias("cost"))
-        return F.struct(cost.alias("cost"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(effects, start, step)
-
-
-def _day_effects(tx: DataFrame, keys, include_fees: bool) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("date")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.aggregate("trades", F.lit(0.0), lambda acc, t: acc + t["q"])
-    after = F.col("running") + F.greatest(F.coalesce(F.max("lift").over(so_far), F.lit(0.0)), F.lit(0.0))
-    before = F.coalesce(F.lag("after").over(w), F.lit(0.0))
-    return (
-        _day_trades(tx, keys, include_fees)
-        .withColumn("total", total)
-        .withColumn("floor", _quantity_floor(F.col("trades")))
-        .withColumn("running", F.sum("total").over(so_far))
-        .withColumn("lift", F.col("floor") - F.col("running"))
-        .withColumn("after", after)
-        .withColumn("before", F.when(before <= _GONE, F.lit(0.0)).otherwise(before))
-        .select(*keys, "date", _day_effect(F.col("trades"), F.col("before")).alias("e"))
-    )
+    rows = rows.select(*keys, "datetime", "row_seq", F.col("quantity").cast(_EXACT).alias("quantity"), spend.alias("spend"))
+    dealt = rows.repartitionByRange(*keys, *_ORDER).withColumn("bucket", F.spark_partition_id())
+    return materialize(dealt, "cost-trades")
+
+
+def _before_bucket(rows: DataFrame, keys, carried: dict, kind: str) -> DataFrame:
+    """`carried` columns: aggregates over all earlier buckets of the key."""
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*keys, "bucket", *[F.coalesce(c.over(earlier), F.lit(0)).cast(kind).alias(name) for name, c in carried.items()])
+
+
+def _quantities(trades: DataFrame, keys) -> DataFrame:
+    """Quantity before and after every trade."""
+    on = _running([*keys, "bucket"], _ORDER)
+    rows = trades.withColumn("run", F.sum("quantity").over(on).cast(_SUM)).withColumn("low", F.min("run").over(on))
+    ends = rows.groupBy(*keys, "bucket").agg(F.sum("quantity").cast(_SUM).alias("total"), F.min("low").alias("low"))
+    ends = ends.join(_before_bucket(ends, keys, {"sum_before": F.sum("total")}, _SUM), [*keys, "bucket"])
+    ends = ends.withColumn("low", (F.col("low") + F.col("sum_before")).cast(_SUM))
+    ends = ends.join(_before_bucket(ends, keys, {"low_before": F.min("low")}, _SUM), [*keys, "bucket"]).select(*keys, "bucket", "sum_before", "low_before")
+    earlier_low = F.coalesce(F.min("run").over(on.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("earlier", earlier_low).join(ends, [*keys, "bucket"])
+
+    def reflected(run, low):
+        s = F.col("sum_before") + run
+        q = (s - F.least(F.lit(0), F.col("low_before"), F.col("sum_before") + low)).cast("double")
+        return F.when(q <= _GONE, F.lit(0.0)).otherwise(q)
+
+    before = reflected(F.col("run") - F.col("quantity"), F.col("earlier"))
+    return rows.select(*keys, "bucket", *_ORDER, before.alias("before"), reflected(F.col("run"), F.col("low")).alias("open_quantity"))
+
+
+def composed(rows: DataFrame, part, order) -> DataFrame:
+    """Prefix composition of maps x -> a x + b with 0 <= a <= 1, b >= 0, in `order` within `part`.
+
+    Adds pre_a, pre_b: the maps up to and with this row as one.  A map with a = 0 opens a new section, in which
+    products are taken of the other maps only, and so does a product that has fallen by exp(-_FALL).
+    """
+    opens = F.col("a") == 0
+    factor = F.when(opens, F.lit(1.0)).otherwise(F.col("a"))
+    rows = rows.withColumn("_reset", F.sum(opens.cast("long")).over(_running(part, order))).withColumn("_f", factor)
+    fallen = -F.sum(F.log("_f")).over(_running([*part, "_reset"], order))
+    rows = rows.withColumn("_section", F.floor(F.greatest(fallen, F.lit(0.0)) / _FALL))
+    within = _running([*part, "_reset", "_section"], order)
+    rows = rows.withColumn("_p", F.product("_f").over(within)).withColumn("_s", F.col("_p") * F.sum(F.col("b") / F.col("_p")).over(within))
+    # the section before hands its last value on to all rows of this one
+    back = F.lag("_s").over(Window.partitionBy(*part, "_reset").orderBy(*order))
+    rows = rows.withColumn("_back", back)
+    carry = F.coalesce(F.first("_back").over(within), F.lit(0.0))
+    untouched = (F.col("_reset") == 0) & (F.col("_section") == 0)
+    rows = rows.withColumn("pre_a", F.when(untouched, F.col("_p")).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("pre_b", F.col("_s") + F.col("_p") * carry)
+    return rows.drop("_reset", "_f", "_section", "_p", "_s", "_back")
+
+
+def trade_cost_basis(tx: DataFrame, keys=("instrument_id",), include_fees: bool = False) -> DataFrame:
+    """Open quantity and cost after every trade."""
+    keys = list(keys)
+    rows = _quantities(_trades(tx, keys, include_fees), keys)
+    bought, q, left = F.col("quantity") > 0, F.col("before"), F.col("open_quantity")
+    keep = F.when((q <= _NONE) | (left <= _GONE), F.lit(0.0)).otherwise(F.least(left / q, F.lit(1.0)))
+    rows = rows.withColumn("a", F.when(bought, F.lit(1.0)).otherwise(keep)).withColumn("b", F.when(bought, F.col("spend")).otherwise(F.lit(0.0)))
+    rows = materialize(composed(rows, [*keys, "bucket"], _ORDER).drop("a", "b", "before"), "cost-maps")
+    last = F.struct(*_ORDER)
+    whole = rows.groupBy(*keys, "bucket").agg(F.max_by("pre_a", last).alias("a"), F.max_by("pre_b", last).alias("b"))
+    chain = composed(whole, keys, ["bucket"])
+    start = F.coalesce(F.lag("pre_b").over(Window.partitionBy(*keys).orderBy("bucket")), F.lit(0.0))  # nothing is held before the first
+    rows = rows.join(chain.select(*keys, "bucket", start.alias("start")), [*keys, "bucket"])
+    cost = F.when(F.col("open_quantity") <= _GONE, F.lit(0.0)).otherwise(F.col("pre_a") * F.col("start") + F.col("pre_b"))
+    return rows.select(*keys, *_ORDER, "open_quantity", cost.alias("cost_basis_eur"))
+
+
+def _last(rows: DataFrame, by) -> DataFrame:
+    last = F.max_by(F.struct("open_quantity", "cost_basis_eur"), F.struct(*_ORDER)).alias("r")
+    return rows.groupBy(*by).agg(last).select(*by, "r.open_quantity", "r.cost_basis_eur")
 
 
 def daily_cost_basis(tx: DataFrame, keys=("instrument_id",), include_fees: bool = False) -> DataFrame:
     """Open quantity and cost after every trading day; constant until the next one."""
-    per_day = _day_effects(tx, keys, include_fees)
-    effects = F.array_sort(F.collect_list(F.struct("date", "e.q", "e.a", "e.b")))
-    return (
-        per_day.groupBy(*keys)
-        .agg(effects.alias("days"))
-        .select(*keys, F.explode(_chain(F.col("days"))["out"]).alias("r"))
-        .select(*keys, "r.date", F.col("r.quantity").alias("open_quantity"), F.col("r.cost").alias("cost_basis_eur"))
-    )
+    rows = trade_cost_basis(tx, keys, include_fees).withColumn("date", day("datetime"))
+    return _last(rows, [*keys, "date"])
 
 
 def open_cost_basis(tx: DataFrame, keys=("instrument_id",), include_fees: bool = True) -> DataFrame:
     """Final state only."""
-    daily = daily_cost_basis(tx, keys, include_fees)
-    return daily.groupBy(*keys).agg(
-        F.max_by("open_quantity", "date").alias("open_quantity"),
-        F.max_by("cost_basis_eur", "date").alias("cost_basis_eur"),
-    )
+    return _last(trade_cost_basis(tx, keys, include_fees), list(keys))

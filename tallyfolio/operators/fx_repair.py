@@ -119,11 +119,63 @@ def fill_order_rates(rows: DataFrame) -> DataFrame:
     )
 
 
+def _sums(units: list[int], reach=None, stop=None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of all subsets and the number of ways to get each (two or more count as two).
+
+    `reach(i, sums)` says which sums may still matter behind the i-th value; `stop(sums, ways)` ends the search."""
+    sums, ways = np.zeros(1, np.int64), np.ones(1, np.int64)
+    for i, v in enumerate(units):
+        both, at = np.unique(np.concatenate((sums, sums + v)), return_inverse=True)
+        count = np.minimum(np.bincount(at, np.concatenate((ways, ways)), len(both)), 2).astype(np.int64)
+        if reach is not None:
+            alive = reach(i, both)
+            both, count = both[alive], count[alive]
+        sums, ways = both, count
+        if stop is not None and stop(sums, ways):
+            break
+    return sums, ways
+
+
+def _within(units, spans):
+    """Which sums can still end in one of the spans, by what the values left may add or take."""
+    units = np.asarray(units, np.int64)
+    up = np.append(np.cumsum(np.maximum(units, 0)[::-1])[::-1], 0)
+    down = np.append(np.cumsum(np.minimum(units, 0)[::-1])[::-1], 0)
+
+    def reach(i, sums):
+        alive = np.zeros(len(sums), bool)
+        for low, high in spans:
+            alive |= (sums + up[i + 1] >= low) & (sums + down[i + 1] <= high)
+        return alive
+
+    return reach
+
+
+def _members(units: list[int], first: int, total: int) -> list[int]:
+    """Places (counted from `first`) of the only subset with sum `total`, halving the values: no more than one list of sums
+    is held at a time."""
+    if total == 0:
+        return []
+    if len(units) == 1:
+        return [first]
+    half = len(units) // 2
+    one, two = units[:half], units[half:]
+    bounds = [(sum(min(v, 0) for v in part), sum(max(v, 0) for v in part)) for part in (one, two)]
+    left = _sums(one, _within(one, [(total - bounds[1][1], total - bounds[1][0])]))[0]
+    right = _sums(two, _within(two, [(total - bounds[0][1], total - bounds[0][0])]))[0]
+    wanted = total - left
+    at = np.searchsorted(right, wanted)
+    met = np.flatnonzero(right[np.minimum(at, len(right) - 1)] == wanted)
+    part = int(left[met[0]])
+    return _members(one, first, part) + _members(two, first + half, total - part)
+
+
 def unique_subset(values: np.ndarray, ids: np.ndarray, target: float, tolerance: float = FOREIGN_TOLERANCE):
     """Ids of the only subset whose absolute sum hits the target, else None.
 
     All candidates take part.  Sums are whole hundredths of a cent; after each candidate equal sums are one row with the
-    number of ways to get there (two or more count as two), and sums from which no hit can be reached are left out.
+    number of ways to get there, and sums from which no hit can be reached are left out.  Only one list of sums is held, and
+    the search ends with the second hit: with many candidates hits are dense, so the list stays short.
     """
     if not np.isfinite(target) or target <= 0:
         return None
@@ -131,138 +183,129 @@ def unique_subset(values: np.ndarray, ids: np.ndarray, target: float, tolerance:
     order = np.argsort(-np.abs(values), kind="stable")
     units = np.rint(values[order] * UNIT).astype(np.int64)
     near, far = math.ceil((target - tolerance) * UNIT - 1e-6), math.floor((target + tolerance) * UNIT + 1e-6)
-    up = np.append(np.cumsum(np.maximum(units, 0)[::-1])[::-1], 0)
-    down = np.append(np.cumsum(np.minimum(units, 0)[::-1])[::-1], 0)
-    sums, ways = np.zeros(1, np.int64), np.ones(1, np.int64)
-    steps = [sums]
-    for i, v in enumerate(units.tolist()):
-        both, at = np.unique(np.concatenate((sums, sums + v)), return_inverse=True)
-        count = np.minimum(np.bincount(at, np.concatenate((ways, ways)), len(both)), 2).astype(np.int64)
-        low, high = both + down[i + 1], both + up[i + 1]
-        alive = ((high >= near) & (low <= far)) | ((low <= -near) & (high >= -far))
-        sums, ways = both[alive], count[alive]
-        steps.append(sums)
-    hit = np.abs(np.abs(sums / UNIT) - target) <= tolerance
-    empty = hit & (sums == 0)  # one of its ways is the empty subset, which is none
-    left = sums[hit & ~empty]
-    if ways[hit].sum() - int(empty.any()) != 1 or len(left) != 1:
-        return None
-    left, chosen = int(left[0]), []
-    for i in range(len(units) - 1, -1, -1):
-        before = steps[i]
-        k = int(np.searchsorted(before, left))
-        if k < len(before) and before[k] == left:
-            continue
-        chosen.append(ids[order[i]])
-        left -= int(units[i])
-    return np.array(chosen)
-
-
-_MATCHED = {"account_label": "object", "row_seq": "int64", "matched_rate": "float64"}
 
+    def hits(sums, ways):
+        hit = np.abs(np.abs(sums / UNIT) - target) <= tolerance
+        return sums[hit], ways[hit].sum() - int((sums[hit] == 0).any())  # one way to zero is the empty subset, which is none
 
-def _days(column: pd.Series) -> np.ndarray:
-    """Days since 1970 of a date column; -1 << 40 where it is missing."""
-    at = pd.to_datetime(column).to_numpy(dtype="datetime64[D]")
-    return np.where(np.isnat(at), np.int64(-(1 << 40)), at.astype(np.int64))
-
+    sums, ways = _sums(units.tolist(), _within(units, [(near, far), (-far, -near)]), lambda s, w: hits(s, w)[1] > 1)
+    found, n = hits(sums, ways)
+    found = found[found != 0]
+    if n != 1 or len(found) != 1:
+        return None
+    return ids[order[_members(units.tolist(), 0, int(found[0]))]]
 
-def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exchanges of one session in time order; a matched row is used once.
 
-    Candidates are sorted by value date and by time, so an exchange looks only at those within its reach.
-    """
-    is_debit = pdf["is_debit"].to_numpy(dtype=bool)
-    debits = pdf[is_debit].sort_values(["datetime", "row_seq"], na_position="last")
-    cand = pdf[~is_debit].sort_values("row_seq", ascending=False)  # among equal amounts the later row first
-    ids, amounts = cand["row_seq"].to_numpy(), cand["raw_change"].to_numpy(dtype=float)
-    when = cand["datetime"].to_numpy(dtype="datetime64[us]").astype(np.int64)
-    day = _days(cand["value_date"])
-    by_day, by_time = np.argsort(day, kind="stable"), np.argsort(when, kind="stable")
-    days, times = day[by_day], when[by_time]
-    free = np.ones(len(ids), dtype=bool)
-    out = []
-    around = LOOKAROUND_DAYS * 86_400_000_000
-    missing = np.iinfo(np.int64).min
-
-    def subset(rows: np.ndarray, target: float):
-        rows = np.sort(rows[free[rows]])
-        return unique_subset(amounts[rows], rows, target)
-
-    for d, own_day in zip(debits.itertuples(index=False), _days(debits["value_date"]).tolist(), strict=True):
-        target = abs(d.raw_change)
-        hit = None
-        if own_day > -(1 << 40):
-            hit = subset(by_day[np.searchsorted(days, own_day) : np.searchsorted(days, own_day, "right")], target)
-        if hit is None and not pd.isna(d.datetime):
-            at = int(np.datetime64(d.datetime, "us").astype(np.int64))
-            lo, hi = np.searchsorted(times, max(at - around, missing + 1)), np.searchsorted(times, at + around, "right")
-            hit = subset(by_time[lo:hi], target)
-        if hit is not None:
-            free[hit] = False
-            out.extend((d.account_label, int(ids[i]), float(d.fx_rate)) for i in hit)
-    return pd.DataFrame(out, columns=list(_MATCHED)).astype(_MATCHED)
+_PAIR = ["account_label", "debit_seq", "row_seq"]
 
 
-def exchange_matches(rows: DataFrame) -> DataFrame:
-    """Rates for rows paid by an exchange without an order id.
+def exchange_pairs(rows: DataFrame) -> DataFrame:
+    """(account_label, debit_seq, at, target, rate, row_seq, amount, same_day, near) for every exchange and each row it may have paid.
 
-    Only foreign rows without a rate and exchanges whose EUR leg exists take part.
-    Rows are grouped into sessions that cannot influence each other (time and value
-    dates more than the look-around apart), so a busy portfolio splits over tasks.
+    Only foreign rows without a rate and exchanges whose EUR leg exists take part.  Rows meet by account, currency and day.
     """
     p = _prepared(rows).where((F.col("_oid") == "") & F.col("_amt").isNotNull())
-    debit = (F.col("_d") == DEBIT) & ~F.col("_eur") & (F.col("fx_rate") > 0)
+    debits = p.where((F.col("_d") == DEBIT) & ~F.col("_eur") & (F.col("fx_rate") > 0)).withColumn("_eur_target", F.col("_amt") / F.col("fx_rate"))
     credits = p.where((F.col("_d") == CREDIT) & F.col("_eur"))
-    debits = p.where(debit).withColumn("_eur_target", F.col("_amt") / F.col("fx_rate"))
 
     def paid(part, on):
-        c = credits.select("account_label", on, F.col("_amt").alias("_credit"))
-        d = part.alias("d").join(
-            c.alias("c"),
-            (F.col("d.account_label") == F.col("c.account_label"))
-            & (F.col(f"d.{on}") == F.col(f"c.{on}"))
-            & (F.abs(F.col("c._credit") - F.col("d._eur_target")) <= EUR_TOLERANCE),
-            "left_semi",
-        )
-        return d
+        c = credits.select(F.col("account_label").alias("_a"), F.col(on).alias("_on"), F.col("_amt").alias("_credit"))
+        met = (F.col("account_label") == F.col("_a")) & (F.col(on) == F.col("_on")) & (F.abs(F.col("_credit") - F.col("_eur_target")) <= EUR_TOLERANCE)
+        return part.join(c, met, "left_semi")
 
-    cols = ["account_label", "currency", "row_seq", "datetime", "value_date", "raw_change", "fx_rate"]
     has_time = F.col("datetime").isNotNull()
-    good = paid(debits.where(has_time), "datetime").select(*cols).unionByName(
-        paid(debits.where(~has_time & F.col("value_date").isNotNull()), "value_date").select(*cols)
-    )
-    candidates = p.where(F.col("fx_rate").isNull() & ~F.col("_eur") & ~F.col("_leg")).select(*cols)
-    both = good.withColumn("is_debit", F.lit(True)).unionByName(candidates.withColumn("is_debit", F.lit(False)))
-    slack = F.when(F.col("is_debit"), LOOKAROUND_DAYS + 1).otherwise(0)
-    day = F.to_date("datetime")
-    both = (
-        both.where(day.isNotNull() | F.col("value_date").isNotNull())
-        .withColumn("lo", F.least(F.date_sub(day, slack), "value_date"))
-        .withColumn("hi", F.greatest(F.date_add(day, slack), "value_date"))
-    )
-    keys = ["account_label", "currency"]
-    w = Window.partitionBy(*keys).orderBy("lo")
-    before = F.max("reach").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce(F.col("lo") > before, F.lit(True)).cast("int")
-    sessions = (
-        both.groupBy(*keys, "lo")
-        .agg(F.max("hi").alias("reach"))
-        .withColumn("opens", opens)
-        .select(*keys, "lo", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("session"))
-    )
-    # Most sessions hold exchanges or candidates alone: nothing can match there, and they don't reach Python.
-    rows = both.join(sessions, [*keys, "lo"]).select(*cols, "is_debit", "session")
-    mixed = rows.groupBy(*keys, "session").agg(F.bool_or("is_debit").alias("some"), F.bool_and("is_debit").alias("all"))
-    rows = rows.join(mixed.where("some AND NOT all").select(*keys, "session"), [*keys, "session"], "left_semi")
-    # Matching is CPU-bound on few bytes, so the partition count is fixed: size-based
-    # coalescing would run every session in one task.
-    tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, *keys, "session").groupBy(*keys, "session").applyInPandas(
-        _match_group, "account_label string, row_seq bigint, matched_rate double"
+    at = F.struct((~has_time).alias("untimed"), F.col("datetime"), F.col("row_seq"))
+    good = paid(debits.where(has_time), "datetime").unionByName(paid(debits.where(~has_time & F.col("value_date").isNotNull()), "value_date"))
+    good = good.select("account_label", "currency", F.col("row_seq").alias("debit_seq"), at.alias("at"), F.col("_amt").alias("target"), F.col("fx_rate").alias("rate"), F.col("datetime").alias("_when"), F.col("value_date").alias("_day"))
+    candidates = p.where(F.col("fx_rate").isNull() & ~F.col("_eur") & ~F.col("_leg"))
+    candidates = candidates.select("account_label", "currency", "row_seq", F.col("raw_change").alias("amount"), F.col("datetime").alias("_time"), F.col("value_date").alias("_value"))
+    by_day = good.where("_day IS NOT NULL").withColumn("_on", F.col("_day")).join(candidates.withColumn("_on", F.col("_value")), ["account_label", "currency", "_on"])
+    around = F.sequence(F.date_sub(F.to_date("_when"), LOOKAROUND_DAYS), F.date_add(F.to_date("_when"), LOOKAROUND_DAYS))
+    reach = F.expr(f"_time BETWEEN _when - INTERVAL {LOOKAROUND_DAYS} DAYS AND _when + INTERVAL {LOOKAROUND_DAYS} DAYS")
+    by_time = good.where("_when IS NOT NULL").withColumn("_on", F.explode(around)).join(candidates.withColumn("_on", F.to_date("_time")), ["account_label", "currency", "_on"]).where(reach)
+    cols = ["account_label", "debit_seq", "at", "target", "rate", "row_seq", "amount"]
+    both = by_day.select(*cols, F.lit(True).alias("same_day"), F.lit(False).alias("near")).unionByName(by_time.select(*cols, F.lit(False).alias("same_day"), F.lit(True).alias("near")))
+    return both.groupBy(*_PAIR).agg(
+        *[F.first(c).alias(c) for c in ("at", "target", "rate", "amount")], F.bool_or("same_day").alias("same_day"), F.bool_or("near").alias("near")
     )
 
 
+def _searched(pairs: DataFrame) -> DataFrame:
+    """Matches of exchanges with several rows in reach, streamed exchange by exchange."""
+
+    def one(part: pd.DataFrame):
+        part = part.sort_values("row_seq", ascending=False)  # among equal amounts the later row first
+        for kind in ("same_day", "near"):
+            rows = part[part[kind].to_numpy(dtype=bool)]
+            hit = unique_subset(rows["amount"].to_numpy(dtype=float), np.arange(len(rows)), float(part["target"].iloc[0])) if len(rows) else None
+            if hit is not None:
+                return rows.iloc[hit]
+        return part.iloc[:0]
+
+    def run(batches):
+        held = None
+        for frame in batches:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            key = frame[["account_label", "debit_seq"]]
+            edge = np.flatnonzero(np.append(True, (key.to_numpy()[1:] != key.to_numpy()[:-1]).any(axis=1)))
+            found = [one(frame.iloc[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            held = frame.iloc[edge[-1] :] if len(frame) else None
+            if found:
+                yield pd.concat(found)[cols]
+        if held is not None:
+            yield one(held)[cols]
+
+    cols = [*_PAIR, "rate"]
+    dealt = pairs.select(*_PAIR, "rate", "target", "amount", "same_day", "near").repartition("account_label", "debit_seq").sortWithinPartitions(*_PAIR)
+    return dealt.mapInPandas(run, "account_label string, debit_seq bigint, row_seq bigint, rate double")
+
+
+def _proposed(pairs: DataFrame) -> DataFrame:
+    """(account_label, debit_seq, at, row_seq, rate): rows that each exchange matches if all of `pairs` are free.
+
+    An exchange with one row in reach is settled by comparing two numbers; others need the search for a subset.
+    """
+    units = F.rint(F.col("amount") * UNIT)
+    fits = (units != 0) & (F.abs(F.abs(units / UNIT) - F.col("target")) <= FOREIGN_TOLERANCE)
+    each = Window.partitionBy("account_label", "debit_seq")
+    day, near = F.col("same_day"), F.col("near")
+    counted = pairs.withColumn("fits", fits & ~F.isnan("amount")).withColumn("n_day", F.count_if(day).over(each)).withColumn("n_near", F.count_if(near).over(each))
+    counted = counted.withColumn("day_hit", F.bool_or(day & F.col("fits")).over(each))
+    by_day = (F.col("n_day") == 1) & F.col("day_hit")
+    easy = by_day | ((F.col("n_day") <= 1) & (F.col("n_near") <= 1))
+    simple = counted.where(easy & F.col("fits") & F.when(by_day, day).otherwise(near)).select(*_PAIR, "rate")
+    found = simple.unionByName(_searched(counted.where(~easy)))
+    return found.join(pairs.select(*_PAIR, "at"), _PAIR)
+
+
+def exchange_matches(rows: DataFrame) -> DataFrame:
+    """Rates for rows paid by an exchange without an order id: exchanges in time order, a matched row is used once.
+
+    The order is kept without walking through it.  All exchanges match at once; then those that had counted on a row which
+    an earlier one takes match again without such rows, until no exchange has other rows taken from it than before.  At that
+    point each exchange has matched what the earlier ones leave, which is what the walk would give, and a round settles at
+    least the next exchange of every chain of rivals.
+    """
+    pairs = materialize(exchange_pairs(rows), "exchange-pairs")
+    proposed = materialize(_proposed(pairs), "exchange-matches")
+    blocked = None
+    while True:
+        takers = proposed.groupBy("account_label", "row_seq").agg(F.min("at").alias("taken"))
+        now = materialize(pairs.join(takers, ["account_label", "row_seq"]).where(F.col("at") > F.col("taken")).select(*_PAIR), "exchange-taken")
+        if blocked is None:
+            changed = now
+        else:
+            changed = now.exceptAll(blocked).unionByName(blocked.exceptAll(now))
+        changed = materialize(changed.select("account_label", "debit_seq").distinct(), "exchange-again")
+        if changed.isEmpty():
+            break
+        again = _proposed(pairs.join(changed, ["account_label", "debit_seq"], "left_semi").join(now, _PAIR, "left_anti"))
+        proposed = materialize(proposed.join(changed, ["account_label", "debit_seq"], "left_anti").unionByName(again), "exchange-matches")
+        blocked = now
+    return proposed.select("account_label", "row_seq", F.col("rate").alias("matched_rate"))
+
+
 def fill_exchange_rates(rows: DataFrame) -> DataFrame:
     return (
         rows.join(exchange_matches(rows), KEY, "left")

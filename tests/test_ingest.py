@@ -258,3 +258,60 @@ def test_all_candidates_take_part(spark):
 def test_target_keys_that_become_equal(spark):
     raw = spark.sql("SELECT map('EUR', '50', ' EUR ', '60', 'usd', '10', 'USD', '20', '', '5') AS m")
     assert raw.select(clean_target_map(F.col("m")).alias("m")).first()["m"] == {"EUR": 60.0, "usd": 10.0, "USD": 20.0}
+
+
+def test_unique_subset_of_thousands():
+    """Bounded work with 5000 candidates: either a single hit or an early end with two."""
+    rng = np.random.default_rng(8)
+    large = np.round(rng.uniform(2000, 9000, 5000), 2)
+    assert list(fx_repair.unique_subset(np.append(large, [17.0, 3.0]), np.arange(5002), 20.0)) in ([5000, 5001], [5001, 5000])
+    assert fx_repair.unique_subset(np.append(large, [17.0, 3.0, 20.0]), np.arange(5003), 20.0) is None
+    assert fx_repair.unique_subset(np.round(rng.uniform(-50, 50, 5000), 2), np.arange(5000), 4000.0) is None
+
+
+def walked(debits, candidates):
+    """Exchanges one after the other; debits: (row_seq, time, day, target, rate), candidates: row_seq -> (time, day, amount)."""
+    from itertools import combinations
+
+    free, out = dict(candidates), {}
+
+    def only(rows, target):
+        hits = [c for n in range(1, len(rows) + 1) for c in combinations(rows, n) if abs(abs(sum(free[i][2] for i in c)) - target) <= 0.03]
+        return hits[0] if len(hits) == 1 else None
+
+    for _, time, day, target, rate in sorted(debits, key=lambda d: (d[1], d[0])):
+        hit = only([i for i, (_, d, _) in free.items() if d == day], target)
+        hit = hit or only([i for i, (t, _, _) in free.items() if abs(t - time) <= dt.timedelta(days=3)], target)
+        for i in hit or ():
+            out[i] = rate
+            del free[i]
+    return out
+
+
+def test_rival_exchanges_against_the_walk(spark):
+    """Many exchanges want the same rows; rounds give what walking in time order gives."""
+    import random
+
+    rng = random.Random(6)
+    for parts in (1, 5):
+        ledger, want, seq = [], {}, 0
+        for account_label in "ABCDEFGH":
+            debits, candidates = [], {}
+            for _ in range(10):
+                t = dt.datetime(2024, 3, rng.randrange(1, 12), 10, rng.randrange(60))
+                seq += 1
+                amount = float(rng.choice([10, 10, 20, 25, 30]))
+                candidates[seq] = (t, t.date(), amount)
+                ledger.append((account_label, seq, t, t.date(), None, "Dividend", "USD", amount, None))
+            for k in range(7):
+                t = dt.datetime(2024, 3, rng.randrange(1, 14), 11, k)
+                day = (t - dt.timedelta(days=rng.randrange(3))).date()
+                seq += 2
+                target, rate = float(rng.choice([10, 10, 20, 40, 35])), 1.25 + k / 100
+                debits.append((seq, t, day, target, rate))
+                ledger.append((account_label, seq, t, day, None, "Valuta Debitering", "USD", -target, rate))
+                ledger.append((account_label, seq + 1, t, day, None, "Valuta Creditering", "EUR", target / rate, None))
+            want.update(walked(debits, candidates))
+        frame = spark.createDataFrame(ledger, "account_label string, row_seq long, datetime timestamp_ntz, value_date date, order_id string, description string, currency string, raw_change double, fx_rate double")
+        got = {r["row_seq"]: r["matched_rate"] for r in fx_repair.exchange_matches(frame.repartition(parts)).collect()}
+        assert got == want and len(want) > 15

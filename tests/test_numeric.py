@@ -98,3 +98,68 @@ def test_cost_basis_fold(spark, fees):
     for key in {d[0] for d in data}:
         rows = sorted((d for d in data if d[0] == key), key=lambda d: (d[1], d[2]))
         assert got[key] == pytest.approx(_fold([(d[3], d[4], d[5]) for d in rows], fees), abs=1e-6)
+
+
+def folded(rows):
+    """Quantity and cost after each trade by the sequential rule; rows: (datetime, row_seq, quantity, spend)."""
+    q = c = 0.0
+    for _, _, x, spend in sorted(rows):
+        if x > 0:
+            q, c = q + x, c + spend
+        else:
+            left = max(q + x, 0.0)
+            c *= 0.0 if q <= 1e-12 or left <= 1e-9 else left / q
+            q = 0.0 if left <= 1e-9 else left
+        yield q, c
+
+
+def test_cost_basis_of_many_trades_in_one_day(spark):
+    """10^5 trades of one instrument and day, dealt to several buckets, against the sequential rule."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    kinds = {"busy": 100_000, "oversold": 1500, "shrinking": 1500}
+    rows = []
+    for name, n in kinds.items():
+        for i in range(n):
+            q = float(rng.choice([rng.randrange(1, 30), -rng.randrange(1, 29)]))
+            if name == "oversold":
+                q = -abs(q) if rng.random() < 0.6 else rng.random()
+            if name == "shrinking":
+                q = 1e9 if i == 0 else -(1e9 * 0.9**i) * 0.1 if i < 400 else -1e-7  # products of shares far below 1e-12
+            rows.append((name, dt.datetime(2024, 1, 2, 9, 0, i % 3), i, q, -abs(q) * rng.random() * 50))
+    tx = spark.createDataFrame(rows, "instrument_id string, datetime timestamp_ntz, row_seq long, quantity double, total_eur double")
+    tx = tx.withColumn("fees_eur", F.lit(None).cast("double")).repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {name: sorted((r.datetime, r.row_seq, r.open_quantity, r.cost_basis_eur) for r in part) for name, part in grouped(costbasis.trade_cost_basis(tx).collect()).items()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for name in kinds:
+        want = list(folded([(t, i, q, max(-total, 0.0)) for k, t, i, q, total in rows if k == name]))
+        assert len(want) == len(got[name])
+        for (_, _, q, c), (wq, wc) in zip(got[name], want, strict=True):
+            assert abs(q - wq) <= 1e-6 * max(1, wq) and abs(c - wc) <= 1e-6 * max(1, wc)
+
+
+def grouped(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.instrument_id, []).append(r)
+    return out
+
+
+def test_composition_of_maps_over_sections(spark):
+    """Products that fall by far more than a double holds, resets, and empty shares."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice([1.0, 1.0, 1e-60, 0.5, 0.0 if rng.random() < 0.1 else 0.9]), rng.choice([0.0, rng.random() * 100])) for i in range(3000)]
+    rows = [(i, a, b if a in (0.0, 1.0) else 0.0) for i, a, b in rows]
+    frame = spark.createDataFrame([(1, *r) for r in rows], "k int, i int, a double, b double")
+    a, b = 1.0, 0.0
+    for r, (_, x, y) in zip(costbasis.composed(frame, ["k"], ["i"]).orderBy("i").collect(), rows, strict=True):
+        a, b = a * x, b * x + y
+        assert r.pre_b == pytest.approx(b, rel=1e-9, abs=1e-150) and r.pre_a == pytest.approx(a, rel=1e-9, abs=1e-150)
