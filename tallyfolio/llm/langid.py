@@ -13,7 +13,7 @@ suffix from the hosts' sums), so a host with a third of all pages is added up be
 taken out of its prior.
 
 Defined cases: null and empty pages have no text evidence, and ties go to the first language by code point; a missing
-or unknown declaration is a value of its own; a null or odd address has an empty host; repeated rows count each; documents
+or unknown declaration is a value of its own; what opens and never closes on a page is text, and time is linear in its length; a null or odd address has an empty host; repeated rows count each; documents
 without a language are left out; without any labelled document the language is null; other columns are ignored.
 """
 
@@ -33,21 +33,55 @@ TRUST, STRENGTH = 60.0, 4.0
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
-_HIDDEN = re.compile(rb"<(script|style|nav|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_OPEN = re.compile(rb"<(?:!--|(script|style|nav|template)\b)", re.I)
+_CLOSE = {name: re.compile(rb"</" + name + rb"\s*>", re.I) for name in (b"script", b"style", b"nav", b"template")} | {None: re.compile(rb"-->")}
 _TAG = re.compile(rb"<[^>]*>")
 _ENTITY = re.compile(rb"&#?[A-Za-z0-9]{1,10};")
-_LANG = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+_HTML, _LANG = re.compile(rb"<html\b", re.I), re.compile(rb"\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+
+
+def shown(html: bytes | None) -> bytes:
+    """The page without comments, scripts, styles, navigation and templates, each from its opening to the next closing mark.
+
+    One pass forward: once a kind has no closing mark left, its openings are no longer looked at."""
+    html = html or b""
+    out, at, unclosed, begin = [], 0, set(), 0
+    while opening := _OPEN.search(html, at):
+        kind = opening[1] and opening[1].lower()
+        closing = None if kind in unclosed else _CLOSE[kind].search(html, opening.end())
+        if closing is None:
+            unclosed.add(kind)
+            at = opening.end()
+            continue
+        out.append(html[begin : opening.start()])
+        at = begin = closing.end()
+    return b" ".join([*out, html[begin:]])
 
 
 def visible(html: bytes | None) -> bytes:
     """What a reader sees: no scripts, styles, navigation, comments, tags or entities."""
-    return _ENTITY.sub(b" ", _TAG.sub(b" ", _HIDDEN.sub(b" ", html or b"")))
+    return _seen(shown(html))
+
+
+def _seen(page: bytes) -> bytes:
+    end = page.rfind(b">") + 1  # no tag ends after it
+    return _ENTITY.sub(b" ", _TAG.sub(b" ", page[:end]) + page[end:])
 
 
 def declared(html: bytes | None) -> str:
     """The language that the page's html tag names, wherever the tag stands outside of comments and scripts."""
-    found = _LANG.search(_HIDDEN.sub(b" ", html or b""))
-    return found[1].decode().lower() if found else ""
+    return _named(shown(html))
+
+
+def _named(page: bytes) -> str:
+    at = 0
+    while tag := _HTML.search(page, at):
+        end = page.find(b">", tag.end())
+        end = len(page) if end < 0 else end
+        if found := _LANG.search(page, tag.end(), end):
+            return found[1].decode().lower()
+        at = end
+    return ""
 
 
 def trigrams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +128,14 @@ def read_pages(pages: DataFrame, model: np.ndarray, languages: list[str]) -> Dat
         for batch in batches:
             for part, _ in pieces(batch, "html"):
                 raw = [x.as_py() for x in part.column(1).cast(pa.large_binary())]
-                texts = Texts(pa.array([visible(x) for x in raw], pa.binary()))
+                raw = [shown(x) for x in raw]
+                texts = Texts(pa.array([_seen(x) for x in raw], pa.binary()))
                 of, text = trigrams(texts)
                 n = np.bincount(text, minlength=texts.n)
                 scale = np.minimum(1, TRUST / np.maximum(n, 1))
                 like = np.stack([np.bincount(text, table[of, k], texts.n) * scale for k in range(len(languages))], 1)
                 vote = np.where(n > 0, like.argmax(1), -1)
-                says = [d if d in known else ("?" if d else "") for d in map(declared, raw)]
+                says = [d if d in known else ("?" if d else "") for d in map(_named, raw)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.n + 1, dtype=np.int32) * len(languages)), pa.array(like.reshape(-1)))
                 yield batch_of(page_id=part.column(0), host=part.column(2), declared=pa.array(says, pa.string()), text=lists, vote=vote.astype(np.int32))
 

@@ -6,7 +6,8 @@ context limit the documents that exceed it and the tokens left if texts are cut
 
 Suffix sums have two levels (lengths in blocks of 1024), so a window holds one block, or one row for each block.
 
-Defined cases: null and empty texts have length 0 and are counted; special tokens' strings are ordinary text; repeated
+Defined cases: null and empty texts have length 0 and are counted; very long texts, also of white space alone, are encoded
+whole; special tokens' strings are ordinary text; repeated
 rows are counted each; other columns are ignored.  The vocabulary file is a parameter and must be readable on executors.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,31 @@ def encoder(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space from this length on are encoded apart: the library's pattern engine recurses over them.
+LONG = 50_000
+_LONG_SPACE = re.compile(r"\s{%d,}" % LONG)
+
+
 def length_of(text: str | None, path: str = VOCABULARY) -> int:
-    return len(encoder(path).encode_ordinary(text)) if text else 0
+    """Number of tokens of a text.
+
+    In a run of white space before something else the pattern gives the last character to what follows (if it is a space) or
+    a piece of its own, and all before it to one piece; at a text's end the whole run is one piece.  A very long run is
+    therefore taken out: its piece is encoded by itself, and what follows begins with the last character.
+    """
+    if not text:
+        return 0
+    code, n, at = encoder(path), 0, 0
+    for run in _LONG_SPACE.finditer(text) if len(text) >= LONG else ():
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(code.encode_ordinary(text[at : run.start()])) + piece_length(text[run.start() : last], code)
+        at = last
+    return n + len(code.encode_ordinary(text[at:]))
+
+
+def piece_length(piece: str, code) -> int:
+    """Tokens of a text that the pattern leaves in one piece."""
+    return len(code._core_bpe.encode_single_piece(piece.encode()))
 
 
 def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
