@@ -87,12 +87,18 @@ class Encoder:
             made = {words[i]: None for i in missing}
             for word in made:
                 made[word] = self.words.get(word)
-            fresh = [word for word, ids in made.items() if ids is None]
+            split = {word: stem_and_tail(word) for word, ids in made.items() if ids is None}
+            part_of = {part: self.words.get(part) for both in split.values() for part in both}
+            fresh = [part for part, ids in part_of.items() if ids is None]
             for lo in range(0, len(fresh), 4096):
-                part = fresh[lo : lo + 4096]
-                for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    made[word] = ids = array("I", e.ids).tobytes()
-                    self.words.put(word, ids)
+                some = fresh[lo : lo + 4096]
+                for part, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                    part_of[part] = ids = array("I", e.ids).tobytes()
+                    self.words.put(part, ids)
+            for word, both in split.items():
+                made[word] = b"".join([part_of[part] for part in both])
+                if both != (word,):
+                    self.words.put(word, made[word])
             for i in missing:
                 got[i] = made[words[i]]
         return got
@@ -151,6 +157,17 @@ class Encoder:
         return out
 
 
+def stem_and_tail(word: bytes) -> tuple[bytes, ...]:
+    """Parts of a word that the vocabulary's rules part in any case: what ends in an ASCII letter or digit, and a tail of
+    ASCII signs other than the apostrophe; ASCII letters in lower case, as the rules make them, unless the word may hold a
+    special token's string."""
+    if b"<|" in word:
+        return (word,)
+    word = word.lower()
+    stem = word.rstrip(b".,;:!?$%*#")
+    return (stem, word[len(stem) :]) if len(stem) < len(word) and stem[-1:].isalnum() else (word,)
+
+
 def cuts_of(data: np.ndarray) -> np.ndarray:
     """Places (sorted) behind which a new chunk begins, chosen by the bytes before them alone."""
     if len(data) < SPAN:
