@@ -378,7 +378,7 @@ def concentration(v):
 def correlated(v: SampleViews) -> DataFrame:
     start, end = span(v)
     events = eur_events(v).withColumn("price_eur", F.floor(F.col("price_eur") * 1e6 + 0.5) / 1e6)
-    return series.high_correlation_series(events, held(v), start, end, 0.9)
+    return series.held_correlations(events, held(v), strategy(v), start, end)
 
 
 _CORR = """(SELECT a.instrument_id AS ia, b.instrument_id AS ib, (365 * sum(a.r * b.r) - any_value(sa.sx) * any_value(sb.sx)) / sqrt((365 * any_value(sa.sxx) - any_value(sa.sx) * any_value(sa.sx)) * (365 * any_value(sb.sxx) - any_value(sb.sx) * any_value(sb.sx))) AS correlation
@@ -397,22 +397,23 @@ _CORR_VIEWS = """WITH ret AS (SELECT * FROM (SELECT instrument_id, date, units /
 def correlated_pairs(v):
     """Highly correlated holdings inside each portfolio."""
     weights = targeted(v).withColumn("value_pct_total", F.col("value_pct"))
-    out = series.high_correlation_pairs(weights, correlated(v))
+    out = series.with_names_and_weights(correlated(v), weights)
     return out.select("account_label", "instrument_id_a", "instrument_id_b", "weight_a_pct", "weight_b_pct", "combined_weight_pct", "correlation")
 
 
 def kpis(v: SampleViews, totals: DataFrame) -> DataFrame:
     industry = allocation.category_allocation(v.snapshot_full(), totals, ["industry"])
     return allocation.spread_kpis(
-        holdings.sleeve_values(held(v)), totals, allocation.concentration(held(v), totals), by_currency(v, totals), industry
+        holdings.sleeve_values(held(v)), totals, allocation.concentration(held(v), totals), by_currency(v, totals), industry, correlated(v)
     )
 
 
 _KPI = f"""(SELECT r.account_label, r.total_value_eur, coalesce(etf_value, 0) / total_value_eur * 100 AS etf_pct, coalesce(non_etf_value, 0) / total_value_eur * 100 AS non_etf_pct, cash_value_eur / total_value_eur * 100 AS cash_pct,
- coalesce(p1, 0) AS p1, coalesce(p5, 0) AS p5, coalesce(cp, 0) AS cp, coalesce(ip, 0) AS ip, cn, inm, coalesce(total_holdings, 0) AS total_holdings FROM recon r LEFT JOIN sleeves USING (account_label)
+ coalesce(p1, 0) AS p1, coalesce(p5, 0) AS p5, coalesce(cp, 0) AS cp, coalesce(ip, 0) AS ip, cn, inm, coalesce(total_holdings, 0) AS total_holdings, rp FROM recon r LEFT JOIN sleeves USING (account_label)
  LEFT JOIN (SELECT account_label, max(CASE WHEN rank = 1 THEN value_pct_total END) AS p1, sum(CASE WHEN rank <= 5 THEN value_pct_total END) AS p5 FROM {_TOP} GROUP BY 1) USING (account_label)
  LEFT JOIN (SELECT account_label, arg_min(currency, (-total_eur, currency)) AS cn, arg_min(pct_total, (-total_eur, currency)) AS cp FROM cur_alloc GROUP BY 1) USING (account_label)
- LEFT JOIN (SELECT account_label, arg_min(category, (-value_eur, category)) AS inm, arg_min(pct_total, (-value_eur, category)) AS ip FROM alloc WHERE dimension = 'industry' GROUP BY 1) USING (account_label) WHERE r.total_value_eur > 0)"""
+ LEFT JOIN (SELECT account_label, arg_min(category, (-value_eur, category)) AS inm, arg_min(pct_total, (-value_eur, category)) AS ip FROM alloc WHERE dimension = 'industry' GROUP BY 1) USING (account_label)
+ LEFT JOIN (SELECT x.account_label, max(correlation) * 100 AS rp FROM {_CORR} JOIN held x ON x.instrument_id = ia JOIN held y ON y.instrument_id = ib AND y.account_label = x.account_label WHERE correlation >= 0.9 GROUP BY x.account_label) USING (account_label) WHERE r.total_value_eur > 0)"""
 
 
 @query(
@@ -436,10 +437,10 @@ def _max_status(a, limit):
 
 @query(
     "strategy_checks",
-    "recon sleeves held cur_alloc alloc",
-    f"""SELECT account_label, metric, actual, limit_value, actual - limit_value AS delta, status FROM (SELECT account_label, unnest(['ETF share (%)', 'Non-ETF share (%)', 'Cash share (%)', 'Largest holding (%)', 'Top-5 concentration (%)', 'Largest currency (%)', 'Largest industry (%)', 'Highest pair correlation (%)', 'Total non-cash holdings (count)']) AS metric,
- unnest([etf_pct, non_etf_pct, cash_pct, p1, p5, cp, ip, NULL, total_holdings]) AS actual, unnest([45.0, 45.0, 10.0, 12.0, 55.0, 65.0, 35.0, 90.0, 12.0]) AS limit_value,
- unnest([{_target_status('etf_pct', 45, 3)}, {_target_status('non_etf_pct', 45, 3)}, {_target_status('cash_pct', 10, 2)}, {_max_status('p1', 12)}, {_max_status('p5', 55)}, {_max_status('cp', 65)}, {_max_status('ip', 35)}, 'N/A',
+    "recon sleeves held cur_alloc alloc dense_price span",
+    f"""{_CORR_VIEWS} SELECT account_label, metric, actual, limit_value, actual - limit_value AS delta, status FROM (SELECT account_label, unnest(['ETF share (%)', 'Non-ETF share (%)', 'Cash share (%)', 'Largest holding (%)', 'Top-5 concentration (%)', 'Largest currency (%)', 'Largest industry (%)', 'Highest pair correlation (%)', 'Total non-cash holdings (count)']) AS metric,
+ unnest([etf_pct, non_etf_pct, cash_pct, p1, p5, cp, ip, rp, total_holdings]) AS actual, unnest([45.0, 45.0, 10.0, 12.0, 55.0, 65.0, 35.0, 90.0, 12.0]) AS limit_value,
+ unnest([{_target_status('etf_pct', 45, 3)}, {_target_status('non_etf_pct', 45, 3)}, {_target_status('cash_pct', 10, 2)}, {_max_status('p1', 12)}, {_max_status('p5', 55)}, {_max_status('cp', 65)}, {_max_status('ip', 35)}, CASE WHEN rp IS NULL THEN 'N/A' ELSE {_max_status('rp', 90)} END,
  CASE WHEN total_holdings >= 12 THEN 'OK' ELSE 'Below minimum' END]) AS status FROM {_KPI})""",
     "account_label metric actual:d limit_value:d delta:d status",
 )
@@ -450,8 +451,8 @@ def strategy_checks(v):
 
 @query(
     "spread_action_plan",
-    "recon sleeves held cur_alloc alloc ranked split",
-    f"""SELECT account_label, priority, requires_action, theme, amount FROM (
+    "recon sleeves held cur_alloc alloc ranked split dense_price span",
+    f"""{_CORR_VIEWS} SELECT account_label, priority, requires_action, theme, amount FROM (
  SELECT account_label, 'High' AS priority, true AS requires_action, 'Rebalancing' AS theme, {money_sum('over_target_eur')} AS amount FROM ranked WHERE over_target_eur > 400 AND total_value_eur > 0 GROUP BY 1
  UNION ALL SELECT account_label, 'Medium', true, 'Cash deployment', free FROM split WHERE free > 0 AND total_value_eur > 0
  UNION ALL SELECT account_label, 'High', true, 'Cash allocation', (cash_pct - 10) / 100 * total_value_eur FROM {_KPI} WHERE cash_pct > 12
@@ -461,6 +462,7 @@ def strategy_checks(v):
  UNION ALL SELECT account_label, 'Medium', true, 'Top-5 concentration', p5 FROM {_KPI} WHERE p5 > 55
  UNION ALL SELECT account_label, 'Medium', true, 'Currency concentration', cp FROM {_KPI} WHERE cp > 65
  UNION ALL SELECT account_label, 'Medium', true, 'Industry concentration', ip FROM {_KPI} WHERE ip > 35
+ UNION ALL SELECT account_label, 'High', true, 'Correlation concentration', rp FROM {_KPI} WHERE rp >= 90
  UNION ALL SELECT account_label, 'Low', false, 'Breadth', total_holdings FROM {_KPI} WHERE total_holdings < 12)""",
     "account_label priority requires_action theme amount:d",
 )
@@ -470,20 +472,40 @@ def spread_action_plan(v):
     return allocation.spread_action_plan(kpis(v, totals), split(v, totals), holdings.over_target(targeted(v), strategy(v)), strategy(v))
 
 
+def _plan_sql(name: str, buckets: dict[str, float], held_rows: str) -> str:
+    """Buy allocation of one dimension: free cash by positive gap, else by target share."""
+    values = ", ".join(f"('{b}', {t}::DOUBLE)" for b, t in buckets.items())
+    return f"""SELECT account_label, 'Low', '{name} buy allocation', '', bucket, target_pct, CASE WHEN gaps > 0 THEN free * gap / gaps ELSE free * target_pct / shares END FROM (SELECT *, sum(gap) OVER (PARTITION BY account_label) AS gaps, sum(target_pct) OVER (PARTITION BY account_label) AS shares FROM (
+ SELECT s.account_label, t.bucket, t.target_pct, free, greatest(t.target_pct / 100 * s.total_value_eur - coalesce(a.value, 0), 0) AS gap FROM split s JOIN (VALUES {values}) AS t(bucket, target_pct) ON free > 0 LEFT JOIN {held_rows} a ON a.account_label = s.account_label AND a.bucket = t.bucket))"""
+
+
+#: Targets of the next-step query: cash for all in one, industries of which one is held by nobody.
+_STEP_TARGETS = {"target_industry_pct": {"ECONOMY": 40.0, "Shipping": 60.0}}
+
+
 @query(
     "next_steps",
-    "ranked split alloc",
-    """SELECT account_label, priority, action_type, instrument_id, segment, target_pct, suggested_amount_eur FROM (
+    "ranked split alloc cur_alloc",
+    f"""SELECT account_label, priority, action_type, instrument_id, segment, target_pct, suggested_amount_eur FROM (
  SELECT account_label, 'High' AS priority, 'Trim over-target holding' AS action_type, instrument_id, CASE WHEN is_etf THEN 'ETF' ELSE 'Non-ETF' END AS segment, target AS target_pct, over_target_eur AS suggested_amount_eur FROM ranked WHERE over_target_eur > 400
  UNION ALL SELECT account_label, 'Low', CASE WHEN is_etf THEN 'Buy focus (ETF)' ELSE 'Buy focus (Non-ETF)' END, instrument_id, CASE WHEN is_etf THEN 'ETF' ELSE 'Non-ETF' END, target, NULL FROM (SELECT *, row_number() OVER (PARTITION BY account_label, is_etf ORDER BY value_pct, instrument_id) AS rn FROM ranked WHERE target > 0) WHERE rn <= CASE WHEN is_etf THEN 2 ELSE 5 END
  UNION ALL SELECT account_label, 'Medium', 'Deploy available cash', '', 'Portfolio', 10.0, free FROM split WHERE free > 0
- UNION ALL SELECT account_label, 'Medium', 'Raise cash buffer', '', 'Portfolio', 10.0, short FROM split WHERE short > 0)""",
+ UNION ALL SELECT account_label, 'Medium', 'Raise cash buffer', '', 'Portfolio', 10.0, short FROM split WHERE short > 0
+ UNION ALL {_plan_sql("Currency", {"EUR": 50.0, "USD": 50.0}, "(SELECT account_label, currency AS bucket, total_eur AS value FROM cur_alloc)")}
+ UNION ALL {_plan_sql("Industry", _STEP_TARGETS["target_industry_pct"], "(SELECT account_label, category AS bucket, value_eur AS value FROM alloc WHERE dimension = 'industry')")}
+ UNION ALL {_plan_sql("Style", {"Growth": 34.0, "Value": 33.0, "Dividend": 33.0}, "(SELECT account_label, category AS bucket, value_eur AS value FROM alloc WHERE dimension = 'style')")})""",
     "account_label priority action_type instrument_id segment target_pct:d suggested_amount_eur:d",
 )
 def next_steps(v):
-    """Trim, buy-focus and cash steps in one table."""
+    """Trim, buy-focus, cash and bucket steps in one table."""
     rows, totals = targeted(v), recon(v)
-    out = allocation.next_steps(holdings.over_target(rows, strategy(v)), allocation.buy_candidates(rows), split(v, totals), strategy(v), {})
+    cash, by_category = split(v, totals), allocation.category_allocation(v.snapshot_full(), totals, ["industry", "style"])
+    targets = {k: F.create_map(*[F.lit(str(x)) for kv in m.items() for x in kv]) for k, m in _STEP_TARGETS.items()}
+    plan = resolve_strategy(v.spark.range(1).select(*[m.alias(k) for k, m in targets.items()]))
+    kinds = {"Currency": (by_currency(v, totals), "currency", "total_eur")}
+    kinds |= {n: (by_category.where(F.col("dimension") == n.lower()), "category", "value_eur") for n in ("Industry", "Style")}
+    plans = {n: allocation.bucket_buy_plan(*of, cash, plan, f"target_{n.lower()}_pct") for n, of in kinds.items()}
+    out = allocation.next_steps(holdings.over_target(rows, strategy(v)), allocation.buy_candidates(rows), cash, strategy(v), plans)
     return out.select("account_label", "priority", "action_type", "instrument_id", "segment", "target_pct", "suggested_amount_eur")
 
 

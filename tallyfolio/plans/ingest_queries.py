@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.text import holding_label, truncate_text
 from tallyfolio.operators import fx_repair, instruments, normalize, timeseries
-from tallyfolio.plans.registry import query
+from tallyfolio.plans.registry import ORACLES, query
 from tallyfolio.plans.sample_sql import money_sum0
 from tallyfolio.plans.sample_views import SampleViews
 from tallyfolio.plans.series_queries import eur_events, span
-from tallyfolio.sources import exports, tables
-from tallyfolio.sources.strategy import resolve_strategy, target_rows
+from tallyfolio.session import materialize, shared_folder
+from tallyfolio.sources import exports, price_store, tables
+from tallyfolio.sources.strategy import parse_documents, resolve_strategy, strategy_documents, target_rows
 
 SUM0 = money_sum0
 
@@ -250,6 +254,93 @@ def price_upsert(v):
     return tables.upsert_prices(old, new)
 
 
+def written_exports(v: SampleViews) -> str:
+    """One export file per portfolio, with quotes, separators and line breaks in quoted cells, blank rows and short rows."""
+    path = f"{shared_folder(v.spark)}/exports-{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    note = F.concat(F.lit('"note '), key.cast("string"), F.lit(' ""q""'), F.when(key % 3 == 0, F.lit('\nline, two; "" ""\n')).otherwise(""), F.lit('"'))
+    note = F.when(key % 5 == 0, F.concat(F.lit("plain "), key.cast("string"), F.lit(' 5" pipe'))).otherwise(note)
+    row = F.concat(key.cast("string"), F.lit(","), note, F.when(key % 4 != 0, F.concat(F.lit(", "), F.col("o_orderpriority"))).otherwise(""))
+    row = F.when(key % 7 == 0, F.concat(row, F.lit("\n , ,\n"))).otherwise(row)
+    orders = v.table("orders").select(F.concat(F.lit("P"), F.floor(F.col("o_custkey") / 10).cast("string")).alias("account"), key.alias("seq"), row.alias("value"))
+    header = orders.select("account").distinct().select("account", F.lit(-1).cast("bigint").alias("seq"), F.lit("Order Id,Description,Type").alias("value"))
+    rows = header.unionByName(orders.withColumn("seq", F.col("seq").cast("bigint"))).repartition("account").sortWithinPartitions("account", "seq")
+    rows.select("account", "value").write.partitionBy("account").text(path)
+    return path
+
+
+@query(
+    "export_rows",
+    "",
+    """SELECT account_label, row_number() OVER (PARTITION BY account_label ORDER BY k) AS row_seq, CAST(k AS VARCHAR) AS order_id,
+ CASE WHEN k % 5 = 0 THEN 'plain ' || k || ' 5" pipe' ELSE 'note ' || k || ' "q"' || CASE WHEN k % 3 = 0 THEN chr(10) || 'line, two; " "' ELSE '' END END AS description, CASE WHEN k % 4 <> 0 THEN o_orderpriority ELSE '' END AS type
+ FROM (SELECT 'P' || CAST(o_custkey // 10 AS VARCHAR) AS account_label, o_orderkey AS k, o_orderpriority FROM orders)""",
+    "account_label row_seq:i order_id description type",
+)
+def export_rows(v):
+    """Export files written and read in blocks far smaller than a file, so that quoted cells lie over their borders."""
+    path, conf = written_exports(v), "spark.sql.files.maxPartitionBytes"
+    before = v.spark.conf.get(conf)
+    v.spark.conf.set(conf, "2048")
+    try:
+        rows = exports.read_rows(v.spark, f"{path}/*/*.txt")
+    finally:
+        v.spark.conf.set(conf, before)
+    label = F.regexp_extract("path", r"account=([^/]+)/", 1)
+    return rows.where("row_seq > 0").select(label.alias("account_label"), "row_seq", *[F.col("cells")[i].alias(n) for i, n in enumerate(("order_id", "description", "type"))])
+
+
+def written_prices(v: SampleViews, name: str) -> str:
+    """A price table in the shared folder with the sample's closes as its first load."""
+    path = f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+    price_store.write_prices(v.prices().select(F.col("instrument_id").alias("ticker"), "date", "close", F.lit(1).alias("load_seq")), path)
+    return path
+
+
+@query(
+    "price_store_upsert",
+    "prices instruments",
+    "SELECT p.instrument_id AS ticker, date, CASE WHEN is_etf AND p.date >= DATE '1996-01-01' THEN close * 2 ELSE close END AS close, CASE WHEN is_etf AND p.date >= DATE '1996-01-01' THEN 2 ELSE 1 END AS load_seq FROM prices p JOIN instruments USING (instrument_id)",
+    "ticker date:t close:d load_seq:i",
+)
+def price_store_upsert(v):
+    """A partitioned table written, upserted twice with a later load of ETFs and once with an old one, and read back."""
+    path = written_prices(v, "prices-upserted")
+    etf = v.instruments().where("is_etf").select(F.col("instrument_id").alias("ticker"))
+    new = price_store.scan_prices(v.spark, path, etf, start=dt.date(1996, 1, 1)).withColumn("close", F.col("close") * 2).withColumn("load_seq", F.lit(2))
+    new = materialize(new, "prices-fetched")
+    for fetched in (new, new, new.withColumn("load_seq", F.lit(0)).withColumn("close", F.lit(-1.0))):
+        price_store.upsert_prices(fetched, path)
+    return price_store.scan_prices(v.spark, path)
+
+
+@query(
+    "price_scan",
+    "prices instruments",
+    "SELECT p.instrument_id AS ticker, date, close FROM prices p JOIN instruments USING (instrument_id) WHERE is_etf AND currency = 'USD' AND date BETWEEN DATE '1995-03-01' AND DATE '1996-02-29'",
+    "ticker date:t close:d",
+)
+def price_scan(v):
+    """History of the wanted tickers between two days, from the partitioned table."""
+    wanted = v.instruments().where("is_etf AND currency = 'USD'").select(F.col("instrument_id").alias("ticker"))
+    return price_store.scan_prices(v.spark, written_prices(v, "prices-scanned"), wanted, dt.date(1995, 3, 1), dt.date(1996, 2, 29)).select("ticker", "date", "close")
+
+
+@query(
+    "fx_scan",
+    "fx",
+    "SELECT currency, date, eur_per_unit FROM fx WHERE currency = 'USD' AND date BETWEEN DATE '1995-03-01' AND DATE '1996-02-29' UNION ALL SELECT 'EUR', unnest(generate_series(DATE '1995-03-01', DATE '1996-02-29', INTERVAL 1 DAY))::DATE, 1.0",
+    "currency date:t eur_per_unit:d",
+)
+def fx_scan(v):
+    """FX history of the currencies of ETFs out of the price table, with EUR as 1."""
+    path = f"{shared_folder(v.spark)}/fx-scanned-{uuid.uuid4().hex}"
+    rows = v.fx().select(F.concat("currency", F.lit("EUR=X")).alias("ticker"), "date", F.col("eur_per_unit").alias("close"), F.lit(1).alias("load_seq"))
+    price_store.write_prices(rows, path, buckets=8)
+    wanted = v.instruments().where("currency <> 'GBP'").select("currency")
+    return price_store.scan_fx(v.spark, path, wanted, dt.date(1995, 3, 1), dt.date(1996, 2, 29), buckets=8)
+
+
 @query(
     "price_coverage_gaps",
     "prices instruments span",
@@ -297,6 +388,41 @@ def resolved_strategies(v):
     return strategies(v).select("c_custkey", "target_etf_pct", "target_non_etf_pct", "target_cash_pct", "desired_etf_holdings", "desired_non_etf_holdings", "min_over_value_eur")
 
 
+_BROKEN = ["{", "[1, 2]", "", '{"target_etf_pct": }']
+
+
+def strategy_texts(v: SampleViews) -> DataFrame:
+    """Strategies as JSON documents, those of every fifth customer broken in one of four ways."""
+    whole = strategy_documents(strategies(v), ("c_custkey",))
+    broken = F.element_at(F.array(*[F.lit(x) for x in _BROKEN]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return whole.withColumn("text", F.when(F.col("c_custkey") % 5 == 0, broken).otherwise(F.col("text")))
+
+
+_STRATEGY_SQL, _STRATEGY_COLUMNS = ORACLES["resolved_strategies"], ["c_custkey", "target_etf_pct", "target_non_etf_pct", "target_cash_pct", "desired_etf_holdings", "desired_non_etf_holdings", "min_over_value_eur"]
+
+
+@query(
+    "strategy_documents",
+    "",
+    f"SELECT * FROM ({_STRATEGY_SQL}) WHERE c_custkey % 5 <> 0",
+    "c_custkey:i target_etf_pct:d target_non_etf_pct:d target_cash_pct:d desired_etf_holdings:i desired_non_etf_holdings:i min_over_value_eur:d",
+)
+def strategy_documents_read(v):
+    """Strategies written as JSON documents and read again; broken documents give none."""
+    return parse_documents(strategy_texts(v), ("c_custkey",))[0].select(*_STRATEGY_COLUMNS)
+
+
+@query(
+    "strategy_document_issues",
+    "",
+    "SELECT c_custkey, 'unreadable strategy' AS label, [" + ", ".join(f"'{x}'" for x in _BROKEN) + "][c_custkey % 4 + 1] AS example FROM customer WHERE c_custkey % 5 = 0",
+    "c_custkey:i label example",
+)
+def strategy_document_issues(v):
+    """Strategy documents that can't be read, with the start of their text."""
+    return parse_documents(strategy_texts(v), ("c_custkey",))[1]
+
+
 @query(
     "strategy_targets",
     "",

@@ -167,11 +167,8 @@ def analyze(inputs: PipelineInputs) -> dict[str, DataFrame]:
     out["etf_non_etf"] = allocation.sleeve_table(sleeves, table_totals, inputs.strategy)
     top = allocation.concentration(spread, table_totals)
     out["concentration"] = top
-    limit = inputs.strategy.agg(F.min("max_pair_correlation")).first()[0]
     weights = targeted.withColumn("value_pct_total", F.col("value_pct"))
-    pairs = series.high_correlation_pairs(
-        weights, series.high_correlation_series(events, valued, start, end, float(limit))
-    )
+    pairs = series.with_names_and_weights(series.held_correlations(events, valued, inputs.strategy, start, end), weights)
     out["correlation_warnings"] = pairs
     industry = by_category.where(F.col("dimension") == "industry")
     style = by_category.where(F.col("dimension") == "style")

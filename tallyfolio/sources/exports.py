@@ -1,14 +1,13 @@
 """Broker export folders: parse, repair, resolve columns.
 
-A folder holds the three CSV files of one portfolio.  Only decoding and CSV
-tokenizing happen in Python (one task per file, any number of files in parallel);
+A folder holds the three CSV files of one portfolio.  Only the splitting of a row into
+cells happens in Python; finding rows (in blocks of lines, so a large file is many tasks),
 repair, header matching and column inference are DataFrame operations.
 """
 
 from __future__ import annotations
 
 import csv
-import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,34 +52,99 @@ ALIASES = {
 }
 NEARBY = (1, 2, -1, -2, 3, -3)
 NEAR_PRICE = (1, 2, -1)
+SEPARATORS = (",", ";", "\t")
 # ------------------------------------------------------------------------------
-_ROW_SCHEMA = "path string, row_seq bigint, cells array<string>"
 _BLOCK_ROWS = 1 << 16
 
 
-def decode_bytes(raw: bytes) -> str:
-    for encoding in ("utf-8-sig", "latin-1"):
-        try:
-            return raw.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("utf-8", errors="ignore")
+def _lines(spark: SparkSession, glob: str) -> DataFrame:
+    """Every line of every file as raw bytes, with its block and its order in the block: a large file is many tasks."""
+    text = spark.read.option("lineSep", "\n").text(glob)
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    return materialize(lines.withColumn("value", F.col("value").cast("binary")), "export-lines")
 
 
-def detect_separator(text: str) -> str:
-    """The one of , ; tab seen most often outside quotes, by the votes of all lines.
+def _file_traits(lines: DataFrame) -> DataFrame:
+    """Per file: whether its bytes are UTF-8 (otherwise Latin-1), its first line, and its separator.
 
-    Lines are weighed equally, so a long free-text line does not decide.  (A general
-    CSV sniffer can take exponential time on quoted amounts.)
+    The separator is the one of , ; tab seen most often outside quotes, by the votes of all lines, each weighed equally, so
+    that a long free-text line does not decide.
     """
-    votes = {",": 0, ";": 0, "\t": 0}
-    for line in text.splitlines():
-        bare = "".join(line.split('"')[::2])
-        counts = {sep: bare.count(sep) for sep in votes}
-        best = max(counts, key=counts.get)
-        if counts[best]:
-            votes[best] += 1
-    return max(votes, key=votes.get) if any(votes.values()) else ","
+    text = F.col("value").cast("string")
+    bare = F.regexp_replace(text, '"[^"]*+(?:"|$)', "")
+    counts = [F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in SEPARATORS]
+    most = F.greatest(*counts)
+    vote = F.when(most > 0, F.array_position(F.array(*counts), most))
+    rows = lines.select("path", "block", "line", F.is_valid_utf8(text).alias("valid"), vote.alias("vote"))
+    found = rows.groupBy("path").agg(
+        F.bool_and("valid").alias("utf8"), F.min(F.struct("block", "line")).alias("first"), *[F.count_if(F.col("vote") == i + 1).alias(f"n{i}") for i in range(3)]
+    )
+    counts = F.array(*[F.col(f"n{i}") for i in range(3)])
+    best = F.element_at(F.array(*[F.lit(s) for s in SEPARATORS]), F.array_position(counts, F.array_max(counts)).cast("int"))
+    return found.select("path", "utf8", "first", best.alias("sep"))
+
+
+def _ends_quoted(text: Column, sep: str) -> Column:
+    """Whether a line that begins outside of quotes ends inside a quoted cell."""
+    whole = r'"[^"]*+(?:""[^"]*+)*+"[^S]*+|[^"S][^S]*+|'.replace("S", sep)
+    return text.rlike(rf'^(?:(?:{whole}){sep})*+"[^"]*+(?:""[^"]*+)*+$')
+
+
+def _quoted_rest(text: Column, sep: str) -> Column:
+    """What follows the cell that was open at the line's begin; NULL if it goes on beyond the line."""
+    inside = r'[^"]*+(?:""[^"]*+)*+'
+    return F.when(text.rlike(f'^{inside}"'), F.regexp_replace(text, f'^{inside}"[^{sep}]*+{sep}?', ""))
+
+
+def _effects(lines: DataFrame) -> DataFrame:
+    """Adds from_out, from_in: whether the line ends inside a quoted cell if it begins outside of one, or inside."""
+    text, out, inn = F.col("text"), None, None
+    for sep in SEPARATORS:
+        here = F.col("sep") == sep
+        rest = _quoted_rest(text, sep)
+        one, two = _ends_quoted(text, sep), F.when(rest.isNull(), True).otherwise(_ends_quoted(rest, sep))
+        out = F.when(here, one) if out is None else out.when(here, one)
+        inn = F.when(here, two) if inn is None else inn.when(here, two)
+    plain = F.instr(text, '"') == 0  # no quote: the state stays
+    return lines.withColumn("from_out", F.when(plain, False).otherwise(out)).withColumn("from_in", F.when(plain, True).otherwise(inn))
+
+
+def _composed(rows: DataFrame, part: list[str], order: str) -> DataFrame:
+    """Prefix composition of two-state effects: adds turns (1 if a state is turned over an odd number of times since `known`)
+    and known (the state at the last row that leaves only one, corrected by the turns up to it; NULL before such a row)."""
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    turn = (F.col("from_out") & ~F.col("from_in")).cast("int")
+    fixed = F.col("from_out") == F.col("from_in")
+    rows = rows.withColumn("turns", F.sum(turn).over(w) % 2)
+    at = F.when(fixed, F.col("from_out").cast("int").bitwiseXOR(F.col("turns")))
+    return rows.withColumn("known", F.last(at, ignorenulls=True).over(w))
+
+
+def _after(start: Column) -> Column:
+    return F.coalesce("known", start).bitwiseXOR(F.col("turns").cast("int"))
+
+
+def _with_rows(lines: DataFrame) -> DataFrame:
+    """Adds row (number of the CSV row in its file) and single (the row is this line alone).
+
+    Blocks are composed on their own; one row per block then gives the state at each block's begin and the rows before it.
+    """
+    lines = materialize(_composed(_effects(lines), ["path", "block"], "line").select("path", "block", "line", "text", "sep", "turns", "known"), "export-states")
+    ends = lines.groupBy("path", "block").agg(F.max_by(F.struct("turns", "known"), "line").alias("e")).select("path", "block", "e.*")
+    whole = ends.withColumn("from_out", F.coalesce("known", F.lit(0)).bitwiseXOR(F.col("turns").cast("int")) == 1)
+    whole = whole.withColumn("from_in", F.coalesce("known", F.lit(1)).bitwiseXOR(F.col("turns").cast("int")) == 1).drop("turns", "known")
+    earlier = Window.partitionBy("path").orderBy("block")
+    starts = _composed(whole, ["path"], "block").withColumn("end", _after(F.lit(0)))
+    starts = starts.select("path", "block", F.coalesce(F.lag("end").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("path", "block").orderBy("line")
+    states = lines.join(starts, ["path", "block"]).withColumn("end", _after(F.col("start")))
+    states = states.withColumn("begin", F.coalesce(F.lag("end").over(within), F.col("start")))
+    states = states.withColumn("n", F.sum((F.col("begin") == 0).cast("long")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    states = materialize(states.select("path", "block", "line", "text", "sep", "begin", "end", "n"), "export-begins")
+    before = F.coalesce(F.sum("rows").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = states.groupBy("path", "block").agg(F.max("n").alias("rows")).select("path", "block", before.alias("before"))
+    single = (F.col("begin") == 0) & (F.col("end") == 0)
+    return states.join(offsets, ["path", "block"]).select("path", "block", "line", "text", "sep", (F.col("before") + F.col("n") - 1).alias("row"), single.alias("single"))
 
 
 def fit_row(row: list[str], width: int, sep: str) -> list[str]:
@@ -91,30 +155,46 @@ def fit_row(row: list[str], width: int, sep: str) -> list[str]:
     return cells + [""] * (width - len(cells))
 
 
-def _tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _split_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            text = decode_bytes(content)
-            sep = detect_separator(text)
-            width, seq, rows = 0, 0, []
-            for raw in csv.reader(io.StringIO(text), delimiter=sep, quotechar='"'):
-                if width == 0:
-                    width = len(raw)
-                cells = fit_row(raw, width, sep)
-                if seq == 0 or any(cells):
-                    rows.append((path, seq, cells))
-                    seq += 1
-                if len(rows) >= 10_000:
-                    yield pd.DataFrame(rows, columns=["path", "row_seq", "cells"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["path", "row_seq", "cells"])
+        cells = [next(csv.reader([text], delimiter=sep, quotechar='"'), []) for text, sep in zip(pdf["text"], pdf["sep"], strict=True)]
+        yield pd.DataFrame({"path": pdf["path"], "row": pdf["row"], "sep": pdf["sep"], "raw": cells})
+
+
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        width = [len(raw) if row == 0 else int(w) for raw, row, w in zip(pdf["raw"], pdf["row"], pdf["width"], strict=True)]
+        cells = [fit_row(list(raw), w, sep) for raw, w, sep in zip(pdf["raw"], width, pdf["sep"], strict=True)]
+        yield pd.DataFrame({"path": pdf["path"], "row": pdf["row"], "cells": cells})
 
 
 def read_rows(spark: SparkSession, glob: str) -> DataFrame:
-    """Raw rows of every export file; row 0 is the header, blank rows are gone."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return materialize(files.mapInPandas(_tokenize, _ROW_SCHEMA), "export-rows")
+    """Raw rows of every export file; row 0 is the header, blank rows are gone.
+
+    Files are read in blocks of lines.  Whether a line begins inside a quoted cell (one with line breaks) follows from all
+    lines before it, by composing what each line does to that state; lines of such a cell are put together, and only then
+    are cells split.  Files in UTF-8 may begin with a byte-order mark; other files are Latin-1.
+    """
+    lines = _lines(spark, glob)
+    lines = lines.join(_file_traits(lines), "path")
+    text = F.when(F.col("utf8"), F.col("value").cast("string")).otherwise(F.decode("value", "ISO-8859-1"))
+    head = (F.col("block") == F.col("first.block")) & (F.col("line") == F.col("first.line"))
+    text = F.when(head & F.col("utf8"), F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    lines = _with_rows(lines.select("path", "block", "line", text.alias("text"), "sep"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "text"))), lambda x: x["text"])
+    joined = lines.where(~F.col("single")).groupBy("path", "row").agg(F.array_join(parts, "\n").alias("text"), F.first("sep").alias("sep"))
+    whole = lines.where("single").select("path", "row", "text", "sep").unionByName(joined.select("path", "row", "text", "sep"))
+    cells = materialize(whole.mapInPandas(_split_cells, "path string, row bigint, sep string, raw array<string>"), "export-cells")
+    width = cells.where(F.size("raw") > 0).groupBy("path").agg(F.min_by(F.size("raw"), "row").alias("width"))
+    fitted = cells.join(width, "path", "left").na.fill(0, ["width"]).mapInPandas(_fitted, "path string, row bigint, cells array<string>")
+    kept = materialize(fitted.where((F.col("row") == 0) | F.exists("cells", lambda c: c != "")), "export-fitted")
+    # rows are numbered anew without the blank ones: in blocks, then by what lies before a block
+    kept = kept.withColumn("block", F.floor(F.col("row") / _BLOCK_ROWS))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy("path", "block").agg(F.count("*").alias("rows")).select("path", "block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("path", "block").orderBy("row")) - 1
+    rows = kept.withColumn("number", number).join(counts, ["path", "block"])
+    return materialize(rows.select("path", (F.col("before") + F.col("number")).alias("row_seq"), "cells"), "export-rows")
 
 
 def list_files(spark: SparkSession, glob: str) -> DataFrame:

@@ -99,21 +99,40 @@ def resolve_strategy(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def read_strategy(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON document; the fields may sit at the top or under "strategy"."""
-    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField("strategy", RAW_SCHEMA)])
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+_DOCUMENT = T.StructType([*RAW_SCHEMA.fields, T.StructField("strategy", RAW_SCHEMA), T.StructField("broken", T.StringType())])
+
+
+def parse_documents(documents: DataFrame, keep: tuple[str, ...], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Strategies of JSON documents (one row each, `keep` columns passed on), and the documents that can't be read.
+
+    The fields may sit at the top or under "strategy".  A document that isn't a JSON object is listed with the start of
+    its text and gives no strategy; fields of a wrong kind count as missing.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    parsed = documents.select(*keep, F.col(text).alias("_text"), F.from_json(F.trim(F.coalesce(F.col(text), F.lit(""))), _DOCUMENT, options).alias("d"))
+    object_like = F.col("_text").rlike(r"^\s*\{")
+    bad = ~F.coalesce(object_like, F.lit(False)) | F.col("d").isNull() | F.col("d.broken").isNotNull()
     fields = [f.name for f in RAW_SCHEMA.fields]
-    merged = raw.select(
-        *[F.when(F.col("strategy").isNotNull(), F.col(f"strategy.{f}")).otherwise(F.col(f)).alias(f) for f in fields]
-    )
-    return resolve_strategy(merged)
+    inner = F.col("d.strategy").isNotNull()
+    merged = parsed.where(~bad).select(*keep, *[F.when(inner, F.col(f"d.strategy.{f}")).otherwise(F.col(f"d.{f}")).alias(f) for f in fields])
+    broken = parsed.where(bad).select(*keep, F.lit("unreadable strategy").alias("label"), F.substring("_text", 1, 60).alias("example"))
+    return resolve_strategy(merged, keep), broken
+
+
+def read_strategies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Strategies of a folder of JSON files, a document each, with their path; and the files that can't be read."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return parse_documents(files, ("path",))
+
+
+def strategy_documents(strategy: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON document per strategy, as `parse_documents` reads it."""
+    fields = [c for c in strategy.columns if c not in keep]
+    return strategy.select(*keep, F.to_json(F.struct(F.lit(1).alias("version"), F.struct(*fields).alias("strategy"))).alias("text"))
 
 
 def write_strategy(strategy: DataFrame, path: str) -> None:
-    strategy.select(F.lit(1).alias("version"), F.struct(*strategy.columns).alias("strategy")).write.mode(
-        "overwrite"
-    ).json(path)
+    strategy_documents(strategy).write.mode("overwrite").text(path)
 
 
 def target_rows(strategy: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -163,3 +163,44 @@ def test_composition_of_maps_over_sections(spark):
     for r, (_, x, y) in zip(costbasis.composed(frame, ["k"], ["i"]).orderBy("i").collect(), rows, strict=True):
         a, b = a * x, b * x + y
         assert r.pre_b == pytest.approx(b, rel=1e-9, abs=1e-150) and r.pre_a == pytest.approx(a, rel=1e-9, abs=1e-150)
+
+
+def test_held_correlations_against_filled_series(spark):
+    """Sparse returns, zero prices, late first prices, several blocks of a portfolio, a limit per portfolio."""
+    import datetime as dt
+    import random
+
+    rng, start = random.Random(5), dt.date(2023, 1, 1)
+    end, days, ids = start + dt.timedelta(days=200), 201, [f"I{i}" for i in range(14)]
+    path = [100 + 10 * np.sin(d / 9) for d in range(days)]
+    events = []
+    for k, i in enumerate(ids):
+        for d in sorted(rng.sample(range(days), 120 if k < 10 else 15)) if k else range(days):
+            value = path[d] * (1 + rng.gauss(0, 0.002 * k)) if k % 2 == 0 else 50 + rng.random()
+            events.append((i, start + dt.timedelta(days=d), 0.0 if k in (4, 9) and rng.random() < 0.03 else value))
+    held = [("A", i) for i in ids] + [("B", i) for i in ids[:6]] + [("C", i) for i in ids] + [("A", " I1 "), ("A", "")]
+    limits = {"A": 0.2, "B": 0.5, "C": None}
+    filled = {}
+    for i in ids:
+        mine = {d: v for x, d, v in events if x == i}
+        v = np.array([mine.get(start + dt.timedelta(days=d), np.nan) for d in range(days)])
+        last = np.maximum.accumulate(np.where(np.isnan(v), -1, np.arange(days)))
+        v = np.where(last >= 0, v[np.maximum(last, 0)], v[np.flatnonzero(~np.isnan(v))[0]])
+        with np.errstate(all="ignore"):
+            r = v[1:] / v[:-1] - 1
+        filled[i] = np.where(np.isfinite(r), r, np.nan)
+    want = {}
+    for account in "AB":
+        mine = sorted({i.strip() for a, i in held if a == account and i.strip()})
+        for n, a in enumerate(mine):
+            for b in mine[n + 1 :]:
+                ok = np.isfinite(filled[a]) & np.isfinite(filled[b])
+                x, y = filled[a][ok], filled[b][ok]
+                if ok.sum() >= 60 and x.std() > 0 and y.std() > 0 and (c := np.corrcoef(x, y)[0, 1]) >= limits[account]:
+                    want[account, min(a, b), max(a, b)] = c
+    e = spark.createDataFrame(events, "instrument_id string, date date, price_eur double")
+    h = spark.createDataFrame(held, "account_label string, instrument_id string")
+    s = spark.createDataFrame(list(limits.items()), "account_label string, max_pair_correlation double")
+    for block in (512, 4):
+        got = {(r.account_label, r.instrument_id_a, r.instrument_id_b): r.correlation for r in series.held_correlations(e, h, s, start, end, block=block).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 10
