@@ -13,6 +13,7 @@ from tallyfolio.functions.numbers import money_sum0
 from tallyfolio.functions.text import (
     blank_to_null, clean_text, first_text, holding_key, join_distinct,
 )
+from tallyfolio.operators.ranks import numbered
 
 ACCOUNT = "account_label"
 NAME_KEYS = ["instrument_id", "isin", "ticker", "is_etf"]
@@ -208,16 +209,13 @@ def ranked_targets(holdings: DataFrame, strategy: DataFrame, partition: list[str
 
     `strategy` has one row, or one per portfolio when it carries account_label.
     """
-    w = Window.partitionBy(*partition, "is_etf").orderBy(
-        F.col("value_eur").desc_nulls_last(), F.col("instrument_id"), F.col("product"), F.col("ticker")
-    )
+    order = [F.col("value_eur").desc_nulls_last(), F.col("instrument_id"), F.col("product"), F.col("ticker")]
     wanted = F.greatest(
         F.when(F.col("is_etf"), F.col("desired_etf_holdings")).otherwise(F.col("desired_non_etf_holdings")), F.lit(0)
     )
     target = F.when(F.col("is_etf"), F.col("target_etf_pct")).otherwise(F.col("target_non_etf_pct"))
-    out = holdings.withColumn("is_etf", F.coalesce("is_etf", F.lit(False))).withColumn(
-        "target_rank_in_segment", F.row_number().over(w)
-    )
+    out = holdings.withColumn("is_etf", F.coalesce("is_etf", F.lit(False)))
+    out = numbered(out, [*partition, "is_etf"], order, "target_rank_in_segment")
     pick = ["target_etf_pct", "target_non_etf_pct", "desired_etf_holdings", "desired_non_etf_holdings"]
     joined = with_strategy(out, strategy, pick)
     kept = (wanted > 0) & (F.col("target_rank_in_segment") <= wanted)
@@ -275,13 +273,10 @@ def holdings_catalog(targeted: DataFrame, strategy: DataFrame) -> DataFrame:
 
 def ordered_catalog(catalog: DataFrame) -> DataFrame:
     """Catalog position: ETF first, value descending, ticker ascending, missing last."""
-    w = Window.partitionBy(ACCOUNT).orderBy(
-        F.col("is_etf").desc_nulls_last(),
-        F.col("value_eur").desc_nulls_last(),
-        F.col("ticker").asc_nulls_last(),
-        F.col("instrument_id"),
-    )
-    return catalog.withColumn("position", F.row_number().over(w))
+    order = [
+        F.col("is_etf").desc_nulls_last(), F.col("value_eur").desc_nulls_last(), F.col("ticker").asc_nulls_last(), F.col("instrument_id"),
+    ]
+    return numbered(catalog, [ACCOUNT], order, "position")
 
 
 def filter_catalog(

@@ -169,6 +169,22 @@ def holdings_catalog(v):
     )
 
 
+@query(
+    "combined_ranks",
+    "held",
+    """SELECT instrument_id, is_etf, value_eur, rk AS target_rank_in_segment, CASE WHEN rk <= CASE WHEN is_etf THEN 4 ELSE 12 END THEN CASE WHEN is_etf THEN 45 / 4.0 ELSE 45 / 12.0 END ELSE 0 END AS target_per_holding_pct, position FROM (
+ SELECT *, row_number() OVER (PARTITION BY is_etf ORDER BY value_eur DESC, instrument_id) AS rk, row_number() OVER (ORDER BY is_etf DESC, value_eur DESC, ticker, instrument_id) AS position FROM (
+ SELECT instrument_id, is_etf, ticker, CAST(sum(CAST(value_eur AS DECIMAL(28,6))) AS DOUBLE) AS value_eur FROM held GROUP BY 1, 2, 3))""",
+    "instrument_id is_etf value_eur:d target_rank_in_segment:i target_per_holding_pct:d position:i",
+)
+def combined_ranks(v):
+    """Holdings of all portfolios as one: rank in the sleeve, target and catalog position, by ranges of values."""
+    money = F.sum(F.col("value_eur").cast("decimal(28,6)")).cast("double").alias("value_eur")
+    rows = held(v).groupBy("instrument_id", "is_etf", "ticker").agg(money, F.min("product").alias("product")).withColumn("account_label", F.lit("Combined"))
+    rows = holdings.ordered_catalog(holdings.ranked_targets(rows, strategy(v), ["account_label"]))
+    return rows.select("instrument_id", "is_etf", "value_eur", "target_rank_in_segment", "target_per_holding_pct", "position")
+
+
 @query(
     "catalog_search",
     "ranked",

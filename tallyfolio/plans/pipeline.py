@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +94,7 @@ def _combined_rows(rows: DataFrame) -> DataFrame:
 
 
 def analyze(inputs: PipelineInputs) -> dict[str, DataFrame]:
-    """All result tables, lazy; only the daily metrics are kept between them.
+    """All result tables, lazy but for what several of them read (the daily metrics above all), which is written first.
 
     Per-portfolio results come from keyed passes over all portfolios, Combined from
     aggregation of the same rows.
@@ -103,9 +102,9 @@ def analyze(inputs: PipelineInputs) -> dict[str, DataFrame]:
     tx, account, dim = inputs.transactions, inputs.account, inputs.instruments
     snapshot = inputs.portfolio
     start, end = timeseries.activity_span(tx, account, as_of=inputs.as_of)
-    metrics = timeseries.portfolio_metrics(
-        tx, account, dim, inputs.prices, inputs.fx, as_of=inputs.as_of, combined=True, span=(start, end)
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    # written once: most tables below read it, and an executor that is lost costs a read, not the largest join again
+    metrics = timeseries.portfolio_metrics(tx, account, dim, inputs.prices, inputs.fx, as_of=inputs.as_of, combined=True, span=(start, end))
+    metrics = materialize(metrics, "metrics")
     latest = timeseries.latest_metrics(metrics)
     events = timeseries.eur_prices(inputs.prices, dim, inputs.fx)
     moves = timeseries.price_moves(events, start, end)

@@ -54,7 +54,7 @@ NEARBY = (1, 2, -1, -2, 3, -3)
 NEAR_PRICE = (1, 2, -1)
 SEPARATORS = (",", ";", "\t")
 # ------------------------------------------------------------------------------
-_BLOCK_ROWS = 1 << 16
+_BLOCK_ROWS, _TAIL_ROWS = 1 << 16, 1 << 10
 
 
 def _lines(spark: SparkSession, glob: str) -> DataFrame:
@@ -286,21 +286,31 @@ def repair_rows(rows: DataFrame) -> DataFrame:
         ~F.col("is_head") & ~((F.col("kind") == "description") & is_amount_fragment(text)),
         F.struct("row_seq", "kind", text.alias("text")),
     )
-    merged = islands.groupBy("path", F.col("head").alias("row_seq")).agg(
-        F.max(F.when(F.col("is_head"), F.col("cells"))).alias("cells"),
-        *[F.max(f"at_{n}").alias(f"at_{n}") for n in ("product", "description", "order_id")],
-        F.array_sort(F.collect_list(tail)).alias("tails"),
-    )
+    # tails are joined in blocks of rows first, so what meets for one row is one text per block, not one per tail
+    glue = {"product": " ", "description": " ", "order_id": ""}
+    places = [F.max(f"at_{n}").alias(f"at_{n}") for n in glue]
+    own = F.max(F.when(F.col("is_head"), F.col("cells"))).alias("cells")
+    parts = islands.groupBy("path", F.col("head").alias("row_seq"), F.floor(F.col("row_seq") / _TAIL_ROWS).alias("part"))
+    parts = parts.agg(own, *places, F.array_sort(F.collect_list(tail)).alias("tails"))
+
+    def filled_texts(texts):
+        return F.filter(texts, lambda p: p != "")
+
+    def of_kind(name):
+        found = F.transform(F.filter("tails", lambda t: t["kind"] == name), lambda t: t["text"])
+        return F.array_join(filled_texts(found), glue[name]).alias(name)
+
+    parts = parts.withColumn("piece", F.struct("part", *[of_kind(n) for n in glue]))
+    merged = parts.groupBy("path", "row_seq").agg(F.max("cells").alias("cells"), *places, F.array_sort(F.collect_list("piece")).alias("pieces"))
 
-    def with_tails(cell, name, glue):
-        parts = F.transform(F.filter("tails", lambda t: t["kind"] == name), lambda t: t["text"])
-        return F.array_join(F.filter(F.concat(F.array(cell), parts), lambda p: p != ""), glue)
+    def with_tails(cell, name):
+        return F.array_join(filled_texts(F.concat(F.array(cell), F.transform("pieces", lambda p: p[name]))), glue[name])
 
     fixed = F.transform(
         "cells",
-        lambda c, i: F.when(i == F.col("at_product"), with_tails(c, "product", " "))
-        .when(i == F.col("at_description"), with_tails(c, "description", " "))
-        .when(i == F.col("at_order_id"), with_tails(c, "order_id", ""))
+        lambda c, i: F.when(i == F.col("at_product"), with_tails(c, "product"))
+        .when(i == F.col("at_description"), with_tails(c, "description"))
+        .when(i == F.col("at_order_id"), with_tails(c, "order_id"))
         .otherwise(c),
     )
     header = rows.where(F.col("row_seq") == 0).select("path", "row_seq", "cells")

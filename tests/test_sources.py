@@ -114,3 +114,19 @@ def test_rows_over_block_borders(spark, tmp_path):
         got.setdefault(r.path.split("/")[-1][:-4], []).append((r.row_seq, [c.rstrip("\n") for c in r.cells]))
     for name, rows in want.items():
         assert got[name] == [(i, [c.rstrip("\n") for c in r]) for i, r in enumerate(rows)], name
+
+
+def test_many_tails_of_one_row(spark):
+    """10^5 continuation rows of one row, and a row after them."""
+    from tallyfolio.sources import exports
+
+    n = 100_000
+    tail = F.array(F.lit(""), F.lit(""), *[F.when(F.col("id") % 3 == k, F.concat(F.lit(f"{name}"), F.col("id"))).otherwise("") for k, name in enumerate("pdo")])
+    tails = spark.range(2, n + 2).select(F.lit("/x/A/Account.csv").alias("path"), F.col("id").alias("row_seq"), tail.alias("cells"))
+    fixed = [(0, ["Date", "Time", "Product", "Description", "Order Id"]), (1, ["01-02-2024", "10:00", "P", "D", "O"]), (n + 2, ["02-02-2024", "10:00", "Q", "E", ""])]
+    rows = tails.unionByName(spark.createDataFrame([("/x/A/Account.csv", i, c) for i, c in fixed], "path string, row_seq long, cells array<string>"))
+    got = {r.row_seq: r.cells for r in exports.repair_rows(rows.repartition(5)).collect()}
+    ids = range(2, n + 2)
+    assert set(got) == {0, 1, n + 2} and got[n + 2][2] == "Q"
+    assert got[1][2] == " ".join(["P", *[f"p{i}" for i in ids if i % 3 == 0]]) and got[1][3] == " ".join(["D", *[f"d{i}" for i in ids if i % 3 == 1]])
+    assert got[1][4] == "".join(["O", *[f"o{i}" for i in ids if i % 3 == 2]])
