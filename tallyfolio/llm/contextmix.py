@@ -25,6 +25,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,15 +182,23 @@ def bits_of(symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node = node << np.uint64(1) | value
 
 
-def slots_of(context: int, w: np.ndarray, p: np.ndarray | None, node: np.ndarray, size: int) -> np.ndarray:
-    """Slot of each bit's counter, of `size` slots: w are windows, p prefix hashes (for the last context)."""
+#: A spread value for the bits of a byte so far.
+_NODES = mixed(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(splitmix(4242)))
+
+
+def bases_of(context: int, w: np.ndarray, p: np.ndarray | None) -> np.ndarray:
+    """Hash of each place's context: w are windows, p prefix hashes (for the last context)."""
     if context == ORDERS:
-        key = p + node * np.uint64(0x9E3779B97F4A7C15)
-    else:
-        key = (w >> np.uint64(8) & np.uint64((1 << 8 * (context + 1)) - 1)) << np.uint64(8) | node
-        if context == 0:
-            return key
-    return mixed(key) & np.uint64(size - 1)
+        return p
+    key = w >> np.uint64(8) & np.uint64((1 << 8 * (context + 1)) - 1)
+    return key << np.uint64(8) if context == 0 else mixed(key)
+
+
+def slots_of(context: int, base: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
+    """Slot of each bit's counter, of `size` slots."""
+    if context == 0:
+        return (base | node).view(np.int64)
+    return ((base ^ _NODES.take(node.view(np.int64))) & np.uint64(size - 1)).view(np.int64)
 
 
 def _level(context: int, seen: np.ndarray) -> np.ndarray:
@@ -210,7 +219,7 @@ class Model:
     def frozen(self) -> Model:
         """For scoring: predictions in place of counts."""
         out = Model([])
-        out.weights, out.map, out.sizes = self.weights, self.map, self.sizes
+        out.weights, out.map, out.sizes = self.weights.astype(np.float32), None if self.map is None else self.map.astype(np.float32), self.sizes
         for o, (zero, one) in enumerate(self.counters):
             out.ready.append((np.log((one + ALPHA) / (zero + ALPHA)).astype(np.float32), _level(o, zero + one).astype(np.uint8)))
         return out
@@ -226,77 +235,86 @@ class Model:
             out.spared.append((x, level))
         return out
 
-    def inputs(self, w: np.ndarray, p: np.ndarray, node: np.ndarray, own: np.ndarray | None = None):
-        """Stretched predictions of all contexts, and the gate: place in the word, and how much the longer contexts have seen.  `own`: bits whose last occurrence is left out."""
-        x = np.full((CONTEXTS + 1, len(w)), 0.3)
-        # bytes of the current word, up to four
-        byte = [w >> np.uint64(8 * i) & np.uint64(255) for i in range(1, ORDERS + 1)]
-        inside = np.ones(len(w), bool)
-        gate = np.zeros(len(w), np.int64)
-        for b in byte:
-            inside &= ~(_APART[b])
+    def contexts(self, w: np.ndarray, p: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """What the eight bits of a place share: the hash of each context, and the gate's first part, the place in the word."""
+        inside, gate = np.ones(len(w), bool), np.zeros(len(w), np.int64)
+        for i in range(1, ORDERS + 1):  # bytes of the current word, up to four
+            inside &= ~_APART[(w >> np.uint64(8 * i) & np.uint64(255)).view(np.int64)]
             gate += inside
+        return [bases_of(o, w, p) for o in range(CONTEXTS)], gate
+
+    def inputs(self, bases: list[np.ndarray], gate: np.ndarray, node: np.ndarray, own: np.ndarray | None = None):
+        """Stretched predictions of all contexts (a row for each place), and the gate: place in the word, and how much the
+        longer contexts have seen.  `own`: bits whose last occurrence is left out."""
+        x = np.full((len(node), CONTEXTS + 1), 0.3, np.float32)
         for o in range(CONTEXTS):
-            slot = slots_of(o, w, p, node, self.sizes[o])
+            slot = slots_of(o, bases[o], node, self.sizes[o])
             if own is not None:
-                slot = slot.astype(np.int64) + own.astype(np.int64) * self.sizes[o]
-                x[o], level = self.spared[o][0][slot], self.spared[o][1][slot] if o in STEPS else None
+                slot = slot + own * self.sizes[o]
+                x[:, o], level = self.spared[o][0].take(slot), self.spared[o][1].take(slot) if o in STEPS else None
             elif self.ready:
-                x[o], level = self.ready[o][0][slot], self.ready[o][1][slot]
+                x[:, o], level = self.ready[o][0].take(slot), self.ready[o][1].take(slot) if o in STEPS else None
             else:
                 zero, one = self.counters[o][0][slot].astype(float), self.counters[o][1][slot].astype(float)
-                x[o] = np.log((one + ALPHA) / (zero + ALPHA))
+                x[:, o] = np.log((one + ALPHA) / (zero + ALPHA))
                 level = _level(o, one + zero)
             if o in STEPS:
                 gate = gate * (len(STEPS[o]) + 1) + level
         return x, gate
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(sum(self.weights[:, k][gate] * x[k] for k in range(CONTEXTS + 1)), -16, 16)
+        return np.clip(np.einsum("ij,ij->i", self.weights.take(gate, axis=0), x), -16, 16)
 
-    def refine(self, s: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Probability of a one: the mean of the mixture and of the map between its two nearest levels."""
-        p = 1 / (1 + np.exp(-s))
+    def chance(self, s: np.ndarray, node: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Probability of the bit `value`: the mean of the mixture and of the map between its two nearest levels."""
+        one = value == 1
+        q = 1 / (1 + np.exp(np.where(one, -s, s)))
         if self.map is not None:
             at = (np.clip(s, -8, 8) + 8) * ((LEVELS - 1) / 16)
             low = np.minimum(at.astype(np.int64), LEVELS - 2)
             part = at - low
-            row = node.astype(np.int64) * LEVELS + low
-            p = (p + self.map[row] * (1 - part) + self.map[row + 1] * part) / 2
-        return p
+            row = node.view(np.int64) * LEVELS + low
+            m = self.map.take(row) * (1 - part) + self.map.take(row + 1) * part
+            q = (q + np.where(one, m, 1 - m)) / 2
+        return q
 
     def log10(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
         """log10 probability of each window's last byte."""
-        out = np.zeros(len(w))
+        out = np.ones(len(w))
         for lo in range(0, len(w), 1 << 13):
-            some, word = w[lo : lo + (1 << 13)], p[lo : lo + (1 << 13)]
+            some = w[lo : lo + (1 << 13)]
+            bases, place = self.contexts(some, p[lo : lo + (1 << 13)])
             for value, node in bits_of(some):
-                q = self.refine(self.mix(*self.inputs(some, word, node)), node)
-                out[lo : lo + (1 << 13)] += np.log10(np.where(value == 1, q, 1 - q))
-        return out
+                out[lo : lo + (1 << 13)] *= self.chance(self.mix(*self.inputs(bases, place, node)), node, value)
+        return np.log10(out)
 
-    def learn(self, w: np.ndarray, p: np.ndarray, n: np.ndarray, bend: np.ndarray, one: np.ndarray, both: np.ndarray, rate: float, batch: int = 4096) -> None:
+    def learn(self, w: np.ndarray, p: np.ndarray, n: np.ndarray, bend: np.ndarray, one: np.ndarray, both: np.ndarray, rate: float, batch: int = 8192) -> None:
         """Online steps over places (w, p) met n times.
 
         `bend` gathers each weight's curvature, which shortens its steps; `one` and `both` gather ones and all bits at each
         level of the map, shared between the two nearest levels of what was predicted before the step.
         """
         for lo in range(0, len(w), batch):
-            some, word, times = w[lo : lo + batch], p[lo : lo + batch], n[lo : lo + batch].astype(float)
+            some, times = w[lo : lo + batch], n[lo : lo + batch].astype(float)
+            bases, place = self.contexts(some, p[lo : lo + batch])
+            rows, shares, ones = [], [], []
             for value, node in bits_of(some):
-                own = value.astype(float)
-                x, gate = self.inputs(some, word, node, own)
+                x, gate = self.inputs(bases, place, node, value.view(np.int64))
                 s = self.mix(x, gate)
                 at = (np.clip(s, -8, 8) + 8) * ((LEVELS - 1) / 16)
                 low = np.minimum(at.astype(np.int64), LEVELS - 2)
-                for step, share in ((0, 1 - (at - low)), (1, at - low)):
-                    row = node.astype(np.int64) * LEVELS + low + step
-                    one += np.bincount(row, own * share * times, 256 * LEVELS)
-                    both += np.bincount(row, share * times, 256 * LEVELS)
+                row, part = node.view(np.int64) * LEVELS + low, (at - low) * times
+                rows += [row, row + 1]
+                shares += [times - part, part]
+                ones += [value, value]
                 q = 1 / (1 + np.exp(-s))
-                error, curve = (own - q) * times, q * (1 - q) * times
-                bend += np.stack([np.bincount(gate, curve * x[k] * x[k], GATES) for k in range(CONTEXTS + 1)], 1)
-                self.weights += rate * np.stack([np.bincount(gate, error * x[k], GATES) for k in range(CONTEXTS + 1)], 1) / bend
+                error, curve = (value - q) * times, q * (1 - q) * times
+                cell = (gate[:, None] * (CONTEXTS + 1) + np.arange(CONTEXTS + 1)).ravel()
+                bend += np.bincount(cell, (curve[:, None] * (x * x)).ravel(), bend.size).reshape(bend.shape)
+                self.weights += rate * np.bincount(cell, (error[:, None] * x).ravel(), bend.size).reshape(bend.shape) / bend
+            row, share = np.concatenate(rows), np.concatenate(shares)
+            both += np.bincount(row, share, 256 * LEVELS)
+            one += np.bincount(row, share * np.concatenate(ones), 256 * LEVELS)
 
     def set_map(self, one: np.ndarray, both: np.ndarray, weight: float = 8.0) -> None:
         level = 1 / (1 + np.exp(-(np.arange(LEVELS) * (16 / (LEVELS - 1)) - 8)))
@@ -309,7 +327,7 @@ def _key(w: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 class Cache:
-    """log10 probabilities of the places that a task has met, in a table of fixed size: each slot holds the last one."""
+    """log10 probabilities of the places that a worker has met, in a table of fixed size: each slot holds the last one."""
 
     def __init__(self, model: Model, size: int = 1 << 22):
         self.model, self.mask = model, np.uint64(size - 1)
@@ -330,6 +348,17 @@ class Cache:
         return out
 
 
+#: The cache of the model that this Python worker last scored with; its tasks share it.
+_KEPT: dict[str, Cache] = {}
+
+
+def cache_of(name: str, model: Model) -> Cache:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Cache(model)
+    return _KEPT[name]
+
+
 class Places:
     """Distinct places (w, p) and how often a task has met them.
 
@@ -374,8 +403,9 @@ class Places:
 
 
 def _add(counts: np.ndarray, context: int, w: np.ndarray, p: np.ndarray | None, n: np.ndarray) -> None:
+    base = bases_of(context, w, p)
     for value, node in bits_of(w):
-        slot, at = np.unique(slots_of(context, w, p, node, counts.shape[1]).astype(np.int64), return_inverse=True)
+        slot, at = np.unique(slots_of(context, base, node, counts.shape[1]), return_inverse=True)
         for bit in (0, 1):
             counts[bit][slot] += np.bincount(at, np.where(value == bit, n, 0), len(slot))
 
@@ -500,11 +530,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     frequent = most_frequent(vocabulary, head).toPandas().sort_values("key")
     model = train(training, text_col, counters_of(found, slot_sizes(found))).frozen()
     spark = docs.sparkSession.sparkContext
+    name = uuid.uuid4().hex
     shared = spark.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 
     def run(batches):
         model, keys, counts = shared.value
-        cache = Cache(model)
+        cache = cache_of(name, model)
         value = np.log10((counts + 1) / floor)
         for batch in batches:
             for part, texts in pieces(batch, text_col):
