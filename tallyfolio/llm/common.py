@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +154,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text", size: int = 2 * BLOCK) -
         lo = hi
 
 
-def arrow_map(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: A row's place in its table.
+ROW = "row place"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with their place in the table: the same each time a written table is read."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def batch_of(**columns) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfolio.llm.common import batch_of, components, stored
+from tallyfolio.llm.common import ROW, batch_of, components, numbered, stored
 
 SHINGLE, RADIUS, SEGMENTS, SEED = 4, 4, 3, 42
 
@@ -209,9 +209,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the row with the smallest id stays (one row, if rows repeat)."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    kept = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    rows = docs.join(kept, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*[c for c in docs.columns if c != id_col])).alias("r"))
-    rows = rows.select(id_col, "r.*").select(*docs.columns)
-    return rows.union(docs.where(F.col(id_col).isNull()))
+    """Pipeline stage: of each group of near-duplicate rows one stays, the one with the smallest id (null ids last), then the
+    first in the table.  Rows are told apart by their place, so rows that share an id, or have none, are rows like others.
+
+    What goes is written first, so Spark knows its size and shuffles the texts only if it is too large to be broadcast.
+    """
+    rows = numbered(docs)
+    found = near_duplicates(rows, ROW, text_col, **how).select(ROW, "component")
+    found = found.join(rows.select(ROW, F.col(id_col).alias("own")), ROW)
+    first = F.min(F.struct(F.col("own").isNull().alias("nameless"), F.col("own"), F.col(ROW))).alias("first")
+    kept = found.groupBy("component").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    gone = stored(found.select(ROW).join(kept, ROW, "left_anti"), "simhash-gone")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfolio.llm.common import Texts, batch_of, gram_hashes, pieces, range_hashes, stored
+from tallyfolio.llm.common import ROW, Texts, batch_of, gram_hashes, numbered, pieces, range_hashes, stored
 
 MIN_MATCH, THRESHOLD = 5, 0.5
 #: Slots of the bit table that tells documents' seeds from others.
@@ -184,5 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Pipeline stage: the rows of `docs` that hold no benchmark item."""
-    return docs.join(leaks(docs, benchmark, id_col, text_col, **how).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    """Pipeline stage: the rows of `docs` that hold no benchmark item, whatever their ids (rows are told apart by their place)."""
+    rows = numbered(docs)
+    gone = stored(leaks(rows, benchmark, ROW, text_col, **how).select(ROW).distinct(), "tiling-gone")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -53,3 +53,22 @@ def test_stages_on_odd_and_empty_tables(spark, folder):
             out = stage(spark, docs, folder)
             assert out.columns == docs.columns and out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def test_rows_with_repeated_and_missing_ids(spark, folder):
+    """Rows are told apart by their place: no clean row is lost for its id, no dirty one kept for want of one."""
+    rng = random.Random(12)
+    words = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnr"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    one, two, three = text(150), text(150), text(150)
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rows = [(5, one), (5, two), (5, one), (None, three), (None, three), (7, three), (None, two), (8, text(90) + " " + item), (None, text(90) + " " + item), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["SimHash near-dedup"](spark, docs, folder)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id, (r.text or "")[:20]) for r in kept.collect())
+    want = [(False, 5, one), (False, 5, two), (False, 7, three), (False, 8, rows[7][1]), (True, None, rows[8][1]), (False, 9, "")]
+    assert got == sorted((a, b, t[:20]) for a, b, t in want)
+    left = stages["benchmark decontamination"](spark, docs, folder)
+    assert sorted(r.n_chars for r in left.collect()) == [0, 1, 2, 3, 4, 5, 6, 9, 10]
