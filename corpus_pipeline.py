@@ -41,7 +41,7 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
 ]
 
-#: Fingerprints, hashed models and redaction can't be written in SQL; tests hold the pipeline against brute force.
+#: Fingerprints, hashed models and redaction can't be written in SQL; tests hold the stages against planted tables, and their operators against brute force.
 ORACLE_SQL = None
 
 
