@@ -55,14 +55,19 @@ _APART = SPACE.copy()
 _APART[BEFORE] = True
 
 
-def windows(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The five bytes that end at each byte of each text and at its end, as one number; and the index of its text."""
+def windows(t: Texts, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The five bytes that end at each byte of each text and at its end, as one number; and the index of its text.
+
+    `before`: the four bytes that stand before each text, a row for each.
+    """
     n = np.diff(t.offsets)
     first = np.concatenate(([0], np.cumsum(n + ORDERS + 1)))
     data = np.full(int(first[-1]), BEFORE, np.uint8)
     text = np.repeat(np.arange(t.n), n)
     data[np.arange(len(t.data)) + ORDERS * (text + 1) + text] = _LOWER[t.data]
     data[first[1:] - 1] = END
+    if before is not None:
+        data[first[:-1, None] + np.arange(ORDERS)] = before
     wide = data.astype(np.uint64)
     out = wide[ORDERS:].copy()
     for i in range(1, ORDERS + 1):
@@ -94,6 +99,113 @@ def prefixes(t: Texts) -> np.ndarray:
     return out
 
 
+class Stretches:
+    """Stretches of texts, which together have every place once.
+
+    A text is cut before each of its words.  A piece's first four places are one stretch, which follows from its bytes, the four
+    bytes before it, and whether the text ends with it; its other places are another, which follows from the piece alone.
+    `keys` hash what the windows and word prefixes of a stretch follow from.
+    """
+
+    def __init__(self, t: Texts):
+        begins, _, first = t.words()
+        text = np.repeat(np.arange(t.n), np.diff(first))
+        inner = begins > t.offsets[text]
+        n = 1 + np.bincount(text[inner], minlength=t.n)
+        at = np.cumsum(n) - n
+        text, starts, last = np.repeat(np.arange(t.n), n), np.empty(n.sum(), np.int64), np.zeros(n.sum(), bool)
+        later = np.ones(len(text), bool)
+        later[at] = False
+        starts[at], starts[later] = t.offsets[:-1], begins[inner]
+        last[at + n - 1] = True
+        ends = np.append(starts[1:], t.offsets[-1])
+        rest = np.flatnonzero(ends - starts + last > ORDERS)
+        low = np.concatenate((np.full(ORDERS, BEFORE, np.uint8), _LOWER[t.data], np.full(ORDERS, BEFORE, np.uint8)))
+        four = np.ndarray(len(t.data) + ORDERS + 1, "<u4", low, 0, (1,))  # the four bytes from each byte on
+        before, head = four[starts], four[starts + ORDERS]
+        for mine, bytes_there, shift in ((before, starts - t.offsets[text], -1), (head, ends - starts, 1)):
+            few = np.flatnonzero(bytes_there < ORDERS)  # beyond a text's start or a piece's end
+            bits = (8 * (ORDERS - bytes_there[few])).astype(np.uint32)
+            full, fill = np.uint32(0xFFFFFFFF), np.uint32(BEFORE * 0x01010101)
+            keep = full >> bits if shift > 0 else full << bits
+            keep[bits == 32] = 0
+            mine[few] = mine[few] & keep | fill & ~keep
+        self.data, self.heads = t.data, len(text)
+        self.text = np.concatenate((text, text[rest]))
+        self.starts = np.concatenate((starts, starts[rest]))
+        self.ends = np.concatenate((np.minimum(ends, starts + ORDERS), ends[rest]))
+        self.last = np.concatenate((last & (ends - starts < ORDERS), last[rest]))
+        self.before = np.concatenate((before, np.full(len(rest), BEFORE * 0x01010101, np.uint32))).astype("<u4")
+        first = mixed((before.astype(np.uint64) << np.uint64(32) | head) ^ np.uint64(splitmix(31))) + self.last[: len(text)]
+        other = range_hashes(t.data, starts[rest], ends[rest]) + (np.uint64(2) + last[rest])
+        self.keys = mixed(np.concatenate((first, other)))
+
+    def some(self, at: np.ndarray) -> Bytes:
+        starts, n = self.starts[at], self.ends[at] - self.starts[at]
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        data = self.data[np.repeat(starts - offsets[:-1], n) + np.arange(offsets[-1])]
+        return Bytes(data, offsets, self.before[at, None].view(np.uint8), self.last[at], at >= self.heads)
+
+
+class Bytes:
+    """The bytes of some stretches."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, before: np.ndarray, last: np.ndarray, rest: np.ndarray):
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(last), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        self.texts, self.before, self.last, self.rest = Texts(column), before, last, rest
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, word prefix and index of the stretch of each place."""
+        w, of = windows(self.texts, self.before)
+        at = self.texts.offsets + np.arange(len(self.last) + 1)
+        real = np.ones(len(w), bool)
+        real[at[1:] - 1] = self.last  # only a text's end has a place of its own
+        real[at[:-1][self.rest, None] + np.arange(ORDERS)] = False
+        return w[real], prefixes(self.texts)[real], of[real]
+
+
+class Met:
+    """Distinct stretches and how often a task has met them.
+
+    The first stretch of each slot of a table is counted there with its bytes, others and long ones are passed on; `size` and
+    `long` bound what is held.
+    """
+
+    def __init__(self, size: int = 1 << 20, long: int = 32):
+        self.mask, self.long = np.uint64(size - 1), long
+        self.keys, self.counts, self.taker = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int32)
+        self.held: list[tuple[np.ndarray, Bytes]] = []
+
+    def add(self, t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Yields the places (w, p, n) of stretches that are not held."""
+        found = Stretches(t)
+        key = found.keys | np.uint64(1 << 63)
+        slot = (key & self.mask).astype(np.int64)
+        here = self.keys[slot]
+        new = np.flatnonzero(here == 0)
+        new = new[found.ends[new] - found.starts[new] <= self.long]
+        if len(new):
+            self.taker[slot[new]] = new
+            new = new[self.taker[slot[new]] == new]  # one for each slot
+            self.keys[slot[new]] = key[new]
+            self.held.append((slot[new], found.some(new)))
+            here = self.keys[slot]
+        held = here == key
+        np.add.at(self.counts, slot[held], 1)
+        other = np.flatnonzero(~held)
+        if len(other):
+            _, first, n = np.unique(key[other], return_index=True, return_counts=True)
+            w, p, at = found.some(other[first]).places()
+            yield w, p, n[at]
+
+    def last(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The places of all that are held."""
+        for slot, some in self.held:
+            w, p, at = some.places()
+            yield w, p, self.counts[slot][at]
+        self.held = []
+
+
 class Tally:
     """Counts of numbers seen by one task; merged as they come in, flushed by the caller when large."""
 
@@ -205,6 +317,22 @@ def _level(context: int, seen: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(STEPS.get(context, ()), float), seen, "right")
 
 
+#: The last bits of a prediction's fraction hold the level of what its slot has seen, so that one access gets both.
+_LEVEL = 7
+
+
+def _predictions(context: int, counts: np.ndarray, less: tuple[tuple[int, int], ...] = ((0, 0),)) -> np.ndarray:
+    """Stretched prediction and level of every slot; for each of `less`, with so many zeros and ones taken away."""
+    zero, one = counts
+    out = np.empty(len(less) * len(zero), np.float32)
+    for i, (fewer_zeros, fewer_ones) in enumerate(less):
+        for lo in range(0, len(zero), 1 << 18):
+            a, b = (np.maximum(x[lo : lo + (1 << 18)] - y, 0) for x, y in ((zero, fewer_zeros), (one, fewer_ones)))
+            x = np.log((b + ALPHA) / (a + ALPHA)).astype(np.float32).view(np.uint32)
+            out[i * len(zero) + lo :][: len(x)] = (x & ~np.uint32(_LEVEL) | _level(context, a + b).astype(np.uint32)).view(np.float32)
+    return out
+
+
 class Model:
     """Counters by context (2 x slots), mixing weights by gate, and the refining map by bits so far and level."""
 
@@ -213,26 +341,21 @@ class Model:
         self.sizes = [c.shape[1] for c in counters]
         self.weights = np.full((GATES, CONTEXTS + 1), 0.3)
         self.map = None
-        self.ready: list[tuple[np.ndarray, np.ndarray]] = []  # of each slot: stretched prediction, level of what it has seen
-        self.spared: list[tuple[np.ndarray, np.ndarray]] = []  # the same without the last zero of each slot, then without its last one
+        self.ready: list[np.ndarray] = []  # of each slot: stretched prediction and level of what it has seen
+        self.spared: list[np.ndarray] = []  # the same without the last zero of each slot, then without its last one
 
     def frozen(self) -> Model:
         """For scoring: predictions in place of counts."""
         out = Model([])
         out.weights, out.map, out.sizes = self.weights.astype(np.float32), None if self.map is None else self.map.astype(np.float32), self.sizes
-        for o, (zero, one) in enumerate(self.counters):
-            out.ready.append((np.log((one + ALPHA) / (zero + ALPHA)).astype(np.float32), _level(o, zero + one).astype(np.uint8)))
+        out.ready = [_predictions(o, counts) for o, counts in enumerate(self.counters)]
         return out
 
     def learning(self) -> Model:
         """For learning: predictions without a bit's last occurrence in place of counts."""
         out = Model([])
         out.sizes = self.sizes
-        for o, (zero, one) in enumerate(self.counters):
-            less = [(np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]
-            x = np.concatenate([np.log((b + ALPHA) / (a + ALPHA)).astype(np.float32) for a, b in less])
-            level = np.concatenate([_level(o, a + b).astype(np.uint8) for a, b in less]) if o in STEPS else x
-            out.spared.append((x, level))
+        out.spared = [_predictions(o, counts, ((1, 0), (0, 1))) for o, counts in enumerate(self.counters)]
         return out
 
     def contexts(self, w: np.ndarray, p: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -244,26 +367,27 @@ class Model:
         return [bases_of(o, w, p) for o in range(CONTEXTS)], gate
 
     def inputs(self, bases: list[np.ndarray], gate: np.ndarray, node: np.ndarray, own: np.ndarray | None = None):
-        """Stretched predictions of all contexts (a row for each place), and the gate: place in the word, and how much the
+        """Stretched predictions of all contexts (a row for each context), and the gate: place in the word, and how much the
         longer contexts have seen.  `own`: bits whose last occurrence is left out."""
-        x = np.full((len(node), CONTEXTS + 1), 0.3, np.float32)
+        x = np.full((CONTEXTS + 1, len(node)), 0.3, np.float32)
         for o in range(CONTEXTS):
             slot = slots_of(o, bases[o], node, self.sizes[o])
             if own is not None:
-                slot = slot + own * self.sizes[o]
-                x[:, o], level = self.spared[o][0].take(slot), self.spared[o][1].take(slot) if o in STEPS else None
+                got = self.spared[o].take(slot + own * self.sizes[o])
             elif self.ready:
-                x[:, o], level = self.ready[o][0].take(slot), self.ready[o][1].take(slot) if o in STEPS else None
+                got = self.ready[o].take(slot)
             else:
-                zero, one = self.counters[o][0][slot].astype(float), self.counters[o][1][slot].astype(float)
-                x[:, o] = np.log((one + ALPHA) / (zero + ALPHA))
-                level = _level(o, one + zero)
+                got = _predictions(o, self.counters[o][:, slot])
+            x[o] = got
             if o in STEPS:
-                gate = gate * (len(STEPS[o]) + 1) + level
+                gate = gate * (len(STEPS[o]) + 1) + (got.view(np.int32) & _LEVEL)
         return x, gate
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", self.weights.take(gate, axis=0), x), -16, 16)
+        s = self.weights[:, 0].take(gate) * x[0]
+        for o in range(1, CONTEXTS + 1):
+            s += self.weights[:, o].take(gate) * x[o]
+        return np.clip(s, -16, 16, out=s)
 
     def chance(self, s: np.ndarray, node: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Probability of the bit `value`: the mean of the mixture and of the map between its two nearest levels."""
@@ -309,9 +433,9 @@ class Model:
                 ones += [value, value]
                 q = 1 / (1 + np.exp(-s))
                 error, curve = (value - q) * times, q * (1 - q) * times
-                cell = (gate[:, None] * (CONTEXTS + 1) + np.arange(CONTEXTS + 1)).ravel()
-                bend += np.bincount(cell, (curve[:, None] * (x * x)).ravel(), bend.size).reshape(bend.shape)
-                self.weights += rate * np.bincount(cell, (error[:, None] * x).ravel(), bend.size).reshape(bend.shape) / bend
+                for o in range(CONTEXTS + 1):
+                    bend[:, o] += np.bincount(gate, curve * x[o] * x[o], GATES)
+                    self.weights[:, o] += rate * np.bincount(gate, error * x[o], GATES) / bend[:, o]
             row, share = np.concatenate(rows), np.concatenate(shares)
             both += np.bincount(row, share, 256 * LEVELS)
             one += np.bincount(row, share * np.concatenate(ones), 256 * LEVELS)
@@ -326,39 +450,69 @@ def _key(w: np.ndarray, p: np.ndarray) -> np.ndarray:
     return mixed(w * np.uint64(0xD6E8FEB86659FD93) + p)
 
 
-class Cache:
-    """log10 probabilities of the places that a worker has met, in a table of fixed size: each slot holds the last one."""
+class Kept:
+    """Values by key in a table of fixed size: each slot holds the last one."""
 
-    def __init__(self, model: Model, size: int = 1 << 22):
-        self.model, self.mask = model, np.uint64(size - 1)
-        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
+    def __init__(self, size: int, kind):
+        self.mask, self.keys, self.values = np.uint64(size - 1), np.zeros(size, np.uint64), np.zeros(size, kind)
         self.keys[0] = 1
 
-    def log10(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
-        key = _key(w, p)
+    def get(self, key: np.ndarray, compute) -> np.ndarray:
+        """The value of each key; `compute` gives those of the keys at some indices, for keys that the table does not hold."""
         slot = (key & self.mask).astype(np.int64)
-        out = self.values[slot].astype(float)
+        out = self.values[slot]
         miss = np.flatnonzero(self.keys[slot] != key)
         if len(miss):
             new, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            value = self.model.log10(w[miss[first]], p[miss[first]])
+            value = compute(miss[first]).astype(out.dtype)
             out[miss] = value[back]
             at = (new & self.mask).astype(np.int64)
             self.keys[at], self.values[at] = new, value
         return out
 
 
-#: The cache of the model that this Python worker last scored with; its tasks share it.
-_KEPT: dict[str, Cache] = {}
+class Cache:
+    """log10 probabilities of the stretches, and below them of the places, that a worker has met."""
 
+    def __init__(self, model: Model, size: int = 1 << 21):
+        self.model, self.places, self.stretches = model, Kept(size, np.float32), Kept(size, float)
 
-def cache_of(name: str, model: Model) -> Cache:
+    def log10(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return self.places.get(_key(w, p), lambda at: self.model.log10(w[at], p[at])).astype(float)
+
+    def texts(self, t: Texts) -> np.ndarray:
+        """log10 probability of each text."""
+        found = Stretches(t)
+
+        def compute(at):
+            w, p, of = found.some(at).places()
+            return np.bincount(of, self.log10(w, p), len(at))
+
+        return np.bincount(found.text, self.stretches.get(found.keys, compute), t.n)
+
+
+#: What this Python worker last learnt or scored with; its tasks share it.
+_KEPT: dict[str, object] = {}
+
+
+def _kept(name: str, make):
     if name not in _KEPT:
         _KEPT.clear()
-        _KEPT[name] = Cache(model)
+        _KEPT[name] = make()
     return _KEPT[name]
 
 
+def cache_of(name: str, model: Model) -> Cache:
+    return _kept(name, lambda: Cache(model))
+
+
+def learner(name: str, model: Model) -> Model:
+    """A model for one task to learn with: its own weights, the worker's predictions."""
+    ready, out = _kept(name, model.learning), Model([])
+    out.sizes, out.spared = ready.sizes, ready.spared
+    return out
+
+
 class Places:
     """Distinct places (w, p) and how often a task has met them.
 
@@ -371,8 +525,8 @@ class Places:
         self.w, self.p = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.rest: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, w: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Yields the places (w, p, n) that there is no more room for."""
+    def add(self, w: np.ndarray, p: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places met n times.  Yields the places (w, p, n) that there is no more room for."""
         key = _key(w, p) | np.uint64(1 << 63)
         slot = (key & self.mask).astype(np.int64)
         new = np.flatnonzero(self.keys[slot] == 0)
@@ -380,11 +534,11 @@ class Places:
         new = new[self.keys[slot[new]] == key[new]]
         self.w[slot[new]], self.p[slot[new]] = w[new], p[new]
         seated = self.keys[slot] == key
-        self.counts += np.bincount(slot[seated], minlength=len(self.counts))
+        np.add.at(self.counts, slot[seated], n[seated])
         other = np.flatnonzero(~seated)
         if len(other):
-            distinct, first, n = np.unique(key[other], return_index=True, return_counts=True)
-            self.rest.append((distinct, w[other[first]], p[other[first]], n))
+            distinct, first, at = np.unique(key[other], return_index=True, return_inverse=True)
+            self.rest.append((distinct, w[other[first]], p[other[first]], np.bincount(at, n[other], len(distinct)).astype(np.int64)))
         if sum(len(x[0]) for x in self.rest) > self.most:
             yield self._rest()
 
@@ -487,17 +641,24 @@ def train(docs: DataFrame, text_col: str, counters: list[np.ndarray], rate: floa
     """The model from its counters: weights and map, learnt in one pass over `docs`."""
     model = Model(counters)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
     size = GATES * (CONTEXTS + 1)
 
     def learn(batches):
-        own, bend = shared.value.learning(), np.full((GATES, CONTEXTS + 1), START)
+        own, bend = learner(name, shared.value), np.full((GATES, CONTEXTS + 1), START)
         one, both = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
-        met = Places()
-        for batch in batches:
-            for _, texts in pieces(batch, text_col):
-                for some in met.add(windows(texts)[0], prefixes(texts)):
-                    own.learn(*some, bend, one, both, rate)
-        for some in met.last():
+        met, places = Met(), Places()
+
+        def found():
+            for batch in batches:
+                for _, texts in pieces(batch, text_col):
+                    yield from met.add(texts)
+            yield from met.last()
+
+        for more in found():
+            for some in places.add(*more):
+                own.learn(*some, bend, one, both, rate)
+        for some in places.last():
             own.learn(*some, bend, one, both, rate)
         mass = bend.reshape(-1) - START
         yield batch_of(at=np.arange(size + len(one)), a=np.concatenate((own.weights.reshape(-1) * mass, one)), b=np.concatenate((mass, both)))
@@ -539,9 +700,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
         value = np.log10((counts + 1) / floor)
         for batch in batches:
             for part, texts in pieces(batch, text_col):
-                w, text = windows(texts)
-                bits = np.bincount(text, cache.log10(w, prefixes(texts)), texts.n)
-                n_bytes = np.bincount(text, minlength=texts.n)
+                bits = cache.texts(texts)
+                n_bytes = np.diff(texts.offsets) + 1
                 h, of, _, _ = tokens(texts)
                 h = h.view(np.int64)
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))

@@ -1,6 +1,8 @@
 """Scores of the context mixing model against a plain computation, a place and a bit at a time."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,34 @@ def test_score_of_places():
     cache = cm.Cache(model.frozen(), 1 << 4)  # far fewer slots than places
     for _ in range(3):
         np.testing.assert_allclose(cache.log10(w, p), want, rtol=1e-4)
+    of = cm.windows(texts)[1]
+    for _ in range(3):
+        np.testing.assert_allclose(cache.texts(texts), np.bincount(of, want, texts.n), rtol=1e-4)
+
+
+def hostile_texts():
+    rng = random.Random(3)
+    some = ["".join(rng.choice("aB \n,é") for _ in range(rng.randrange(60))) for _ in range(80)]
+    return [None, "", " ", "\t\n  ", "a", " a", "a ", *some, *some[:30], "x" * 5000, " " * 3000, "to be or " * 700, "end of Text", "ENd of text", "日本 語"]
+
+
+def test_stretches_give_every_place():
+    texts = hostile_texts()
+    want = Counter()
+    t = Texts(pa.array(texts))
+    for w, p in zip(cm.windows(t)[0].tolist(), cm.prefixes(t).tolist(), strict=True):
+        want[w, p] += 1
+    for size, long, step in ((1 << 12, 32, 200), (16, 32, 7), (64, 3, 1), (1 << 12, 0, 40)):
+        met, got = cm.Met(size, long), Counter()
+        for lo in range(0, len(texts), step):
+            for some in met.add(Texts(pa.array(texts[lo : lo + step], pa.string()))):
+                for w, p, n in zip(*some, strict=True):
+                    got[int(w), int(p)] += int(n)
+        for some in met.last():
+            for w, p, n in zip(*some, strict=True):
+                got[int(w), int(p)] += int(n)
+        assert got == want
+    assert list(cm.Met().add(Texts(pa.array([], pa.string())))) == []
 
 
 def test_cache_is_kept_for_one_model():

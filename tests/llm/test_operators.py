@@ -212,8 +212,10 @@ def test_weights_are_learnt_from_all_training_documents(spark, odd, odd_rows, mo
     met, got, want = contextmix.Places(size=64, most=100), Counter(), Counter()
     for _ in range(20):
         w, p = rng.integers(1, 30, 300).astype(np.uint64), rng.integers(1, 9, 300).astype(np.uint64)
-        want.update(zip(w.tolist(), p.tolist(), strict=True))
-        for some in met.add(w, p):
+        n = rng.integers(1, 5, 300)
+        for a, b, c in zip(w.tolist(), p.tolist(), n.tolist(), strict=True):
+            want[a, b] += c
+        for some in met.add(w, p, n):
             for a, b, n in zip(*some, strict=True):
                 got[int(a), int(b)] += int(n)
     for some in met.last():
