@@ -9,8 +9,8 @@ a pair of scans:
 * once quantities are known, each trade maps the cost to a * cost + b: (1, spend) for a
   buy, (share left, 0) for a sell, (0, 0) when the quantity is gone.
 
-Trades are dealt into buckets of bounded size by ranges of (key, time), whatever the number of trades
-of an instrument or a day.  Each scan runs within the buckets first, then over one row per bucket, and
+Keys are counted first.  Those of bounded size are dealt to tasks whole, and both scans run there after one shuffle.
+Trades of larger keys are dealt into buckets by ranges of (key, time), whatever the number of trades of a day.  Each scan runs within the buckets first, then over one row per bucket, and
 joins what lies before a bucket back to its trades: no task holds an instrument's life and no arrays are built.
 """
 
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.text import day
-from tallyfolio.session import materialize
+from tallyfolio.operators.ranks import large_keys, of_keys
+from tallyfolio.session import materialize, tasks_for
 
 _GONE = 1e-9
 _NONE = 1e-12
@@ -30,6 +31,8 @@ _ORDER = ["datetime", "row_seq", "quantity", "spend"]
 #: Natural logarithm of how far products of shares may fall within one section of a scan.  What is more
 #: than a section back weighs less than exp(-400) and counts as nothing.
 _FALL = 400.0
+#: Trades of a key that one task may scan.
+LARGE = 1 << 18
 
 
 def _running(*by):
@@ -37,15 +40,24 @@ def _running(*by):
 
 
 def _trades(tx: DataFrame, keys, include_fees: bool) -> DataFrame:
-    """Trades with the bucket they are dealt to, written once."""
+    """Trades of known keys, written once."""
     fees = F.abs(F.coalesce("fees_eur", F.lit(0.0))) if include_fees else F.lit(0.0)
     spend = F.greatest(F.coalesce(-F.col("total_eur"), F.lit(0.0)) + fees, F.lit(0.0))
     rows = tx.where(F.col("datetime").isNotNull() & (F.abs("quantity") >= _NONE))
     if "is_cash_like" in tx.columns:
         rows = rows.where(~F.coalesce("is_cash_like", F.lit(False)))
-    rows = rows.select(*keys, "datetime", "row_seq", F.col("quantity").cast(_EXACT).alias("quantity"), spend.alias("spend"))
-    dealt = rows.repartitionByRange(*keys, *_ORDER).withColumn("bucket", F.spark_partition_id())
-    return materialize(dealt, "cost-trades")
+    rows = rows.dropna(subset=keys).select(*keys, "datetime", "row_seq", "quantity", spend.alias("spend"))
+    return materialize(rows, "cost-trades")
+
+
+def _exact(trades: DataFrame) -> DataFrame:
+    return trades.withColumn("quantity", F.col("quantity").cast(_EXACT))
+
+
+def _dealt(trades: DataFrame, keys, tasks: int) -> DataFrame:
+    """Trades with the bucket they are dealt to, written once."""
+    dealt = trades.repartitionByRange(tasks, *keys, *_ORDER).withColumn("bucket", F.spark_partition_id())
+    return _exact(materialize(dealt, "cost-dealt"))
 
 
 def _before_bucket(rows: DataFrame, keys, carried: dict, kind: str) -> DataFrame:
@@ -97,13 +109,45 @@ def composed(rows: DataFrame, part, order) -> DataFrame:
     return rows.drop("_reset", "_f", "_section", "_p", "_s", "_back")
 
 
+def _with_maps(rows: DataFrame) -> DataFrame:
+    """What each trade does to the cost: a * cost + b."""
+    bought, q, left = F.col("quantity") > 0, F.col("before"), F.col("open_quantity")
+    keep = F.when((q <= _NONE) | (left <= _GONE), F.lit(0.0)).otherwise(F.least(left / q, F.lit(1.0)))
+    return rows.withColumn("a", F.when(bought, F.lit(1.0)).otherwise(keep)).withColumn("b", F.when(bought, F.col("spend")).otherwise(F.lit(0.0)))
+
+
+def _whole(trades: DataFrame, keys, tasks: int) -> DataFrame:
+    """Open quantity and cost after every trade of keys that a task may hold: nothing is held before the first."""
+    on, none = _running(keys, _ORDER), F.lit(0).cast(_SUM)
+    rows = _exact(trades.repartition(tasks, *keys)).withColumn("run", F.sum("quantity").over(on).cast(_SUM))
+    rows = rows.withColumn("low", F.min("run").over(on)).withColumn("earlier", F.coalesce(F.min("run").over(on.rowsBetween(Window.unboundedPreceding, -1)), none))
+
+    def reflected(run, low):
+        q = (run - F.least(none, low)).cast("double")
+        return F.when(q <= _GONE, F.lit(0.0)).otherwise(q)
+
+    before = reflected(F.col("run") - F.col("quantity"), F.col("earlier"))
+    rows = rows.select(*keys, *_ORDER, before.alias("before"), reflected(F.col("run"), F.col("low")).alias("open_quantity"))
+    rows = composed(_with_maps(rows), keys, _ORDER)
+    cost = F.when(F.col("open_quantity") <= _GONE, F.lit(0.0)).otherwise(F.col("pre_b"))
+    return rows.select(*keys, *_ORDER, "open_quantity", cost.alias("cost_basis_eur"))
+
+
 def trade_cost_basis(tx: DataFrame, keys=("instrument_id",), include_fees: bool = False) -> DataFrame:
     """Open quantity and cost after every trade."""
     keys = list(keys)
-    rows = _quantities(_trades(tx, keys, include_fees), keys)
-    bought, q, left = F.col("quantity") > 0, F.col("before"), F.col("open_quantity")
-    keep = F.when((q <= _NONE) | (left <= _GONE), F.lit(0.0)).otherwise(F.least(left / q, F.lit(1.0)))
-    rows = rows.withColumn("a", F.when(bought, F.lit(1.0)).otherwise(keep)).withColumn("b", F.when(bought, F.col("spend")).otherwise(F.lit(0.0)))
+    trades = _trades(tx, keys, include_fees)
+    large, total = large_keys(trades, keys, LARGE)
+    tasks = tasks_for(tx.sparkSession, total)
+    if large is None:
+        return _whole(trades, keys, tasks)
+    some = _in_buckets(of_keys(trades, keys, large, inside=True), keys, tasks)
+    return _whole(of_keys(trades, keys, large, inside=False), keys, tasks).unionByName(some)
+
+
+def _in_buckets(trades: DataFrame, keys, tasks: int) -> DataFrame:
+    """The same for keys of any size."""
+    rows = _with_maps(_quantities(_dealt(trades, keys, tasks), keys))
     rows = materialize(composed(rows, [*keys, "bucket"], _ORDER).drop("a", "b", "before"), "cost-maps")
     last = F.struct(*_ORDER)
     whole = rows.groupBy(*keys, "bucket").agg(F.max_by("pre_a", last).alias("a"), F.max_by("pre_b", last).alias("b"))
