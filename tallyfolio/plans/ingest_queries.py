@@ -14,7 +14,7 @@ from tallyfolio.plans.registry import ORACLES, query
 from tallyfolio.plans.sample_sql import money_sum0
 from tallyfolio.plans.sample_views import SampleViews
 from tallyfolio.plans.series_queries import eur_events, span
-from tallyfolio.session import materialize, shared_folder
+from tallyfolio.session import materialize, shared_folder, tasks_for
 from tallyfolio.sources import exports, price_store, tables
 from tallyfolio.sources.strategy import parse_documents, resolve_strategy, strategy_documents, target_rows
 
@@ -32,7 +32,8 @@ def _with_header(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def broken_export(v: SampleViews) -> DataFrame:
     """Each order becomes a ledger row torn into five lines."""
-    o = v.table("orders").withColumn("path", _folder(F.col("o_custkey")))
+    orders = v.table("orders")
+    o = orders.withColumn("path", _folder(F.col("o_custkey"))).repartition(tasks_for(v.spark, orders.count()), "path")
     rank = F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey"))
     key = F.col("o_orderkey").cast("string")
 
