@@ -352,11 +352,11 @@ class Model:
         return out
 
     def learning(self) -> Model:
-        """For learning: predictions without a bit's last occurrence in place of counts."""
-        out = Model([])
-        out.sizes = self.sizes
-        out.spared = [_predictions(o, counts, ((1, 0), (0, 1))) for o, counts in enumerate(self.counters)]
-        return out
+        """For learning: predictions without a bit's last occurrence take the place of counts, context by context, so that a
+        worker never holds both."""
+        while self.counters:
+            self.spared.append(_predictions(len(self.spared), self.counters.pop(0), ((1, 0), (0, 1))))
+        return self
 
     def contexts(self, w: np.ndarray, p: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """What the eight bits of a place share: the hash of each context, and the gate's first part, the place in the word."""

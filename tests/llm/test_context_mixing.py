@@ -84,3 +84,18 @@ def test_cache_is_kept_for_one_model():
     one = cm.cache_of("one", cm.Model(counters))
     assert cm.cache_of("one", cm.Model(counters)) is one and cm.cache_of("two", cm.Model(counters)) is not one
     assert list(cm._KEPT) == ["two"]
+
+
+def test_a_worker_learns_without_holding_the_counts():
+    rng = np.random.default_rng(1)
+    counts = [rng.integers(0, 9, (2, 64)).astype(np.float32) for _ in range(cm.CONTEXTS)]
+    want = [cm._predictions(o, c, ((1, 0), (0, 1))) for o, c in enumerate(counts)]
+    model = cm.Model(counts)
+    cm._KEPT.clear()
+    own = cm.learner("a", model)
+    assert not model.counters and own.sizes == [64] * cm.CONTEXTS
+    for a, b in zip(own.spared, want, strict=True):
+        np.testing.assert_array_equal(a, b)
+    cm._KEPT.clear()
+    assert len(cm.learner("a", model).spared) == cm.CONTEXTS  # asked for again by another task
+    cm._KEPT.clear()
