@@ -11,10 +11,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfolio.session import materialize
+from tallyfolio.session import materialize, tasks_for
 
 # --- fixed values: texts and tolerances -----------------------------------------
 DEBIT, CREDIT = "valuta debitering", "valuta creditering"
@@ -199,10 +199,21 @@ def unique_subset(values: np.ndarray, ids: np.ndarray, target: float, tolerance:
 _PAIR = ["account_label", "debit_seq", "row_seq"]
 
 
+def stretch(date) -> Column:
+    """Number of the stretch of days that a date lies in."""
+    return F.floor(F.unix_date(date) / (2 * LOOKAROUND_DAYS + 2))
+
+
+def stretches(date) -> Column:
+    """The one or two stretches with the days around a date."""
+    return F.sequence(stretch(F.date_sub(date, LOOKAROUND_DAYS)), stretch(F.date_add(date, LOOKAROUND_DAYS)))
+
+
 def exchange_pairs(rows: DataFrame) -> DataFrame:
     """(account_label, debit_seq, at, target, rate, row_seq, amount, same_day, near) for every exchange and each row it may have paid.
 
-    Only foreign rows without a rate and exchanges whose EUR leg exists take part.  Rows meet by account, currency and day.
+    Only foreign rows without a rate and exchanges whose EUR leg exists take part.  Rows meet by account, currency and day, or
+    a stretch of days, of which the time around an exchange lies in two at most.
     """
     p = _prepared(rows).where((F.col("_oid") == "") & F.col("_amt").isNotNull())
     debits = p.where((F.col("_d") == DEBIT) & ~F.col("_eur") & (F.col("fx_rate") > 0)).withColumn("_eur_target", F.col("_amt") / F.col("fx_rate"))
@@ -220,11 +231,12 @@ def exchange_pairs(rows: DataFrame) -> DataFrame:
     candidates = p.where(F.col("fx_rate").isNull() & ~F.col("_eur") & ~F.col("_leg"))
     candidates = candidates.select("account_label", "currency", "row_seq", F.col("raw_change").alias("amount"), F.col("datetime").alias("_time"), F.col("value_date").alias("_value"))
     by_day = good.where("_day IS NOT NULL").withColumn("_on", F.col("_day")).join(candidates.withColumn("_on", F.col("_value")), ["account_label", "currency", "_on"])
-    around = F.sequence(F.date_sub(F.to_date("_when"), LOOKAROUND_DAYS), F.date_add(F.to_date("_when"), LOOKAROUND_DAYS))
     reach = F.expr(f"_time BETWEEN _when - INTERVAL {LOOKAROUND_DAYS} DAYS AND _when + INTERVAL {LOOKAROUND_DAYS} DAYS")
-    by_time = good.where("_when IS NOT NULL").withColumn("_on", F.explode(around)).join(candidates.withColumn("_on", F.to_date("_time")), ["account_label", "currency", "_on"]).where(reach)
+    by_time = good.where("_when IS NOT NULL").withColumn("_on", F.explode(stretches(F.to_date("_when")))).join(candidates.withColumn("_on", stretch(F.to_date("_time"))), ["account_label", "currency", "_on"]).where(reach)
     cols = ["account_label", "debit_seq", "at", "target", "rate", "row_seq", "amount"]
     both = by_day.select(*cols, F.lit(True).alias("same_day"), F.lit(False).alias("near")).unionByName(by_time.select(*cols, F.lit(False).alias("same_day"), F.lit(True).alias("near")))
+    # hardly any row meets an exchange in both ways, so adding up before the shuffle would fill memory for nothing
+    both = both.repartition(tasks_for(rows.sparkSession, rows.count()), "account_label", "debit_seq")
     return both.groupBy(*_PAIR).agg(
         *[F.first(c).alias(c) for c in ("at", "target", "rate", "amount")], F.bool_or("same_day").alias("same_day"), F.bool_or("near").alias("near")
     )
