@@ -28,6 +28,8 @@ _NONE = 1e-12
 #: Quantities and their sums are exact to twelve places; the wider type leaves room for one more addition.
 _EXACT, _SUM = "decimal(28,12)", "decimal(36,12)"
 _ORDER = ["datetime", "row_seq", "quantity", "spend"]
+#: Place of a trade in its scan: trades that are equal in all of the order keep theirs through all steps.
+_AT = "_at"
 #: Natural logarithm of how far products of shares may fall within one section of a scan.  What is more
 #: than a section back weighs less than exp(-400) and counts as nothing.
 _FALL = 400.0
@@ -39,6 +41,10 @@ def _running(*by):
     return Window.partitionBy(*by[0]).orderBy(*by[1]).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _number(scan):
+    return F.row_number().over(scan)
+
+
 def _trades(tx: DataFrame, keys, include_fees: bool) -> DataFrame:
     """Trades of known keys, written once."""
     fees = F.abs(F.coalesce("fees_eur", F.lit(0.0))) if include_fees else F.lit(0.0)
@@ -69,7 +75,7 @@ def _before_bucket(rows: DataFrame, keys, carried: dict, kind: str) -> DataFrame
 def _quantities(trades: DataFrame, keys) -> DataFrame:
     """Quantity before and after every trade."""
     on = _running([*keys, "bucket"], _ORDER)
-    rows = trades.withColumn("run", F.sum("quantity").over(on).cast(_SUM)).withColumn("low", F.min("run").over(on))
+    rows = trades.withColumn(_AT, _number(on)).withColumn("run", F.sum("quantity").over(on).cast(_SUM)).withColumn("low", F.min("run").over(on))
     ends = rows.groupBy(*keys, "bucket").agg(F.sum("quantity").cast(_SUM).alias("total"), F.min("low").alias("low"))
     ends = ends.join(_before_bucket(ends, keys, {"sum_before": F.sum("total")}, _SUM), [*keys, "bucket"])
     ends = ends.withColumn("low", (F.col("low") + F.col("sum_before")).cast(_SUM))
@@ -83,7 +89,7 @@ def _quantities(trades: DataFrame, keys) -> DataFrame:
         return F.when(q <= _GONE, F.lit(0.0)).otherwise(q)
 
     before = reflected(F.col("run") - F.col("quantity"), F.col("earlier"))
-    return rows.select(*keys, "bucket", *_ORDER, before.alias("before"), reflected(F.col("run"), F.col("low")).alias("open_quantity"))
+    return rows.select(*keys, "bucket", *_ORDER, _AT, before.alias("before"), reflected(F.col("run"), F.col("low")).alias("open_quantity"))
 
 
 def composed(rows: DataFrame, part, order) -> DataFrame:
@@ -119,7 +125,7 @@ def _with_maps(rows: DataFrame) -> DataFrame:
 def _whole(trades: DataFrame, keys, tasks: int) -> DataFrame:
     """Open quantity and cost after every trade of keys that a task may hold: nothing is held before the first."""
     on, none = _running(keys, _ORDER), F.lit(0).cast(_SUM)
-    rows = _exact(trades.repartition(tasks, *keys)).withColumn("run", F.sum("quantity").over(on).cast(_SUM))
+    rows = _exact(trades.repartition(tasks, *keys)).withColumn(_AT, _number(on)).withColumn("run", F.sum("quantity").over(on).cast(_SUM))
     rows = rows.withColumn("low", F.min("run").over(on)).withColumn("earlier", F.coalesce(F.min("run").over(on.rowsBetween(Window.unboundedPreceding, -1)), none))
 
     def reflected(run, low):
@@ -127,14 +133,19 @@ def _whole(trades: DataFrame, keys, tasks: int) -> DataFrame:
         return F.when(q <= _GONE, F.lit(0.0)).otherwise(q)
 
     before = reflected(F.col("run") - F.col("quantity"), F.col("earlier"))
-    rows = rows.select(*keys, *_ORDER, before.alias("before"), reflected(F.col("run"), F.col("low")).alias("open_quantity"))
-    rows = composed(_with_maps(rows), keys, _ORDER)
+    rows = rows.select(*keys, *_ORDER, _AT, before.alias("before"), reflected(F.col("run"), F.col("low")).alias("open_quantity"))
+    rows = composed(_with_maps(rows), keys, [_AT])
     cost = F.when(F.col("open_quantity") <= _GONE, F.lit(0.0)).otherwise(F.col("pre_b"))
-    return rows.select(*keys, *_ORDER, "open_quantity", cost.alias("cost_basis_eur"))
+    return rows.select(*keys, *_ORDER, _AT, "open_quantity", cost.alias("cost_basis_eur"))
 
 
 def trade_cost_basis(tx: DataFrame, keys=("instrument_id",), include_fees: bool = False) -> DataFrame:
     """Open quantity and cost after every trade."""
+    return _costs(tx, keys, include_fees).drop(_AT)
+
+
+def _costs(tx: DataFrame, keys, include_fees: bool) -> DataFrame:
+    """The same with the place of each trade, which tells equal trades apart."""
     keys = list(keys)
     trades = _trades(tx, keys, include_fees)
     large, total = large_keys(trades, keys, LARGE)
@@ -148,27 +159,27 @@ def trade_cost_basis(tx: DataFrame, keys=("instrument_id",), include_fees: bool
 def _in_buckets(trades: DataFrame, keys, tasks: int) -> DataFrame:
     """The same for keys of any size."""
     rows = _with_maps(_quantities(_dealt(trades, keys, tasks), keys))
-    rows = materialize(composed(rows, [*keys, "bucket"], _ORDER).drop("a", "b", "before"), "cost-maps")
-    last = F.struct(*_ORDER)
+    rows = materialize(composed(rows, [*keys, "bucket"], [*_ORDER, _AT]).drop("a", "b", "before"), "cost-maps")
+    last = F.struct(*_ORDER, _AT)
     whole = rows.groupBy(*keys, "bucket").agg(F.max_by("pre_a", last).alias("a"), F.max_by("pre_b", last).alias("b"))
     chain = composed(whole, keys, ["bucket"])
     start = F.coalesce(F.lag("pre_b").over(Window.partitionBy(*keys).orderBy("bucket")), F.lit(0.0))  # nothing is held before the first
     rows = rows.join(chain.select(*keys, "bucket", start.alias("start")), [*keys, "bucket"])
     cost = F.when(F.col("open_quantity") <= _GONE, F.lit(0.0)).otherwise(F.col("pre_a") * F.col("start") + F.col("pre_b"))
-    return rows.select(*keys, *_ORDER, "open_quantity", cost.alias("cost_basis_eur"))
+    return rows.select(*keys, *_ORDER, _AT, "open_quantity", cost.alias("cost_basis_eur"))
 
 
 def _last(rows: DataFrame, by) -> DataFrame:
-    last = F.max_by(F.struct("open_quantity", "cost_basis_eur"), F.struct(*_ORDER)).alias("r")
+    last = F.max_by(F.struct("open_quantity", "cost_basis_eur"), F.struct(*_ORDER, _AT)).alias("r")
     return rows.groupBy(*by).agg(last).select(*by, "r.open_quantity", "r.cost_basis_eur")
 
 
 def daily_cost_basis(tx: DataFrame, keys=("instrument_id",), include_fees: bool = False) -> DataFrame:
     """Open quantity and cost after every trading day; constant until the next one."""
-    rows = trade_cost_basis(tx, keys, include_fees).withColumn("date", day("datetime"))
+    rows = _costs(tx, keys, include_fees).withColumn("date", day("datetime"))
     return _last(rows, [*keys, "date"])
 
 
 def open_cost_basis(tx: DataFrame, keys=("instrument_id",), include_fees: bool = True) -> DataFrame:
     """Final state only."""
-    return _last(trade_cost_basis(tx, keys, include_fees), list(keys))
+    return _last(_costs(tx, keys, include_fees), list(keys))

@@ -67,6 +67,15 @@ def test_cost_basis_of_small_and_large_keys(spark, monkeypatch, large):
         np.testing.assert_allclose(got[key], want[key], rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("large", [1 << 18, 8])
+def test_equal_trades_count_each(spark, monkeypatch, large):
+    monkeypatch.setattr(costbasis, "LARGE", large)
+    rows = [(f"I{i % 5}", dt.datetime(2024, 1, 1 + n // 2), n // 2, 3.0, -2.0) for i in range(5) for n in range(20)]
+    tx = spark.createDataFrame(rows, "instrument_id string, datetime timestamp_ntz, row_seq int, quantity double, total_eur double").withColumn("fees_eur", F.lit(0.0))
+    daily = {(r["instrument_id"], r["date"].day): (r["open_quantity"], r["cost_basis_eur"]) for r in costbasis.daily_cost_basis(tx).collect()}
+    assert daily == {(f"I{i}", d): (6.0 * d, 4.0 * d) for i in range(5) for d in range(1, 11)}
+
+
 def test_cost_basis_sorts_parts_of_bounded_size(spark):
     tx = spark.range(20).select(
         F.lit("A").alias("instrument_id"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("datetime"), F.col("id").alias("row_seq"),
