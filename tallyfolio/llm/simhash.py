@@ -99,12 +99,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, c
         return F.transform(values, lambda f: F.struct(F.lit(seg).alias("seg"), own.bitwiseXOR(f).alias("key"), (f == 0).alias("own")))
 
     near = F.concat(*[ball(seg, own, flips) for seg, (own, (_, _, flips)) in enumerate(zip(piece, balls, strict=True))])
-    probe = distinct.select(F.col("fp").alias("a"), F.explode(near).alias("r")).select("a", "r.seg", "r.key", "r.own")
+    # Spark sizes exploded rows as if they were few and would broadcast them; merged, neither side has to fit in memory
+    probe = distinct.select(F.col("fp").alias("a"), F.explode(near).alias("r")).select("a", "r.seg", "r.key", "r.own").hint("merge")
     small = table.join(big.select("seg", "key"), ["seg", "key"], "left_anti").withColumnRenamed("fp", "b")
     direct = probe.join(small, ["seg", "key"]).where("a < b")
     direct = direct.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
     # Probes that fall into a crowded bucket from outside it
-    strays = probe.where(~F.col("own")).join(big, ["seg", "key"])
+    strays = probe.where(~F.col("own")).join(big, ["seg", "key"]).hint("merge")
     outside = _strays(strays, table, big, radius)
     return direct.union(inside).union(outside).distinct()
 
